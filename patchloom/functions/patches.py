@@ -16,6 +16,12 @@ from patchloom.functions.text import strip
 BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}"
 LINE_START = rf"(?:\A|(?<=[{BREAKS}]))"
 
+
+def _at_line_start(literal: str) -> str:
+    """The escaped literal at a line start; the literal leads, so the scan jumps to its hits."""
+    return rf"{literal}(?<=(?:\A|[{BREAKS}]){literal})"
+
+
 NO_NAMES = "array<string>"
 
 
@@ -71,11 +77,11 @@ def new_code(patch: Column) -> Column:
 
 
 def _prefixed(patch: Column, sign: str, keyword: str, stop: str) -> Column:
-    return _extract(patch, rf"{LINE_START}\{sign}{keyword} ([^{stop}{BREAKS}]*)")
+    return _extract(patch, rf"{_at_line_start(rf'\{sign}{keyword} ')}([^{stop}{BREAKS}]*)")
 
 
 def _arrow(patch: Column, sign: str, keyword: str) -> Column:
-    head = rf"{LINE_START}\{sign}{keyword} ([^={BREAKS}]*)(?=[^{BREAKS}]*=>)(?==)"
+    head = rf"{_at_line_start(rf'\{sign}{keyword} ')}([^={BREAKS}]*)(?=[^{BREAKS}]*=>)(?==)"
     return F.transform(_extract(patch, head), lambda n: F.replace(n, F.lit(sign + keyword), F.lit("")))
 
 
@@ -134,12 +140,12 @@ def combined_names(functions: Column, classes: Column) -> Column:
 
 def simple_functions(patch: Column, sign: str) -> Column:
     """Python names after ``+def`` / ``-def`` with repeats; the text is cut at the next 'def' as well."""
-    return _clean(_extract(patch, rf"{LINE_START}\{sign}def((?:(?!def)[^({BREAKS}])*)"))
+    return _clean(_extract(patch, rf"{_at_line_start(rf'\{sign}def')}((?:(?!def)[^({BREAKS}])*)"))
 
 
 def simple_classes(patch: Column, sign: str) -> Column:
     """Python names after ``+class`` / ``-class`` with repeats; the list of bases stays in the name."""
-    return _clean(_extract(patch, rf"{LINE_START}\{sign}class((?:(?!class)[^:{BREAKS}])*)"))
+    return _clean(_extract(patch, rf"{_at_line_start(rf'\{sign}class')}((?:(?!class)[^:{BREAKS}])*)"))
 
 
 # Definitions by pattern, at any indentation. The name is group 1.

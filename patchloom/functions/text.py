@@ -11,6 +11,11 @@ SPACES = (
     r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+SPACE_CHARS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Pattern of an issue or task reference.
 ISSUE_LINK = (
@@ -29,7 +34,7 @@ CODE_FENCE = r"```(?:\w*)\s*([\s\S]*?)```"
 
 def strip(text: Column) -> Column:
     """Remove white space at both ends."""
-    return F.regexp_replace(text, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
+    return F.trim(text, F.lit(SPACE_CHARS))
 
 
 def word_count(text: Column) -> Column:

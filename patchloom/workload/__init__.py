@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("q_aggregates", "q_relational")
+MODULES = ("q_aggregates", "q_relational", "q_text")
 
 
 def _load() -> None:
