@@ -19,9 +19,9 @@ RESOLUTION = 1024.0  # buckets per unit near 1; below 1.5 million buckets over a
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def order_bucket(value: Column) -> Column:
+def order_bucket(value: Column, resolution: float = RESOLUTION) -> Column:
     """A monotone function of a number with a bounded number of results."""
-    size = F.floor(F.log1p(F.abs(value) * F.lit(RESOLUTION)) * F.lit(RESOLUTION))
+    size = F.floor(F.log1p(F.abs(value) * F.lit(resolution)) * F.lit(resolution))
     return F.when(value < 0, -size).otherwise(size)
 
 

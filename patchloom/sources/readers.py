@@ -27,8 +27,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON array or pretty-printed objects."""
-    return spark.read.json(path, schema=schema, multiLine=True)
+    """JSON Lines, or one array or object spread over lines; the first line tells which."""
+    first = spark.read.text(path).limit(1).collect()
+    head = first[0].value.strip() if first else ""
+    lines = head.startswith("{") and head.endswith("}")
+    return spark.read.json(path, schema=schema, multiLine=not lines)
 
 
 def read_table(

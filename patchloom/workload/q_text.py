@@ -516,8 +516,9 @@ def m02(v: Views) -> DataFrame:
 
 @query(
     "m03_pair_scores",
-    f"""WITH s AS (SELECT conv_id, turn, {OVERLAP} FROM pair_texts) SELECT conv_id, turn, round(k / c, 6) AS bert_precision,
-      round(k / r, 6) AS bert_recall, round(2.0 * k / (c + r), 6) AS bert_f1 FROM s""",
+    f"""WITH s AS (SELECT conv_id, turn, reference IS NOT NULL AS ok, {OVERLAP} FROM pair_texts)
+    SELECT conv_id, turn, CASE WHEN ok THEN round(k / c, 6) END AS bert_precision,
+      CASE WHEN ok THEN round(k / r, 6) END AS bert_recall, CASE WHEN ok THEN round(2.0 * k / (c + r), 6) END AS bert_f1 FROM s""",
     ("pair_texts",),
 )
 def m03(v: Views) -> DataFrame:
