@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,12 @@ def fit_model(matrix: DataFrame, features: Sequence[str], name: str, seed: int =
     if name not in MODELS:
         raise ValueError(f"unknown model {name}; choose from {sorted(MODELS)} or use the neighbour vote")
     ready = assemble(matrix, features)
-    model = MODELS[name](seed).fit(ready.where(F.col("is_test") == 0).select("features", "label"))
+    # Training reads its rows many times; the cache spills to disk and is dropped afterwards.
+    train = ready.where(F.col("is_test") == 0).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = MODELS[name](seed).fit(train)
+    finally:
+        train.unpersist()
     return model, ready.where(F.col("is_test") == 1)
 
 
@@ -164,8 +170,6 @@ def attributions(
             F.get(F.get("base", F.col("walk")), i)
         ),
     )
-    from pyspark.ml.functions import array_to_vector
-
     mixed = steps.select(key, "own", "walk", "step", "order", array_to_vector(hybrid).alias("features"))
     result = scored(model, mixed).select(
         key, "walk", F.struct("step", "score", "order", "own").alias("s")

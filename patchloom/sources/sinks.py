@@ -21,17 +21,33 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     if kind == "parquet":
         writer.parquet(path)
     elif kind == "csv":
-        writer.csv(path, header=True, quote='"', escape='"')
+        writer.csv(
+            path,
+            header=True,
+            quote='"',
+            escape='"',
+            ignoreLeadingWhiteSpace=False,
+            ignoreTrailingWhiteSpace=False,
+        )
     else:
         writer.json(path, ignoreNullFields=False)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system of the path knows it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(conf).exists(target)
+
+
 def existing_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The Parquet table at a path, or None when nothing was written there yet."""
+    if not path_exists(spark, path):
+        return None
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # a folder without data files
             return None
         raise
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("q_aggregates", "q_relational", "q_text", "q_analysis")
+MODULES = ("q_sources", "q_aggregates", "q_relational", "q_text", "q_analysis")
 
 
 def _load() -> None:
