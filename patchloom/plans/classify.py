@@ -21,7 +21,7 @@ MODELS = {
     "rf": lambda seed: RandomForestClassifier(numTrees=100, seed=seed, labelCol="label"),
     "gbt": lambda seed: GBTClassifier(maxIter=20, maxDepth=5, seed=seed, labelCol="label"),
     "gbt_shallow": lambda seed: GBTClassifier(maxIter=30, maxDepth=3, seed=seed, labelCol="label"),
-    "svm": lambda seed: LinearSVC(maxIter=50, labelCol="label"),
+    "svm": lambda seed: LinearSVC(maxIter=20, labelCol="label"),
 }
 
 

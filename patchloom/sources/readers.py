@@ -62,3 +62,21 @@ def text_literal(spark: SparkSession, path: str) -> Column:
     if len(rows) != 1:
         raise ValueError(f"expected one file at {path}")
     return F.lit(rows[0].value)
+
+
+def _bytes_of(spark: SparkSession, path: str) -> int:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(conf).getContentSummary(target).getLength()
+
+
+def spread_small(df: DataFrame, path: str, *by: str) -> DataFrame:
+    """Give every core a share of a small input, by hash of the named columns.
+
+    A small Parquet file has one row group and so one task, which makes work per row (patterns,
+    JSON, models) run on a single core. Inputs with a split for every core are left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores, *by) if _bytes_of(spark, path) < cores * split else df

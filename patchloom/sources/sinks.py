@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.sources.readers import format_of
@@ -89,14 +89,24 @@ class UpsertCounts:
         return self.incoming - self.added
 
 
+def _rows(df: DataFrame | None) -> int:
+    """Row count; of a Parquet table it is read from the file footers."""
+    return 0 if df is None else df.select().count()
+
+
 def upsert_append(
     spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str] = DETAIL_KEY
-) -> UpsertCounts:
+) -> None:
     """Append only rows with unseen keys. Since existing rows win, nothing already written
     is rewritten, and a second run with the same rows adds none. Only the key columns of
-    the table are read. The counters come from the same job."""
-    seen, kept = Observation("incoming"), Observation("added")
-    observed = incoming.observe(seen, F.count(F.lit(1)).alias("rows"))
-    fresh = new_rows(observed, existing_table(spark, path), keys).observe(kept, F.count(F.lit(1)).alias("rows"))
-    fresh.write.mode("append").parquet(path)
-    return UpsertCounts(incoming=seen.get.get("rows", 0), added=kept.get.get("rows", 0))
+    the table are read."""
+    new_rows(incoming, existing_table(spark, path), keys).write.mode("append").parquet(path)
+
+
+def upsert_counted(
+    spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str] = DETAIL_KEY
+) -> UpsertCounts:
+    """As ``upsert_append``, and counts rows given and rows added."""
+    before = _rows(existing_table(spark, path))
+    upsert_append(spark, incoming, path, keys)
+    return UpsertCounts(incoming=_rows(incoming), added=_rows(existing_table(spark, path)) - before)

@@ -9,6 +9,7 @@ from patchloom.functions import times, vectors
 from patchloom.operators import cumulative, ranktests
 from patchloom.plans import change_size, churn, classify, features, textpairs
 from patchloom.plans.neighbours import knn_vote
+from patchloom.session import materialize
 from patchloom.workload.common import describe_sql, mann_whitney_sql, tidy
 from patchloom.workload.q_aggregates import PER_PR
 from patchloom.workload.q_relational import COS, HEADING, ISSUE, LIFE, lifetimes_of
@@ -208,7 +209,8 @@ def _quality_matrix(v: Views) -> DataFrame:
         F.regexp_count("text", F.lit(r"\n")).cast("bigint").alias("lines"),
         F.regexp_count("text", F.lit(",")).cast("bigint").alias("commas"),
     )
-    return classify.split(docs.join(labels, "doc_id").withColumnRenamed("doc_id", "pr_id"))
+    matrix = classify.split(docs.join(labels, "doc_id").withColumnRenamed("doc_id", "pr_id"))
+    return materialize(matrix, "matrix")
 
 
 def _fitted(v: Views, name: str) -> DataFrame:

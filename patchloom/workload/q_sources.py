@@ -15,6 +15,7 @@ from patchloom.sources.sinks import (
     first_per_key,
     remaining,
     upsert_append,
+    upsert_counted,
     write_table,
 )
 from patchloom.streaming.ingest import ingest_available, payload_stream
@@ -210,5 +211,5 @@ def k6(v: Views) -> DataFrame:
     path = f"{scratch_dir(v.spark, 'k6')}/details.parquet"
     rows = _file_rows(v)
     upsert_append(v.spark, rows.where(F.col("status") == "modified"), path)
-    counts = upsert_append(v.spark, rows, path)
+    counts = upsert_counted(v.spark, rows, path)
     return v.spark.createDataFrame([(counts.incoming, counts.added)], "incoming LONG, added LONG")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.session import prepare
+from patchloom.sources.readers import spread_small
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
@@ -23,6 +24,10 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """Chosen columns, the key first, of a table whose rows get much work each."""
+        return spread_small(self.table(name).select(*columns), f"{self.dir}/{name}.parquet", columns[0])
+
     def _agent(self) -> Column:
         priority = F.col("o_orderpriority")
         return (
@@ -64,8 +69,9 @@ class Views:
         owner = self.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
         part = self.table("part").select("p_partkey", "p_name", "p_brand", "p_type")
         rows = (
-            self.table("lineitem")
-            .select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
+            self.spread(
+                "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"
+            )
             .join(part, F.col("l_partkey") == F.col("p_partkey"))
             .join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
         )
@@ -173,7 +179,7 @@ class Views:
         ]
         tail = F.try_element_at(F.array(*[F.lit(t) for t in tails]), (key % 5 + 1).cast("int"))
         body = F.when(key % 12 == 5, F.lit(None)).when(key % 12 == 7, F.lit(" \n ")).otherwise(F.concat("text", tail))
-        return self.table("documents").select(
+        return self.spread("documents", "doc_id", "text", "source").select(
             key.alias("pr_id"),
             F.when(key % 9 != 4, F.concat(F.lit("Work on  "), "source", F.lit(" "), key)).alias("pr_title"),
             body.alias("pr_body"),
@@ -194,7 +200,7 @@ class Views:
 
     def corpus(self) -> DataFrame:
         """Benchmark commit corpus from documents: hash, diff, message, language."""
-        return self.table("documents").select(
+        return self.spread("documents", "doc_id", "text", "source", "lang").select(
             F.md5(F.col("doc_id").cast("string")).alias("hash"),
             F.concat(F.lit("+"), "text").alias("diff"),
             F.concat(F.lit("Add "), "source", F.lit(" page "), "doc_id").alias("message"),
@@ -203,7 +209,8 @@ class Views:
 
     def pair_texts(self) -> DataFrame:
         """Candidate and reference texts: what a turn says and what the turn before it said."""
-        left = self.table("conversations").select("conv_id", "turn", F.col("text").alias("candidate"))
+        turns = self.spread("conversations", "conv_id", "turn", "text")
+        left = turns.select("conv_id", "turn", F.col("text").alias("candidate"))
         right = self.table("conversations").select(
             "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference")
         )
