@@ -44,26 +44,27 @@ def patch_lines(patch: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
-def dedent(lines: Column) -> Column:
-    """Remove the leading blanks and tabs all non-blank lines share; blank lines become ''."""
-    flat = F.transform(lines, lambda x: F.regexp_replace(x, r"\A[ \t]+\z", ""))
-    indents = F.transform(F.filter(flat, lambda x: x != ""), lambda x: F.regexp_extract(x, r"\A[ \t]*", 0))
-    low, high = F.array_min(indents), F.array_max(indents)
-    steps = F.when(F.length(low) > 0, F.sequence(F.lit(1), F.length(low))).otherwise(F.array().cast("array<int>"))
-    shared = F.coalesce(F.size(F.filter(steps, lambda k: low.substr(F.lit(1), k) == high.substr(F.lit(1), k))), F.lit(0))
-    return F.transform(flat, lambda x: F.substring(x, shared + 1, F.length(x)))
+def dedent(code: Column) -> Column:
+    """Remove the leading blanks and tabs all non-blank lines share; blank lines become ''.
+
+    The shared part of all indents is the shared prefix of the smallest and the largest one.
+    """
+    flat = F.regexp_replace(code, r"(?dm)^[ \t]+$", "")
+    indents = _extract(flat, r"(?dm)^([ \t]*)[^ \t\n]")
+    ends = F.concat(F.array_min(indents), F.lit("\x01"), F.array_max(indents))
+    shared = F.coalesce(F.regexp_extract(ends, r"\A([ \t]*)[ \t]*\x01\1", 1), F.lit(""))
+    return F.regexp_replace(flat, F.concat(F.lit("(?dm)^"), shared), F.lit(""))
 
 
 def added_code(patch: Column) -> Column:
     """Added lines without the marker, dedented. A line added as '++…' reads as a header and is left out."""
     lines = _extract(patch, rf"{LINE_START}\+(?!\+\+)([^{BREAKS}]*)")
-    return F.array_join(dedent(lines), "\n")
+    return dedent(F.array_join(lines, "\n"))
 
 
 def _version(patch: Column, other_side: str) -> Column:
-    lines = F.filter(F.split(patch, "\n", -1), lambda x: ~x.rlike(rf"\A(?:---|\+\+\+|@@|{other_side})"))
-    code = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"\A[-+ ]", "")), "\n")
-    return F.when(patch != "", code)
+    lines = _extract(patch, rf"(?:\A|(?<=\n))(?!---|\+\+\+|@@|{other_side})[-+ ]?([^\n]*)")
+    return F.when(patch != "", F.array_join(lines, "\n"))
 
 
 def old_code(patch: Column) -> Column:

@@ -9,16 +9,21 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.functions.text import has_text
 from patchloom.operators.quality import require_columns
 
+# Workers get the functions themselves; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _WORD = re.compile(r"\S+")
 
 

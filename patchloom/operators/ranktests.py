@@ -7,15 +7,20 @@ group, with the number of rows before it. Rank tests give the asymptotic p-value
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.operators.cumulative import running_before
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @F.pandas_udf("double")
 def two_sided_p(z: pd.Series) -> pd.Series:
     """p of a standard normal; runs on a handful of result rows."""

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def without(a: Column, b: Column) -> Column:
-    """Elements of ``a`` not in ``b``, repeats kept."""
-    return F.filter(a, lambda x: ~F.array_contains(b, x))
+    """Elements of ``a`` not in ``b``, repeats kept. ``b`` is computed once per row, not per element."""
+    bound = F.transform(F.array(b), lambda other: F.filter(a, lambda x: ~F.array_contains(other, x)))
+    return F.get(bound, F.lit(0))
 
 
 def overlaps(a: Column, b: Column) -> Column:

@@ -13,6 +13,32 @@ from patchloom.sources.readers import spread_small
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
+# Schemas of the supplied tables: a declared schema saves the footer read of every scan.
+TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey LONG, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey LONG, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey LONG, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey LONG, o_custkey LONG, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey LONG, l_partkey LONG, l_suppkey LONG, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG",
+    "labels": "doc_id LONG, quality INT, toxic INT",
+    "embeddings": "vec_id LONG, embedding ARRAY<FLOAT>, label INT",
+    "benchmark": "item_id LONG, text STRING",
+    "pages": "page_id LONG, url STRING, html STRING",
+    "conversations": "conv_id LONG, turn LONG, role STRING, text STRING",
+}
+PR_COLUMNS = ("id", "agent", "title", "repo_id", "html_url", "state", "created_at", "closed_at", "merged_at")
+HUMAN_PR_COLUMNS = (
+    "id", "number", "agent", "title", "repo_url", "html_url", "state", "created_at", "closed_at", "merged_at",
+)
+DETAIL_COLUMNS = ("pr_id", "sha", "filename", "status", "additions", "deletions", "changes", "patch", "message")
+
 
 class Views:
     """Lazy views over one data folder."""
@@ -20,9 +46,18 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = prepare(spark)
         self.dir = sf_dir.rstrip("/")
+        self._built: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, build) -> DataFrame:
+        """Build a view's plan once; several views start from it."""
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._once(
+            name, lambda: self.spark.read.schema(TABLES[name]).parquet(f"{self.dir}/{name}.parquet")
+        )
 
     def spread(self, name: str, *columns: str) -> DataFrame:
         """Chosen columns, the key first, of a table whose rows get much work each."""
@@ -37,6 +72,9 @@ class Views:
         )
 
     def all_prs(self) -> DataFrame:
+        return self._once("all_prs", self._all_prs)
+
+    def _all_prs(self) -> DataFrame:
         key, cust = F.col("o_orderkey"), F.col("o_custkey")
         done = F.col("o_orderdate") + F.make_dt_interval((key % 40).cast("int"), (key % 24).cast("int"))
         status = F.col("o_orderstatus")
@@ -60,12 +98,15 @@ class Views:
 
     def pr(self) -> DataFrame:
         df = self.all_prs()
-        return df.where(F.col("agent").isNull() | (F.col("agent") != "Human")).drop("number", "repo_url")
+        return df.where(F.col("agent").isNull() | (F.col("agent") != "Human")).select(*PR_COLUMNS)
 
     def human_pr(self) -> DataFrame:
-        return self.all_prs().where(F.col("agent") == "Human").drop("repo_id")
+        return self.all_prs().where(F.col("agent") == "Human").select(*HUMAN_PR_COLUMNS)
 
     def all_details(self) -> DataFrame:
+        return self._once("all_details", self._all_details)
+
+    def _all_details(self) -> DataFrame:
         owner = self.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
         part = self.table("part").select("p_partkey", "p_name", "p_brand", "p_type")
         rows = (
@@ -142,11 +183,11 @@ class Views:
 
     def details(self) -> DataFrame:
         df = self.all_details()
-        return df.where(F.col("agent").isNull() | (F.col("agent") != "Human")).drop("agent")
+        return df.where(F.col("agent").isNull() | (F.col("agent") != "Human")).select(*DETAIL_COLUMNS)
 
     def human_details(self) -> DataFrame:
-        df = self.all_details().where(F.col("agent") == "Human")
-        return df.drop("agent").withColumnRenamed("filename", "file")
+        named = [F.col(c).alias("file") if c == "filename" else F.col(c) for c in DETAIL_COLUMNS]
+        return self.all_details().where(F.col("agent") == "Human").select(*named)
 
     def change_table(self) -> DataFrame:
         from patchloom.plans.change_size import change_table
