@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from patchloom.functions.paths import SYMBOL_LANGUAGES, language_of
 from patchloom.functions.text import strip
 
-# The characters that end a line.
-BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}"
+# The characters that end a line, written so that the class stays a bit set.
+BREAKS = r"\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}-\x{2029}"
 LINE_START = rf"(?:\A|(?<=[{BREAKS}]))"
 
 
@@ -177,16 +177,31 @@ def _by_language(code: Column, language: Column, patterns: dict) -> Column:
     return F.coalesce(F.array_distinct(chain), _empty())
 
 
-def symbol_changes(patch: Column, filename: Column) -> list[Column]:
-    """Names defined only in the new or only in the old version of the patched code."""
+SYMBOL_FIELDS = ("added_functions", "removed_functions", "added_classes", "removed_classes")
+
+
+def symbol_changes(patch: Column, filename: Column) -> Column:
+    """STRUCT<language, four name sets>: names defined only in the new or only in the old version
+    of the patched code. Both versions and their names are bound to one-element arrays, so each
+    is computed once per row."""
     language = language_of(filename, SYMBOL_LANGUAGES)
-    old, new = old_code(patch), new_code(patch)
-    out = []
-    for kind, patterns in (("functions", FUNCTION_PATTERNS), ("classes", CLASS_PATTERNS)):
-        before, after = _by_language(old, language, patterns), _by_language(new, language, patterns)
-        out.append(F.array_except(after, before).alias(f"added_{kind}"))
-        out.append(F.array_except(before, after).alias(f"removed_{kind}"))
-    return [language.alias("language"), *out]
+    versions = F.array(F.struct(language.alias("lang"), old_code(patch).alias("old"), new_code(patch).alias("new")))
+
+    def scan(v: Column) -> Column:
+        return F.struct(
+            v["lang"].alias("language"),
+            _by_language(v["old"], v["lang"], FUNCTION_PATTERNS).alias("old_f"),
+            _by_language(v["new"], v["lang"], FUNCTION_PATTERNS).alias("new_f"),
+            _by_language(v["old"], v["lang"], CLASS_PATTERNS).alias("old_c"),
+            _by_language(v["new"], v["lang"], CLASS_PATTERNS).alias("new_c"),
+        )
+
+    def compare(n: Column) -> Column:
+        sides = (("new_f", "old_f"), ("old_f", "new_f"), ("new_c", "old_c"), ("old_c", "new_c"))
+        sets = [F.array_except(n[a], n[b]).alias(out) for out, (a, b) in zip(SYMBOL_FIELDS, sides, strict=True)]
+        return F.struct(n["language"].alias("language"), *sets)
+
+    return F.get(F.transform(F.transform(versions, scan), compare), F.lit(0))
 
 
 # Definition scan: keyword patterns per language; name in group 1.
@@ -221,8 +236,11 @@ def definitions(code: Column, language: str) -> Column:
     fold = _fold_indent if language == "python" else _fold_braces
     if language not in SCAN_CLASS and language not in SCAN_FUNCTION:
         return F.struct(_empty().alias("classes"), _empty().alias("functions"))
-    state = fold(lines, language)
-    return F.struct(state["classes"].alias("classes"), state["functions"].alias("functions"))
+    return fold(lines, language)
+
+
+def _result(acc: Column) -> Column:
+    return F.struct(acc["classes"].alias("classes"), acc["functions"].alias("functions"))
 
 
 def _match(line: Column, pattern: str | None) -> Column:
@@ -253,7 +271,7 @@ def _fold_indent(lines: Column, language: str) -> Column:
             F.when(body.rlike(r":\s*(?:#.*)?$"), F.array_append(still_open, block)).otherwise(still_open).alias("open"),
         )
 
-    return F.aggregate(lines, start, step)
+    return F.aggregate(lines, start, step, _result)
 
 
 def _fold_braces(lines: Column, language: str) -> Column:
@@ -283,4 +301,4 @@ def _fold_braces(lines: Column, language: str) -> Column:
             F.when(closed, F.lit(-1)).otherwise(opened).alias("class_depth"),
         )
 
-    return F.aggregate(lines, start, step)
+    return F.aggregate(lines, start, step, _result)

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that separate words (Unicode white space plus the
-# four information separators).
-SPACES = (
-    r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+# The characters that separate words, as the inside of a pattern class (\p{Z}
+# holds every Unicode separator) and as plain text. Listing single characters instead of
+# ranges keeps the class a bit set, which is many times faster to scan with.
+SPACES = r"\t\n\x0B\f\r\x1C\x1D\x1E\x1F \x{85}\x{A0}\p{Z}"
 SPACE_CHARS = (
     "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"

@@ -467,7 +467,8 @@ def _minus(a: str, b: str, kind: str) -> str:
 )
 def d10(v: Views) -> DataFrame:
     rows = _files(v).where(F.col("lang").isNotNull() & F.col("patch").isNotNull())
-    changed = rows.select("filename", "patch", *patches.symbol_changes(F.col("patch"), F.col("filename")))
+    found = rows.select("filename", "patch", patches.symbol_changes(F.col("patch"), F.col("filename")).alias("s"))
+    changed = found.select("filename", "patch", "s.*")
     return _sorted_names(changed, patches.CHANGE_COLUMNS)
 
 

@@ -78,9 +78,9 @@ def test_unsupported_file_is_reported(spark):
 
 def test_symbol_changes_compare_both_versions(spark):
     patch = "@@\n def keep():\n-def old():\n+def new():\n class Box:\n+    def put(self):"
-    row = spark.createDataFrame([(patch, "m.py")], "p STRING, f STRING").select(
-        *patches.symbol_changes(P, F.col("f"))
-    ).first()
+    df = spark.createDataFrame([(patch, "m.py")], "p STRING, f STRING")
+    row = df.select(patches.symbol_changes(P, F.col("f")).alias("s")).select("s.*").first()
+    assert row.language == "python"
     assert sorted(row.added_functions) == ["new", "put"]
     assert row.removed_functions == ["old"]
     assert row.added_classes == [] and row.removed_classes == []
