@@ -41,10 +41,11 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     Only a session without ``spark.checkpoint.dir`` (a local test) falls back to
     a temporary folder of this machine.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None)
+    context = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="patchloom-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/patchloom/{label}-{uuid.uuid4().hex}"
 
 

@@ -497,9 +497,6 @@ def r1(v: Views) -> DataFrame:
     return v.pr().select("id", "state", "agent").unionByName(v.human_pr().select("agent", "id", "state"))
 
 
-LISTS = """lists AS (SELECT pr_id, filename FROM details_all WHERE status = 'added'), gone AS (SELECT pr_id, filename FROM details_all WHERE status = 'removed')"""
-
-
 def _name_lists(v: Views) -> DataFrame:
     """Words of a turn and of the turn before it."""
     return v.pair_texts().select(
@@ -594,6 +591,16 @@ def q2(v: Views) -> DataFrame:
     return quality.repeated_keys(v.all_prs().select(F.col("id").alias("pr_id")), ["pr_id"])
 
 
+@query(
+    "q2_row_multiplying_dimension",
+    "SELECT pr_id, count(*) AS rows FROM related GROUP BY pr_id HAVING count(*) > 1",
+    ("related",),
+)
+def q2_multiplying(v: Views) -> DataFrame:
+    """Keys whose left join on related issues would multiply rows."""
+    return quality.repeated_keys(v.related_issues(), ["pr_id"])
+
+
 @query(
     "q3_null_counts",
     "SELECT count(*) - count(patch) AS patch, count(*) - count(message) AS message, count(*) - count(sha) AS sha FROM details_all",
