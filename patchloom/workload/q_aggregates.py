@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.functions import paths, text
 from patchloom.operators import cumulative, predictors, quality
 from patchloom.operators.textjoin import join_lists, join_texts
-from patchloom.plans import change_size, churn, features, textpairs
-from patchloom.workload.common import describe_sql, mann_whitney_sql, tidy
+from patchloom.plans import change_size, features, textpairs
+from patchloom.workload.common import describe_sql, tidy
 from patchloom.workload.registry import query
 from patchloom.workload.views import Views
 

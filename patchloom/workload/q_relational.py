@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.functions import paths, text, times, vectors
+from patchloom.functions import paths, times, vectors
 from patchloom.operators import predictors, quality, reshape, sampling
 from patchloom.plans import change_size, churn, features, textpairs
-from patchloom.sources.sinks import remaining
 from patchloom.workload.common import tidy
 from patchloom.workload.registry import query
 from patchloom.workload.views import Views

@@ -10,9 +10,7 @@ from patchloom.sources import payloads
 from patchloom.sources.catalog import Catalog
 from patchloom.sources.readers import read_table, read_whole_text
 from patchloom.sources.sinks import (
-    DETAIL_KEY,
     existing_table,
-    first_per_key,
     remaining,
     upsert_append,
     upsert_counted,

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import patches, paths, text, times, vectors
 from patchloom.operators import predictors
-from patchloom.plans import change_size, features, textpairs
-from patchloom.sources import payloads
+from patchloom.plans import features, textpairs
 from patchloom.workload.common import tidy
 from patchloom.workload.q_relational import COS, HEADING, ISSUE, OVERLAP, W
 from patchloom.workload.registry import query
