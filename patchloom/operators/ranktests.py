@@ -21,12 +21,15 @@ from patchloom.operators.cumulative import running_before
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-@F.pandas_udf("double")
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """p of a standard normal; runs on a handful of result rows."""
+def _normal_tails(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2.0)))
 
 
+def two_sided_p(z: Column) -> Column:
+    """p of a standard normal; runs on a handful of result rows."""
+    return F.pandas_udf(_normal_tails, "double")(z)
+
+
 def rank_table(df: DataFrame, keys: Sequence[str], group: str, labels: Sequence, value: str) -> DataFrame:
     """Per (keys, value): ``n_0 … n_k`` by group label, their sum ``n``, and the mid-rank."""
     member = [F.count(F.when(F.col(group) == F.lit(x), 1)).alias(f"n_{i}") for i, x in enumerate(labels)]
