@@ -289,3 +289,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     rows = sets.join(roots, sets.set_id == roots.node, "left").select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("root", "set_id").alias("root"))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "set_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: that of the least doc_id. Of repeated rows with that
+    doc_id one stays; rows without doc_id stay if their component has no doc_id, or no text."""
+    found = near_duplicates(docs, width, percent)
+    gone = materialize(found.where("doc_id IS NOT NULL AND doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select("doc_id", "set_id").distinct(), "gone")
+    again = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "again")
+    left = docs.join(gone.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti") if not gone.isEmpty() else docs
+    if not again.isEmpty():
+        twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        left = left.join(again, "doc_id", "left_anti").unionByName(twice)
+    return left.select(*docs.columns)
