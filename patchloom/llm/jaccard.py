@@ -2,8 +2,9 @@
 
 Each text has the set of its distinct word shingles (64-bit hashes). Equal sets are one node. Sizes fall into
 bands so wide that linked sets lie in the same or the next one. For a band at most ``d`` elements can differ
-between linked sets; cut into d + 1 parts by hash, they have a part in common. A tile holds the sets that share
-a band and a part. Copies of one passage inside other texts share no whole part, so tiles hold near copies only.
+between linked sets, so of their parts by hash at most d differ: a set with more than d filled parts shares a
+filled part with each set that it links with. There are as many parts as fill d + 1 of them almost surely; a set
+with fewer also cuts itself anew for each part that it lacks. A tile holds the sets that share a band and a part.
 
 Candidates are met twice. First, neighbours within each tile are checked; verified links join components. Then
 only tiles that still hold several components are compared, blocks against blocks: sizes and the differing bits
@@ -23,23 +24,28 @@ from pyspark.sql import functions as F
 
 from patchloom.llm.components import components
 from patchloom.llm.tables import arrow_pass, materialize, partitions
-from patchloom.llm.textbytes import BASE, MIX_2, Words, byte_view, mix, slices
+from patchloom.llm.textbytes import BASE, MIX_2, Words, byte_view, mix, slices, sums
 
 #: Bits of a signature; sets of a block when tiles are compared.
 BITS = 1024
 BLOCK = 512
 
 
-def bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least size of each band and how many elements may differ between linked sets up to its largest size."""
-    low, differ = [], []
+def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least size of each band, how many elements may differ between linked sets up to its largest size, and its parts."""
+    low, differ, parts = [], [], []
     size = 1
     while size < 1 << 40:
         high = size * 100 // percent
         low.append(size)
-        differ.append(2 * high * (100 - percent) // (100 + percent))
+        d = 2 * high * (100 - percent) // (100 + percent)
+        k = d + 1 + np.arange(d + 5 if d < 1000 else d // 2, dtype=float) if d < 1 << 22 else np.array([1.6 * d])
+        lacking = k * np.exp(-low[-2:][0] / k)
+        enough = np.flatnonzero(k - lacking - 5 * np.sqrt(lacking) > d)
+        differ.append(d)
+        parts.append(0 if d == 0 else int(k[enough[0] if len(enough) else -1]))
         size = high + 1
-    return np.array(low), np.array(differ)
+    return np.array(low), np.array(differ), np.array(parts)
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,14 +76,13 @@ def set_ids(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(total[first[1:]] - total[first[:-1]] + sizes.astype(np.uint64) * MIX_2).view(np.int64)
 
 
-def part_keys(h: np.ndarray, first: np.ndarray, low: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def part_keys(h: np.ndarray, first: np.ndarray, low: np.ndarray, differ: np.ndarray, n_parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, key) of each band and part of the sets."""
     sizes = np.diff(first)
     owners, keys = [], []
     for shift in (0, 1):
         band = np.searchsorted(low, np.maximum(sizes, 1), "right") - 1 + shift
-        parts = np.where(sizes > 0, differ[band] + 1, 0)
-        parts[parts == 1] = 0  # no element may differ: equal sets are one node anyway
+        parts = np.where(sizes > 0, n_parts[band], 0)  # none where no element may differ: equal sets are one node anyway
         text = np.repeat(np.arange(len(sizes)), sizes)
         used = parts[text] > 0
         text, value = text[used], h[used]
@@ -92,7 +97,8 @@ def part_keys(h: np.ndarray, first: np.ndarray, low: np.ndarray, differ: np.ndar
         empty = np.bincount(slot, minlength=len(content)) == 0
         owners.append(owner[~empty])
         keys.append(mix(mix(content[~empty]) + name[~empty]))
-        for i in np.flatnonzero(empty):  # both sets lack this part: they also agree in a part of a second cut
+        filled = sums(~empty, np.concatenate([place, [len(content)]]))
+        for i in np.flatnonzero(empty & (filled <= differ[band])[owner]):  # if both sets lack this part, they agree in a part of a second cut
             d = owner[i]
             own = h[first[d] : first[d + 1]]
             second = np.zeros(parts[d], np.uint64)
@@ -118,13 +124,13 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 def _shared(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(key, set_id, n) of the tiles with at least two sets; tiles stream past, sorted by size."""
-    low, differ = bands(percent)
+    low, differ, n_parts = bands(percent)
 
     def emit(batches):
         for batch in batches:
             for part in slices(batch, "_text"):
                 h, first = shingle_sets(part.column(0), width)
-                owner, key = part_keys(h, first, low, differ)
+                owner, key = part_keys(h, first, low, differ, n_parts)
                 ids, sizes = set_ids(h, first), np.diff(first)
                 yield {"key": key.view(np.int64), "set_id": ids[owner], "n": sizes[owner]}
 
