@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from patchloom.llm import decontaminate, jaccard, mixing, quality, sharding, suffixes
+from patchloom.llm import decontaminate, jaccard, language_model, mixing, quality, sharding, suffixes
 from patchloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.without_repeats(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_language_model")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(read(spark, sf_dir, "documents"))
