@@ -33,7 +33,7 @@ CLASSES, HIDDEN, LANES, WINDOW = 64, 24, 256, 32
 END, RARE, FIRST_ENDING = 0, 1, 2
 END_KEY = np.uint64(0x454E44)
 #: Texts of the first fit and how often it sees them; tokens that a task holds at once; learning rates of both fits.
-WARM_DOCS, WARM_PASSES, HELD_TOKENS, RATES = 2000, 3, 2_000_000, (0.01, 0.003)
+WARM_DOCS, WARM_PASSES, HELD_TOKENS, RATES = 2000, 3, 4_000_000, (0.01, 0.003)
 
 
 class Network:
@@ -122,7 +122,7 @@ class Adam:
 
 
 def lanes_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Texts (class codes) behind each other in lanes of similar length: codes, first steps, live steps, and each text's lane, begin and end."""
+    """Texts (class codes) behind each other in lanes of similar length, the longest first: codes, first steps, live steps, and each text's lane, begin and end."""
     n = min(LANES, max(1, len(texts)))
     length, spots, lanes = np.zeros(n, np.int64), [(0, 0, 0)] * len(texts), [[] for _ in range(n)]
     for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
@@ -130,6 +130,8 @@ def lanes_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         spots[i] = (lane, int(length[lane]), int(length[lane]) + len(texts[i]))
         lanes[lane].append(i)
         length[lane] += len(texts[i])
+    rank = np.argsort(np.argsort(-length, kind="stable"), kind="stable")
+    spots = [(int(rank[lane]), begin, end) for lane, begin, end in spots]
     steps = int(-(-length.max() // WINDOW) * WINDOW)
     codes, fresh, live = np.zeros((steps, n), np.uint8), np.zeros((steps, n), bool), np.zeros((steps, n), bool)
     for lane, begin, end in spots:
@@ -140,31 +142,33 @@ def lanes_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return codes, fresh, live, spots
 
 
-def _windows(codes, fresh):
+def _windows(codes, fresh, live):
+    """(rows, lanes, codes before) of each window: lanes that have ended are left out."""
     before = np.concatenate([np.full((1, codes.shape[1]), CLASSES, codes.dtype), codes[:-1]]) if len(codes) else codes
     before = np.where(fresh, CLASSES, before)
     for at in range(0, len(codes), WINDOW):
-        yield slice(at, at + WINDOW), before[at : at + WINDOW]
+        lanes = int(live[at].sum())
+        yield (slice(at, at + WINDOW), slice(0, lanes)), before[at : at + WINDOW, :lanes]
 
 
 def train(network: Network, texts: list[np.ndarray], adam: Adam) -> None:
     codes, fresh, live, _ = lanes_of(texts)
     h = np.zeros((codes.shape[1], HIDDEN), np.float32)
-    for at, before in _windows(codes, fresh):
-        grad, h = network.gradient(before, fresh[at], codes[at], live[at], h)
+    for at, before in _windows(codes, fresh, live):
+        grad, h = network.gradient(before, fresh[at], codes[at], live[at], h[at[1]])
         adam.apply(grad)
 
 
 def log_likelihood(network: Network, texts: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each text's class codes."""
     codes, fresh, live, spots = lanes_of(texts)
-    h, got = np.zeros((codes.shape[1], HIDDEN), np.float32), np.zeros(codes.shape)
-    for at, before in _windows(codes, fresh):
-        states, _ = network.forward(before, fresh[at], h)
+    h, got = np.zeros((codes.shape[1], HIDDEN), np.float32), np.zeros(codes.shape, np.float32)
+    for at, before in _windows(codes, fresh, live):
+        states, _ = network.forward(before, fresh[at], h[at[1]])
         h = states[-1]
         logs = network.log_shares(states)
         got[at] = logs[np.arange(len(logs)), codes[at].ravel()].reshape(before.shape)
-    return np.array([got[a:b, lane].sum() for lane, a, b in spots]) / np.log(10)
+    return np.array([got[a:b, lane].sum(dtype=float) for lane, a, b in spots]) / np.log(10)
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:

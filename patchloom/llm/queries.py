@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from patchloom.llm import decontaminate, jaccard, language_model, mixing, quality, sharding, suffixes
+from patchloom.llm import decontaminate, html, jaccard, language_model, mixing, quality, sharding, suffixes
 from patchloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_language_model")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(read(spark, sf_dir, "documents"))
+
+
+@query("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(read(spark, sf_dir, "pages"))
