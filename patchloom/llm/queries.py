@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from patchloom.llm import decontaminate, html, jaccard, language_model, mixing, quality, sharding, suffixes
+from patchloom.llm import decontaminate, html, jaccard, language_model, mixing, quality, quotes, sharding, suffixes, token_counts
 from patchloom.llm.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_html_extraction")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(read(spark, sf_dir, "pages"))
+
+
+@query("op8_quotation_linking")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(read(spark, sf_dir, "conversations"))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_counts.sample_edits(read(spark, sf_dir, "documents"))
+    return token_counts.edited(token_counts.trees(docs)).drop("text", "lengths", "tokens")
