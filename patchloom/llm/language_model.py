@@ -209,9 +209,9 @@ def encoded(docs: DataFrame) -> DataFrame:
     at least twice), once, unseen, codes; and rows with ``stats``: sums over words of each class, then of words seen once, twice,
     at all, and tokens."""
     n = partitions(docs.sparkSession)
-    parts = 2 * n
+    parts = n
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.crc32(name.cast("binary")) % 5 == 1).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(4 * n)).cast("int").alias("pid"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.crc32(name.cast("binary")) % 5 == 1).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * n)).cast("int").alias("pid"))
     texts = texts.repartition(n, "pid")
 
     def by_part(keys):

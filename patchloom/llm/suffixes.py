@@ -287,8 +287,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, starts and ends of the removed runs, and the ``kept`` bytes."""
     spark = docs.sparkSession
     n = partitions(spark)
-    parts = 2 * n
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("pid", F.pmod(F.xxhash64("doc_id"), F.lit(4 * n)).cast("int"))
+    parts = n
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("pid", F.pmod(F.xxhash64("doc_id"), F.lit(2 * n)).cast("int"))
     texts = texts.repartition(n, "pid")
     schema = "part int, pid int, blob binary"
 

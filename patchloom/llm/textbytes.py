@@ -75,11 +75,17 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     out = np.zeros(len(starts), np.uint64)
     some = lengths > 0
     starts, lengths = starts[some], lengths[some]
-    if len(starts):
-        firsts = np.cumsum(lengths) - lengths
-        within = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
-        values = (data[np.repeat(starts, lengths) + within].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[within]
-        out[some] = mix(np.add.reduceat(values, firsts) + lengths.astype(np.uint64) * MIX_2)
+    ends, found, at = np.cumsum(lengths), [], 0
+    while at < len(starts):  # some megabytes at once
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        begin, length = starts[at:stop], lengths[at:stop]
+        firsts = np.cumsum(length) - length
+        within = np.arange(int(length.sum())) - np.repeat(firsts, length)
+        values = (data[np.repeat(begin, length) + within].astype(np.uint64) + np.uint64(1)) * powers(int(length.max()))[within]
+        found.append(mix(np.add.reduceat(values, firsts) + length.astype(np.uint64) * MIX_2))
+        at = stop
+    if found:
+        out[some] = np.concatenate(found)
     return out
 
 
