@@ -34,7 +34,7 @@ def _lines(text: Column) -> Column:
 
 def quoted_lines(messages: DataFrame) -> DataFrame:
     """conv_id, turn, h (hash of the message), level and key of each quoted line with words."""
-    lines = messages.where(F.col("text").rlike("(?m)" + QUOTED)).select("conv_id", "turn", F.xxhash64("text").alias("h"), F.explode(_lines(F.col("text"))).alias("line")).where(F.col("line").rlike(QUOTED))
+    lines = messages.where(F.col("text").rlike("(?m)" + QUOTED)).select("conv_id", "turn", "text").distinct().select("conv_id", "turn", F.xxhash64("text").alias("h"), F.explode(_lines(F.col("text"))).alias("line")).where(F.col("line").rlike(QUOTED))
     level = F.length(F.regexp_replace(F.regexp_extract("line", MARKS, 1), "[^>]", ""))
     body = normalised(F.regexp_replace("line", MARKS, ""))
     return lines.select("conv_id", "turn", "h", level.alias("level"), body.alias("body")).where("body <> ''").select("conv_id", "turn", "h", "level", F.xxhash64("body").alias("key"), F.crc32(F.col("body").cast("binary")).alias("check"))

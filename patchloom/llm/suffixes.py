@@ -118,7 +118,7 @@ def common(a: bytes, b: bytes) -> int:
 
 def front_coded(suffixes: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
     """Common prefix with the one before, length, and the remaining bytes of sorted suffixes."""
-    shared = [0, *(common(a, b) for a, b in zip(suffixes, suffixes[1:], strict=False))]
+    shared = [0, *(common(a, b) for a, b in zip(suffixes, suffixes[1:], strict=False))][: len(suffixes)]
     return np.array(shared, np.uint8), np.array([len(s) for s in suffixes], np.uint8), b"".join(s[k:] for s, k in zip(suffixes, shared, strict=True))
 
 
