@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from patchloom.llm.components import components
 from patchloom.llm.tables import arrow_pass, materialize, partitions
-from patchloom.llm.textbytes import BASE, MIX_2, Words, byte_view, mix, slices, sums
+from patchloom.llm.textbytes import BASE, MIX_2, Words, byte_view, hash_runs, mix, slices, sums
 
 #: Bits of a signature; sets of a block when tiles are compared.
 BITS = 1024
 BLOCK = 512
+#: Bits of the filter that names the texts whose arrays are wanted: of fixed size, so that it may be sent to all.
+FILTER_BITS = 1 << 23
 
 
 def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,18 +110,30 @@ def part_keys(h: np.ndarray, first: np.ndarray, low: np.ndarray, differ: np.ndar
     return np.concatenate(owners), np.concatenate(keys)
 
 
+def _row_hashes(k: pa.Array, ids: np.ndarray) -> np.ndarray:
+    """Names a row by its set and its k."""
+    data, offsets = byte_view(k)
+    return mix(hash_runs(data, offsets[:-1], np.diff(offsets)) ^ ids.view(np.uint64)).view(np.int64)
+
+
+def signature(elements: np.ndarray) -> bytes:
+    flags = np.zeros(BITS, bool)
+    flags[(mix(elements ^ MIX_2) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(k, doc_id, n, set_id) per row; k names the row for looking its text up again."""
+    """(k, doc_id, n, set_id, r, bits) per row; r names the row for looking its text up again."""
 
     def work(batches):
         for batch in batches:
             for part in slices(batch, "_text"):
                 h, first = shingle_sets(part.column(2), width)
-                n = np.diff(first)
-                yield {"k": part.column(0), "doc_id": part.column(1), "n": n, "set_id": pa.array(set_ids(h, first), mask=n == 0)}
+                n, ids = np.diff(first), set_ids(h, first)
+                yield {"k": part.column(0), "doc_id": part.column(1), "n": n, "set_id": pa.array(ids, mask=n == 0), "r": _row_hashes(part.column(0), ids), "bits": [signature(h[a:b]) for a, b in zip(first, first[1:], strict=False)]}
 
     kind = dict(docs.dtypes)["doc_id"]
-    return arrow_pass(docs.select("_k", "doc_id", "_text"), f"k string, doc_id {kind}, n long, set_id long", work)
+    return arrow_pass(docs.select("_k", "doc_id", "_text"), f"k string, doc_id {kind}, n long, set_id long, r long, bits binary", work)
 
 
 def _shared(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -161,26 +175,35 @@ def _shared(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return arrow_pass(rows.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "n", "set_id"), schema, pick)
 
 
-def _arrays(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_id, n, bits, elements) of the wanted sets (k, id), each from one of its texts."""
+def _filter_words(rows: DataFrame) -> np.ndarray:
+    """A Bloom filter over r, in 64-bit words; its size doesn't depend on the rows."""
+    bit = F.explode(F.array(F.col("r").bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned("r", 32).bitwiseAND(FILTER_BITS - 1))).alias("bit")
+    words = rows.select(bit).groupBy(F.shiftrightunsigned("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("x"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.collect():
+        out[r.w] = r.x
+    return out.view(np.uint64)
+
+
+def _arrays(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(set_id, elements) of the sets in the pairs, each from its representative's text. The filter picks those texts where
+    they are read, so that no other text is moved; what it lets through besides finds no pair."""
+    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(reps, "set_id")
+    known = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted))
+    low = np.uint64(FILTER_BITS - 1)
 
     def work(batches):
+        words = known.value
+        holds = lambda bit: (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
         for batch in batches:
             for part in slices(batch, "_text"):
                 h, first = shingle_sets(part.column(1), width)
                 ids = set_ids(h, first)
-                keep = np.flatnonzero((ids == part.column(0).to_numpy()) & (np.diff(first) > 0))
-                bits, elements = [], []
-                for i in keep:
-                    own = h[first[i] : first[i + 1]]
-                    flags = np.zeros(BITS, bool)
-                    flags[(mix(own ^ MIX_2) % np.uint64(BITS)).astype(np.int64)] = True
-                    bits.append(np.packbits(flags).tobytes())
-                    elements.append(own.tobytes())
-                yield {"set_id": ids[keep], "n": np.diff(first)[keep], "bits": bits, "elements": elements}
+                r = _row_hashes(part.column(0), ids).view(np.uint64)
+                keep = np.flatnonzero((holds(r & low) & holds(r >> np.uint64(32) & low)).astype(bool) & (np.diff(first) > 0))
+                yield {"set_id": ids[keep], "elements": [h[first[i] : first[i + 1]].tobytes() for i in keep]}
 
-    texts = docs.join(wanted, F.col("_k") == F.col("k")).select("id", "_text")
-    return arrow_pass(texts, "set_id long, n long, bits binary, elements binary", work).dropDuplicates(["set_id"])
+    return materialize(arrow_pass(docs.select("_k", "_text"), "set_id long, elements binary", work).dropDuplicates(["set_id"]), "arrays")
 
 
 def may_link(n_a, n_b, differing, percent: int):
@@ -193,17 +216,29 @@ def _bit_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
 
 
-def verified(pairs: DataFrame, arrays: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
-    """The pairs (a, b) that link. Signatures sort out first unless that was done (``bounded``)."""
+def _with(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("set_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+    return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
+
 
-    def bound(batches):
+def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures let link."""
+
+    def work(batches):
         for batch in batches:
             a, b, n_a, n_b = (batch.column(i).to_numpy() for i in range(4))
             differing = np.bitwise_count(_bit_matrix(batch.column(4)) ^ _bit_matrix(batch.column(5))).sum(1) if batch.num_rows else np.zeros(0, int)
             keep = may_link(n_a, n_b, differing, percent)
             yield {"a": a[keep], "b": b[keep]}
 
-    def exact(batches):
+    return arrow_pass(_with(pairs, reps, "n", "bits"), "a long, b long", work)
+
+
+def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+
+    def work(batches):
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
@@ -213,14 +248,7 @@ def verified(pairs: DataFrame, arrays: DataFrame, percent: int, bounded: bool =
             at = np.flatnonzero(np.array(keep, bool))
             yield {"a": batch.column(0).to_numpy()[at], "b": batch.column(1).to_numpy()[at]}
 
-    def sides(rows: DataFrame, *columns: str) -> DataFrame:
-        for side in ("a", "b"):
-            rows = rows.join(arrays.select(F.col("set_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-        return rows.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
-
-    if not bounded:
-        pairs = arrow_pass(sides(pairs, "n", "bits"), "a long, b long", bound)
-    return arrow_pass(sides(pairs, "elements"), "a long, b long", exact)
+    return arrow_pass(_with(pairs, arrays, "elements"), "a long, b long", work)
 
 
 def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
@@ -266,14 +294,14 @@ def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     return arrow_pass(tiles.repartition(partitions(tiles.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q"), "a long, b long", work)
 
 
-def _open_tiles(shared: DataFrame, roots: DataFrame, arrays: DataFrame) -> DataFrame:
+def _open_tiles(shared: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
     """The tiles that hold several components, one of those with the same sets, cut into pairs of blocks."""
     named = shared.join(roots, shared.set_id == roots.node, "left").select("key", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
     by_tile = named.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("same"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     one = by_tile.groupBy("c", "same").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     rows = named.join(one, "key").withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "set_id", "n", "root").join(arrays.select("set_id", "bits"), "set_id")
+    return rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "set_id", "n", "root").join(reps.select("set_id", "bits"), "set_id")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -281,16 +309,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     docs = docs.select("doc_id", F.col("text").cast("string").alias("_text")).withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.xxhash64("_text"))))
     sets = materialize(_sets(docs, width), "sets")
     shared = materialize(_shared(docs, width, percent), "tiles")
-    wanted = shared.select("set_id").distinct().join(sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("k").alias("k")), "set_id").select("k", F.col("set_id").alias("id"))
-    arrays = materialize(_arrays(docs, wanted, width), "arrays")
+    in_tiles = shared.select("set_id").distinct()
+    reps = materialize(sets.join(in_tiles, "set_id", "left_semi").groupBy("set_id").agg(F.min_by(F.struct("n", "r", "bits"), "k").alias("x")).select("set_id", "x.*"), "signatures")
     in_tile = Window.partitionBy("key")
     chained = [
         shared.select(F.col("set_id").alias("x"), F.lag("set_id").over(in_tile.orderBy(*order)).alias("y")) for order in ((F.col("n"), F.col("set_id")), (F.xxhash64("set_id"), F.col("n")))
     ]
     first_pairs = chained[0].union(chained[1]).where("y IS NOT NULL").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = materialize(verified(first_pairs, arrays, percent), "links")
-    rest = _tile_pairs(_open_tiles(shared, materialize(components(links, "roots"), "roots"), arrays), percent).distinct()
-    more = materialize(verified(rest, arrays, percent, bounded=True), "links")
+    may = materialize(bounded(first_pairs, reps, percent), "pairs")
+    links = materialize(verified(may, _arrays(docs, reps, may, width), percent), "links")
+    rest = materialize(_tile_pairs(_open_tiles(shared, materialize(components(links, "roots"), "roots"), reps), percent).distinct(), "pairs")
+    more = materialize(verified(rest, _arrays(docs, reps, rest, width), percent), "links")
     roots = components(links.union(more), "roots")
     rows = sets.join(roots, sets.set_id == roots.node, "left").select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("root", "set_id").alias("root"))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
