@@ -70,7 +70,7 @@ class HashedWords:
         for text in texts:
             slots = [0.0] * self.size
             for word in words_of(text):
-                slots[int(hashlib.md5(word.encode()).hexdigest()[:2], 16) % self.size] += 1.0
+                slots[int(hashlib.md5(word.encode()).hexdigest()[:15], 16) % self.size] += 1.0
             out.append(slots)
         return out
 

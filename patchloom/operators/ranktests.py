@@ -112,12 +112,12 @@ def dunn_holm(
     if alpha is not None:
         tested = tested.where(F.col("p_value") < F.lit(alpha))
     n = F.col("size").cast("double")
-    base = n * (n + 1) / 12 - F.col("ties") / (12 * (n - 1))
+    base = n * (n + 1) / 12 - F.try_divide(F.col("ties"), 12 * (n - 1))
     pairs = []
     for i in range(len(labels)):
         for j in range(i + 1, len(labels)):
-            gap = F.col(f"ranks_{i}") / F.col(f"size_{i}") - F.col(f"ranks_{j}") / F.col(f"size_{j}")
-            width = F.sqrt(base * (1 / F.col(f"size_{i}") + 1 / F.col(f"size_{j}")))
+            gap = F.try_divide(F.col(f"ranks_{i}"), F.col(f"size_{i}")) - F.try_divide(F.col(f"ranks_{j}"), F.col(f"size_{j}"))
+            width = F.sqrt(base * (F.try_divide(F.lit(1.0), F.col(f"size_{i}")) + F.try_divide(F.lit(1.0), F.col(f"size_{j}"))))
             pairs.append(
                 F.struct(
                     F.lit(labels[i]).cast("string").alias("first"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,19 +28,16 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str, va
     return df.unpivot(list(ids), list(values), name, value)
 
 
-def categories_of(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """Sorted distinct values as text; raises beyond ``limit``, since each becomes a column."""
-    found = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("c")).distinct()
-    values = [r.c for r in found.limit(limit + 1).collect()]
-    if len(values) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
-    return sorted(values)
+def one_hot(df: DataFrame, column: str, categories: Sequence[str]) -> DataFrame:
+    """``<column>_<category>`` INT columns for the listed categories in place of the column."""
+    flags = [F.coalesce((F.col(column) == F.lit(c)).cast("int"), F.lit(0)).alias(f"{column}_{c}") for c in categories]
+    return df.select(*[c for c in df.columns if c != column], *flags)
 
 
-def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None) -> DataFrame:
-    """``<column>_<category>`` INT columns in place of the column."""
-    labels = categories if categories is not None else categories_of(df, column)
-    flags = [
-        F.coalesce((F.col(column) == F.lit(c)).cast("int"), F.lit(0)).alias(f"{column}_{c}") for c in labels
-    ]
-    return df.select(*[c for c in df.columns if c != column], *flags)
+def one_hot_vector(df: DataFrame, column: str) -> DataFrame:
+    """``<column>_vector`` in place of the column: a sparse vector with one place per value, by falling frequency, for any
+    number of values; null gives a vector of zeros."""
+    index = StringIndexer(inputCol=column, outputCol=f"{column}_index", handleInvalid="keep").fit(df)
+    encoder = OneHotEncoder(inputCol=f"{column}_index", outputCol=f"{column}_vector", dropLast=True)
+    indexed = index.transform(df)
+    return encoder.fit(indexed).transform(indexed).drop(column, f"{column}_index")

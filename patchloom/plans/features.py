@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.functions import paths, text
-from patchloom.operators.reshape import one_hot
+from patchloom.operators.reshape import one_hot, one_hot_vector
 
 # Change status of a file.
 STATUSES = ("added", "removed", "modified", "renamed", "copied", "changed", "unchanged")
@@ -143,7 +143,8 @@ def labelled_matrix(
     threshold: float = 0.9,
     categories: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows with a similarity, label 1 from the threshold on, zero-filled and one-hot encoded.
+    """Rows with a similarity, label 1 from the threshold on, zero-filled and one-hot encoded: columns for
+    listed categories, else one sparse vector.
 
     Filling comes first: a missing task type becomes the category ``0``.
     """
@@ -151,7 +152,7 @@ def labelled_matrix(
     label = F.when(F.col("similarity") >= F.lit(threshold), F.lit(1)).otherwise(F.lit(0))
     kept = labelled.withColumn("label", label).drop("pr_title", "pr_body", "similarity", "total_changes")
     filled = fill_zero(kept, keep=["pr_id", "label"])
-    wide = one_hot(filled, "task_type", categories)
+    wide = one_hot(filled, "task_type", categories) if categories is not None else one_hot_vector(filled, "task_type")
     return wide.drop("contains_issue_task_linking", "common_template_heading_score", "contains_checklist_items")
 
 

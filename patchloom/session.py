@@ -38,12 +38,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the cluster's checkpoint folder.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) falls back to
-    a temporary folder of this machine.
+    Only a session on one machine (master ``local``) may do without ``spark.checkpoint.dir``;
+    it gets a temporary folder. On a cluster executors would not share one.
     """
     context = spark.sparkContext
     base = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="patchloom-")
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/patchloom/{label}-{uuid.uuid4().hex}"

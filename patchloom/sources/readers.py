@@ -26,12 +26,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"')
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON Lines, or one array or object spread over lines; the first line tells which."""
-    first = spark.read.text(path).limit(1).collect()
-    head = first[0].value.strip() if first else ""
-    lines = head.startswith("{") and head.endswith("}")
-    return spark.read.json(path, schema=schema, multiLine=not lines)
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = True) -> DataFrame:
+    """JSON Lines, or with ``lines=False`` one array or object per file; a malformed record fails the read."""
+    return spark.read.json(path, schema=schema, multiLine=not lines, mode="FAILFAST")
 
 
 def read_table(
@@ -39,13 +36,14 @@ def read_table(
     path: str,
     schema: T.StructType | str | None = None,
     allowed: tuple[str, ...] = FORMATS,
+    lines: bool = True,
 ) -> DataFrame:
-    """Scan by file suffix. CSV needs a schema so that the file is read once."""
+    """Scan by file suffix. CSV needs a schema so that the file is read once; ``lines`` holds for JSON."""
     kind = format_of(path, allowed)
     if kind == "parquet":
         return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     if kind == "json":
-        return read_json(spark, path, schema)
+        return read_json(spark, path, schema, lines)
     if schema is None:
         raise ValueError("a CSV scan needs a schema")
     return read_csv(spark, path, schema)
@@ -62,21 +60,3 @@ def text_literal(spark: SparkSession, path: str) -> Column:
     if len(rows) != 1:
         raise ValueError(f"expected one file at {path}")
     return F.lit(rows[0].value)
-
-
-def _bytes_of(spark: SparkSession, path: str) -> int:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(conf).getContentSummary(target).getLength()
-
-
-def spread_small(df: DataFrame, path: str, *by: str) -> DataFrame:
-    """Give every core a share of a small input, by hash of the named columns.
-
-    A small Parquet file has one row group and so one task, which makes work per row (patterns,
-    JSON, models) run on a single core. Inputs with a split for every core are left alone.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores, *by) if _bytes_of(spark, path) < cores * split else df

@@ -565,7 +565,7 @@ def r6(v: Views) -> DataFrame:
     ("types_all",),
 )
 def r7(v: Views) -> DataFrame:
-    return reshape.one_hot(change_size.task_types(v.agent_types(), v.human_types()), "task_type")
+    return reshape.one_hot(change_size.task_types(v.agent_types(), v.human_types()), "task_type", ["build", "chore", "docs", "feat", "fix", "test"])
 
 
 # --- data checks -----------------------------------------------------------------------------

@@ -537,7 +537,7 @@ def m04(v: Views) -> DataFrame:
     return tidy(predictors.add_language(docs, "text").drop("text"))
 
 
-SLOTS = r"""w AS (SELECT conv_id, turn, ('0x' || md5(unnest(regexp_extract_all(text, '\S+')))[1:2])::INTEGER % 16 AS dim FROM conversations)"""
+SLOTS = r"""w AS (SELECT conv_id, turn, ('0x' || md5(unnest(regexp_extract_all(text, '\S+')))[1:15])::BIGINT % 16 AS dim FROM conversations)"""
 
 
 @query(

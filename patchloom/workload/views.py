@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.session import prepare
-from patchloom.sources.readers import spread_small
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
@@ -60,8 +59,8 @@ class Views:
         )
 
     def spread(self, name: str, *columns: str) -> DataFrame:
-        """Chosen columns, the key first, of a table whose rows get much work each."""
-        return spread_small(self.table(name).select(*columns), f"{self.dir}/{name}.parquet", columns[0])
+        """Chosen columns of a table; how it is split follows from how it was written."""
+        return self.table(name).select(*columns)
 
     def _agent(self) -> Column:
         priority = F.col("o_orderpriority")

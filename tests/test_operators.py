@@ -163,10 +163,11 @@ def test_reshape(spark):
     df = frame(spark, [(["a", "a", "b"], ["b"])], "x ARRAY<STRING>, y ARRAY<STRING>")
     row = df.select(reshape.without(F.col("x"), F.col("y")).alias("w"), reshape.overlaps(F.col("x"), F.col("y")).alias("o")).first()
     assert (row.w, row.o) == (["a", "a"], True)
-    hot = reshape.one_hot(frame(spark, [(1, "b"), (2, "a"), (3, None)], "k INT, c STRING"), "c")
+    hot = reshape.one_hot(frame(spark, [(1, "b"), (2, "a"), (3, None)], "k INT, c STRING"), "c", ["a", "b"])
     assert hot.columns == ["k", "c_a", "c_b"]
-    with pytest.raises(ValueError):
-        reshape.categories_of(spark.range(20), "id", limit=5)
+    many = spark.range(1300).select(F.col("id").cast("string").alias("c")).union(spark.sql("SELECT CAST(null AS STRING)"))
+    vectors = [r.c_vector for r in reshape.one_hot_vector(many, "c").collect()]
+    assert {v.size for v in vectors} == {1300} and sorted(v.numNonzeros() for v in vectors) == [0] + [1] * 1300
 
 
 def test_judge_retries_skips_and_checks_range(spark):
@@ -241,3 +242,11 @@ def test_auc_and_roc(spark):
     assert (points[-1].fpr, points[-1].tpr) == (1.0, 1.0)
     area = sum((b.fpr - a[0]) * (b.tpr + a[1]) / 2 for a, b in zip([(0.0, 0.0)] + [(p.fpr, p.tpr) for p in points], points))
     assert area == pytest.approx(want)
+
+
+def test_dunn_with_an_absent_label(spark):
+    from patchloom.operators.ranktests import dunn_holm
+
+    df = frame(spark, [("k", "a", 1.0), ("k", "a", 2.0), ("k", "b", 5.0), ("one", "a", 1.0)], "k STRING, g STRING, v DOUBLE")
+    got = {(r.k, r.first, r.second): r.z_stat for r in dunn_holm(df, "g", "v", ["a", "b", "c"], ["k"], alpha=None).collect()}
+    assert got["k", "a", "b"] is not None and got["k", "a", "c"] is None and got["one", "a", "b"] is None

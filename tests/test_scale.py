@@ -54,9 +54,13 @@ def test_common_name_costs_one_row_per_task(spark):
 
 def test_scratch_folder_follows_the_session(spark, tmp_path):
     made = []
-    context = SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+    context = SimpleNamespace(master="local[2]", getCheckpointDir=lambda: None, setCheckpointDir=made.append)
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context)
     assert scratch_dir(unset, "x").startswith(made[0])
     shared = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: "hdfs://shared/cp/"), sparkContext=context)
     assert scratch_dir(shared, "x").startswith("hdfs://shared/cp/patchloom/x-")
     assert len(made) == 1
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        context.master = master
+        with pytest.raises(ValueError):
+            scratch_dir(unset, "x")

@@ -25,7 +25,23 @@ def test_round_trip(spark, tmp_path, kind):
 def test_json_array_over_several_lines(spark, tmp_path):
     path = tmp_path / "a.json"
     path.write_text(json.dumps([{"id": 1, "t": "x\ny"}, {"id": 2, "t": None}], indent=2))
-    assert readers.read_table(spark, str(path), "id LONG, t STRING").count() == 2
+    assert readers.read_table(spark, str(path), "id LONG, t STRING", lines=False).count() == 2
+
+
+@pytest.mark.parametrize("text", ['\n{"x":1}\n{"x":2}\n{"x":3}', '{"x":1}\n\n{"x":2}\n{"x":3}'])
+def test_json_lines_keep_every_row(spark, tmp_path, text):
+    path = tmp_path / "a.json"
+    path.write_text(text)
+    assert sorted(r.x for r in readers.read_table(spark, str(path), "x INT").collect()) == [1, 2, 3]
+
+
+def test_malformed_json_fails_the_read(spark, tmp_path):
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('[{"x":1},\n{"x":2}')
+    (folder / "b.json").write_text('{"x":3}\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.read_table(spark, str(folder), "x INT").collect()
 
 
 def test_unsupported_suffix(spark, tmp_path):
