@@ -26,8 +26,8 @@ from patchloom.llm.components import components
 from patchloom.llm.tables import arrow_pass, materialize, partitions
 from patchloom.llm.textbytes import BASE, MIX_2, Words, byte_view, hash_runs, mix, slices, sums
 
-#: Bits of a signature; sets of a block when tiles are compared.
-BITS = 1024
+#: Least bits of a signature (it has two to four for each element); sets of a block when tiles are compared.
+BITS = 512
 BLOCK = 512
 #: Bits of the filter that names the texts whose arrays are wanted: of fixed size, so that it may be sent to all.
 FILTER_BITS = 1 << 23
@@ -117,11 +117,19 @@ def _row_hashes(k: pa.Array, ids: np.ndarray) -> np.ndarray:
 
 
 def signature(elements: np.ndarray) -> bytes:
-    flags = np.zeros(BITS, bool)
-    flags[(mix(elements ^ MIX_2) % np.uint64(BITS)).astype(np.int64)] = True
+    bits = max(BITS, 1 << (2 * len(elements) - 1).bit_length()) if len(elements) else BITS
+    flags = np.zeros(bits, bool)
+    flags[(mix(elements ^ MIX_2) % np.uint64(bits)).astype(np.int64)] = True
     return np.packbits(flags).tobytes()
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A signature as it would be with fewer bits, in 64-bit words."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     """(k, doc_id, n, set_id, r, bits) per row; r names the row for looking its text up again."""
 
@@ -201,9 +209,9 @@ def _arrays(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int) -> D
                 ids = set_ids(h, first)
                 r = _row_hashes(part.column(0), ids).view(np.uint64)
                 keep = np.flatnonzero((holds(r & low) & holds(r >> np.uint64(32) & low)).astype(bool) & (np.diff(first) > 0))
-                yield {"set_id": ids[keep], "elements": [h[first[i] : first[i + 1]].tobytes() for i in keep]}
+                yield {"set_id": ids[keep], "elements": [h[first[i] : first[i + 1]].view(np.int64) for i in keep]}
 
-    return materialize(arrow_pass(docs.select("_k", "_text"), "set_id long, elements binary", work).dropDuplicates(["set_id"]), "arrays")
+    return materialize(arrow_pass(docs.select("_k", "_text"), "set_id long, elements array<long>", work).dropDuplicates(["set_id"]), "arrays")
 
 
 def may_link(n_a, n_b, differing, percent: int):
@@ -213,7 +221,10 @@ def may_link(n_a, n_b, differing, percent: int):
 
 
 def _bit_matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
+    """Signatures under each other, folded to the shortest."""
+    rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+    words = min(map(len, rows))
+    return np.stack([folded(x, words) for x in rows])
 
 
 def _with(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -228,7 +239,11 @@ def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             a, b, n_a, n_b = (batch.column(i).to_numpy() for i in range(4))
-            differing = np.bitwise_count(_bit_matrix(batch.column(4)) ^ _bit_matrix(batch.column(5))).sum(1) if batch.num_rows else np.zeros(0, int)
+            differing = np.zeros(batch.num_rows, np.int64)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (4, 5))
+                words = min(len(x), len(y))
+                differing[i] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()
             keep = may_link(n_a, n_b, differing, percent)
             yield {"a": a[keep], "b": b[keep]}
 
@@ -236,19 +251,9 @@ def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-
-    def work(batches):
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            at = np.flatnonzero(np.array(keep, bool))
-            yield {"a": batch.column(0).to_numpy()[at], "b": batch.column(1).to_numpy()[at]}
-
-    return arrow_pass(_with(pairs, arrays, "elements"), "a long, b long", work)
+    """The pairs (a, b) that link, by exact intersection."""
+    both = F.size(F.array_intersect("elements_a", "elements_b"))
+    return _with(pairs, arrays, "elements").where(100 * both >= percent * (F.size("elements_a") + F.size("elements_b") - both)).select("a", "b")
 
 
 def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
