@@ -223,6 +223,11 @@ SCAN_FUNCTION = {
     "cpp": r"^(?!return\b|else\b|if\b|for\b|while\b|switch\b|new\b|using\b)[A-Za-z_][\w:<>,*& \t]*[ \t*&](\w+)\([^;]*$",
     "rust": r"^(?:pub(?:\([^)]*\))?[ \t]+)?(?:async[ \t]+)?(?:unsafe[ \t]+)?fn[ \t]+(\w+)",
 }
+# What may hold braces that are no blocks, within a line: quoted text, and comments. Where a single quote
+# also marks lifetimes or digit groups, only one character stands between two.
+NOTES = r"//.*|/\*.*?\*/"
+TEXTS_AND_NOTES = r'"(?:\\.|[^"\\])*"|' + r"'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|" + NOTES
+CHARS_AND_NOTES = r'"(?:\\.|[^"\\])*"|' + r"'(?:\\.|[^'\\])'|" + NOTES
 SCAN_ARROW = r"^(?:export[ \t]+)?(?:const|let|var)[ \t]+(\w+)[^=]*=[^=>][^;]*=>"
 
 
@@ -261,14 +266,16 @@ def _fold_indent(lines: Column, language: str) -> Column:
     def step(acc: Column, line: Column) -> Column:
         depth = F.length(F.regexp_extract(line, r"^[ \t]*", 0))
         body = F.ltrim(line)
-        still_open = F.filter(acc["open"], lambda b: b["depth"] < depth)
+        ends_header = body.rlike(r"^[)\]}]")  # the last line of a header over several lines belongs to the block it opens
+        still_open = F.filter(acc["open"], lambda b: (b["depth"] < depth) | (ends_header & (b["depth"] == depth)))
         in_class = F.coalesce(F.try_element_at(still_open, F.lit(-1))["is_class"], F.lit(False))
         cls, fn = _match(body, SCAN_CLASS[language]), _match(body, SCAN_FUNCTION[language])
+        opens = ((cls != "") | (fn != "") | body.rlike(r":\s*(?:#.*)?$")) & ~ends_header
         block = F.struct(depth.alias("depth"), (cls != "").alias("is_class"))
         return F.struct(
             _append(acc["classes"], cls).alias("classes"),
             _append(acc["functions"], F.when(in_class, F.lit("")).otherwise(fn)).alias("functions"),
-            F.when(body.rlike(r":\s*(?:#.*)?$"), F.array_append(still_open, block)).otherwise(still_open).alias("open"),
+            F.when(opens, F.array_append(still_open, block)).otherwise(still_open).alias("open"),
         )
 
     return F.aggregate(lines, start, step, _result)
@@ -288,12 +295,14 @@ def _fold_braces(lines: Column, language: str) -> Column:
         fn = _match(body, SCAN_FUNCTION.get(language))
         if language in ("javascript", "typescript"):
             fn = F.when(fn == "", _match(body, SCAN_ARROW)).otherwise(fn)
+        code = F.regexp_replace(line, CHARS_AND_NOTES if language in ("cpp", "c_sharp", "rust") else TEXTS_AND_NOTES, "")
         owner = (cls != "") | (body.rlike(SCAN_OWNER[language]) if language in SCAN_OWNER else F.lit(False))
+        owner = owner & (code.contains("{") | ~code.rlike(r";\s*$"))  # a declaration without a body opens no block
         inside = acc["class_depth"] >= 0
-        change = F.regexp_count(line, F.lit(r"\{")) - F.regexp_count(line, F.lit(r"\}"))
+        change = F.regexp_count(code, F.lit(r"\{")) - F.regexp_count(code, F.lit(r"\}"))
         depth = acc["depth"] + change
         opened = F.when(inside, acc["class_depth"]).when(owner, acc["depth"]).otherwise(F.lit(-1))
-        closed = (opened >= 0) & (depth <= opened) & line.contains("}")
+        closed = (opened >= 0) & (depth <= opened) & code.contains("}")
         return F.struct(
             _append(acc["classes"], cls).alias("classes"),
             _append(acc["functions"], F.when(inside | (cls != ""), F.lit("")).otherwise(fn)).alias("functions"),

@@ -114,3 +114,20 @@ def test_definitions_leave_methods_out(one):
     cpp = "class A {\npublic:\n    void greet() {\n    }\n};\nint add(int a, int b) {\n    return a + b;\n}\n"
     assert definitions(one, cpp, "cpp") == (["A"], ["add"])
     assert definitions(one, "x", "cobol") == ([], [])
+
+
+def test_definitions_with_headers_over_several_lines(one):
+    python = "class Box(\n    Base,\n    Other,\n):\n    def put(self):\n        pass\n\ndef take(\n    a,\n):\n    def inside():\n        pass"
+    assert definitions(one, python, "python") == (["Box"], ["take", "inside"])
+
+
+def test_definitions_without_a_body_open_no_block(one):
+    assert definitions(one, "class Node;\nint size(int a) {\n    return a;\n}", "cpp") == (["Node"], ["size"])
+    assert definitions(one, "struct Unit;\nstruct Pair(i32, i32);\nfn free() {\n}", "rust") == (["Unit", "Pair"], ["free"])
+
+
+def test_braces_in_texts_and_comments_are_no_blocks(one):
+    js = "class Doc {\n  open() {\n    return '{';\n  } // {\n}\nfunction close() {\n  return `}`;\n}"
+    assert definitions(one, js, "javascript") == (["Doc"], ["close"])
+    rust = "impl<'a> View<'a> {\n    fn at(&self) -> char { '{' }\n}\nfn free<'a>(x: &'a str) {\n}"
+    assert definitions(one, rust, "rust") == ([], ["free"])
