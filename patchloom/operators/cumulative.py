@@ -2,10 +2,11 @@
 from them: exact percentiles, describe tables, mid-ranks.
 
 Rows are first reduced to one per distinct value (map-side combined, so copies of a hot
-value collapse before the shuffle). An order-preserving bucket of the value then splits
-each key: totals per bucket give the offset of a bucket, and a window inside one bucket
-gives the rest. The only window over a whole key runs on the bucket totals, whose number
-is bounded by the bucket function, not by the data.
+value collapse before the shuffle). Cut points taken from the distinct values of a key then
+split it into buckets of about even size, however close the values lie: totals per bucket
+give the offset of a bucket, and a window inside one bucket gives the rest. The only window
+over a whole key runs on the bucket totals, of which there are ``BUCKETS`` at most. Results
+are exact wherever the cuts fall.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 256  # of the distinct values of a key
 RESOLUTION = 1024.0  # buckets per unit near 1; below 1.5 million buckets over all doubles
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -25,6 +27,13 @@ def order_bucket(value: Column, resolution: float = RESOLUTION) -> Column:
     return F.when(value < 0, -size).otherwise(size)
 
 
+def cut_points(counts: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """Per key ``_cuts``: at most ``buckets`` - 1 values that divide its distinct values about evenly."""
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = F.array_distinct(F.percentile_approx(value, shares, 20 * buckets))
+    return counts.groupBy(*keys).agg(cuts.alias("_cuts"))
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """``n`` rows per distinct (keys, value); null keys and null values are left out."""
     kept = df
@@ -38,10 +47,11 @@ def running_before(counts: DataFrame, keys: Sequence[str], weights: Sequence[str
 
     ``counts`` holds one row per (keys, value).
     """
-    keys = list(keys)
-    rows = counts.withColumn("_bucket", order_bucket(F.col(value)))
+    keys, rows = list(keys), counts
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
+    below = F.filter("_cuts", lambda cut: cut < F.col(value))
+    rows = rows.join(cut_points(rows, keys, value), on=keys, how="inner").withColumn("_bucket", F.size(below)).drop("_cuts")
     totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
