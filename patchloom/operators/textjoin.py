@@ -1,30 +1,45 @@
-"""Joining the texts (or lists) of a key into one value.
+"""Joining the texts (or lists) of a key into values of bounded size.
 
-A key may hold a large part of all rows, and one value cannot grow without end. Keys are
-therefore measured first: a key within ``max_chars`` gives one row (part 0), a larger key is
-split by a hash of its order columns into as many parts as its size asks for. No row is
-dropped; the parts together hold the whole key.
+A key may hold a large part of all rows, and one value cannot grow without end. One rule
+holds for every key: its rows, in ``order``, are cut into contiguous chunks by their running
+size, and the result has one row per key and chunk (``part``, ascending from 0). Chunks put
+together in the order of ``part`` are the whole key. A chunk ends with the row that reaches
+the limit; after a row above the limit, numbers are left out.
+
+The running size needs no window over a whole key: rows are range-partitioned by key and
+order, so a hot key spreads over many ranges; totals per range give the offsets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.session import materialize
+
 MAX_CHARS = 64 * 1024 * 1024
 
 
-def _with_part(df: DataFrame, keys: list[str], order: Sequence[str], size: Column, limit: int) -> DataFrame:
-    wide = (
-        df.groupBy(*keys)
-        .agg(F.sum(size).alias("_size"))
-        .where(F.col("_size") > limit)
-        .select(*keys, F.ceil(F.col("_size") / F.lit(float(limit))).alias("_parts"))
+def _chunked(df: DataFrame, keys: list[str], order: Sequence[str], size: Column, limit: int) -> DataFrame:
+    """Adds ``part``. The ranges are written out, as another run could cut them elsewhere."""
+    ranged = df.withColumn("_size", size).repartitionByRange(*keys, *order)
+    rows = materialize(ranged.withColumn("_range", F.spark_partition_id()), "chunks")
+    totals = rows.groupBy(*keys, "_range").agg(F.sum("_size").alias("_total"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.col("_range").alias("_at"),
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"),
     )
-    part = F.pmod(F.xxhash64(*order), F.coalesce("_parts", F.lit(1)))
-    return df.join(wide, on=keys, how="left").withColumn("part", part.cast("int"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_local", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    same = F.col("_range") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    part = F.floor((F.col("_offset") + F.col("_local")) / F.lit(limit)).cast("int")
+    return local.join(offsets, same).select(*df.columns, part.alias("part"))
 
 
 def join_texts(
@@ -34,15 +49,18 @@ def join_texts(
     order: Sequence[str],
     separator: str = " ",
     max_chars: int = MAX_CHARS,
+    weight: Column | None = None,
 ) -> DataFrame:
-    """``texts`` maps output column to input column; ``rows`` counts the rows of a part.
-    Null texts are skipped, null keys left out."""
+    """``texts`` maps output column to input column; ``rows`` counts the rows of a chunk.
+    Null texts are skipped, null keys left out. Rows equal in ``order`` go by their texts.
+    ``weight`` is the size of a row, if it stands for more than its texts."""
     keys = list(keys)
     kept = df
     for name in keys:
         kept = kept.where(F.col(name).isNotNull())
-    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in texts.values()), F.lit(1))
-    parted = _with_part(kept, keys, order, size, max_chars)
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in texts.values()), F.lit(1)).cast("long")
+    order = list(dict.fromkeys([*order, *texts.values()]))
+    parted = _chunked(kept, keys, order, size if weight is None else F.greatest(size, weight), max_chars)
     by = ", ".join(f"`{c}`" for c in order)
     quoted = separator.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
     joined = [
@@ -58,10 +76,11 @@ def join_lists(
     order: Sequence[str],
     max_items: int = 1_000_000,
 ) -> DataFrame:
-    """Concatenated array columns per key, repeats kept, in ``order``."""
+    """Concatenated array columns per key and chunk, repeats kept, in ``order`` (rows equal in it go by their lists)."""
     keys = list(keys)
-    size = sum((F.coalesce(F.size(c), F.lit(0)) for c in lists), F.lit(1))
-    parted = _with_part(df, keys, order, size, max_items)
-    rows = F.array_sort(F.collect_list(F.struct(*order, *lists)))
+    size = sum((F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) for c in lists), F.lit(1)).cast("long")
+    order = list(dict.fromkeys([*order, *lists]))
+    parted = _chunked(df, keys, order, size, max_items)
+    rows = F.array_sort(F.collect_list(F.struct(*order)))
     grouped = parted.groupBy(*keys, "part").agg(rows.alias("_rows"))
     return grouped.select(*keys, "part", *[F.flatten(F.col(f"_rows.{c}")).alias(c) for c in lists])

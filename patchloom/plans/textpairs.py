@@ -49,17 +49,21 @@ def pr_text_pairs(
     human_pr: DataFrame,
     max_chars: int = MAX_CHARS,
 ) -> DataFrame:
-    """Per pull request: all commit messages, and the description once per commit.
+    """Per pull request and chunk of its commits: the messages, and the description once per commit.
 
     The description is a constant of the pull request, so it is joined after the messages
-    were put together and repeated in place instead of travelling with every commit.
+    were put together and repeated in place instead of travelling with every commit. Only its
+    length goes along, so that chunks bound the repeated descriptions as well.
     """
     commits = commit_messages(details, 1).unionByName(commit_messages(human_details, 0))
-    kept = commits.where(F.col("message").isNotNull())
-    joined = join_texts(kept, ["pr_id", "is_agent"], {"message": "message"}, ["sha"], " ", max_chars)
     usable = pr_descriptions(pr, human_pr).where(
         F.col("pr_description").isNotNull() & F.col("pr_merged_at").isNotNull()
     )
+    lengths = usable.groupBy("pr_id").agg(F.max(F.length("pr_description") + 1).cast("long").alias("_length"))
+    kept = commits.where(F.col("message").isNotNull()).join(lengths, on="pr_id", how="inner")
+    joined = join_texts(
+        kept, ["pr_id", "is_agent"], {"message": "message"}, ["sha"], " ", max_chars, weight=F.col("_length")
+    )
     again = (F.col("rows") - 1).cast("int")
     repeated = F.concat(F.repeat(F.concat("pr_description", F.lit(" ")), again), F.col("pr_description"))
     rows = joined.join(usable.drop("pr_merged_at"), on="pr_id", how="inner")

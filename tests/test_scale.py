@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchloom.operators import cumulative
+from patchloom.operators.textjoin import join_lists, join_texts
 from patchloom.plans import churn
 from patchloom.session import scratch_dir
 from patchloom.sources.sinks import first_per_key
@@ -26,6 +27,44 @@ def test_hot_value_and_hot_key(spark):
     assert first == hot.toPandas().groupby("k")["id"].min().to_dict()
 
 
+def test_values_close_together_fall_in_many_even_buckets(spark):
+    close = spark.range(20000).select(F.lit("m").alias("k"), (F.lit(1.7e15) + F.col("id")).cast("double").alias("v"))
+    counts = cumulative.value_counts(close, ["k"], "v")
+    cuts = cumulative.cut_points(counts, ["k"], "value").first()._cuts
+    assert len(cuts) == cumulative.BUCKETS - 1
+    steps = [b - a for a, b in zip(cuts, cuts[1:])]
+    assert max(steps) <= 2 * 20000 / cumulative.BUCKETS
+    ranked = cumulative.running_before(counts, ["k"], ["n"])
+    assert ranked.where("before_n <> value - 1.7e15 OR total_n <> 20000").count() == 0
+    assert cumulative.percentiles(close, ["k"], "v", {"m": 0.5}).first().m == 1.7e15 + 9999.5
+
+
+def test_joined_texts_are_contiguous_chunks(spark):
+    rows = spark.range(600).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+        F.lpad(F.col("id").cast("string"), 4, "0").alias("o"),
+        F.concat(F.lit("t"), F.col("id")).alias("t"),
+    )
+    want = rows.toPandas().sort_values("o").groupby("k")["t"].agg(" ".join).to_dict()
+    for limit in (1, 20, 10**6):
+        parts = sorted(join_texts(rows.repartition(7), ["k"], {"t": "t"}, ["o"], " ", max_chars=limit).collect(), key=lambda r: (r.k, r.part))
+        got: dict = {}
+        for r in parts:
+            got.setdefault(r.k, []).append(r.t)
+            assert r.part > 0 or len(got[r.k]) == 1
+            assert len(r.t) <= limit + 5
+        assert {k: " ".join(v) for k, v in got.items()} == want
+    assert len(parts) == len(want)
+    weighed = join_texts(rows, ["k"], {"t": "t"}, ["o"], " ", max_chars=100, weight=F.lit(50).cast("long"))
+    assert weighed.agg(F.max("rows")).first()[0] == 2
+
+
+def test_joined_lists_keep_null_keys_and_order(spark):
+    rows = spark.createDataFrame([(None, 2, ["c"]), (None, 1, ["a", "b"]), ("x", 1, []), ("x", 2, None), ("x", 3, ["d", "d"])], "k STRING, o INT, xs ARRAY<STRING>")
+    got = {r.k: r.xs for r in join_lists(rows.where("xs IS NOT NULL"), ["k"], ["xs"], ["o"]).collect()}
+    assert got == {None: ["a", "b", "c"], "x": ["d", "d"]}
+
+
 def test_plan_of_percentiles_has_no_whole_table_window(spark):
     df = spark.range(100).select(F.lit("m").alias("k"), F.rand(1).alias("v"))
     plan = cumulative.percentiles(df, ["k"], "v", {"m": 0.5})._jdf.queryExecution().optimizedPlan().toString()
