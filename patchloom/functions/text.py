@@ -113,3 +113,54 @@ def render(template: str, **columns: Column) -> Column:
         pieces += [F.lit(rest[:at]), F.coalesce(columns[name], F.lit(""))]
         rest = rest[at + len(name) + 2 :]
     return F.concat(*pieces)
+
+
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+
+
+def word_overlap(candidate: Column, reference: Column) -> Column:
+    """Struct of precision, recall and F1 of the distinct words; null fields for a null text."""
+    said, true = F.array_distinct(words(candidate)), F.array_distinct(words(reference))
+    shared, c, r = F.size(F.array_intersect(said, true)).cast("double"), F.size(said), F.size(true)
+    known = candidate.isNotNull() & reference.isNotNull()
+
+    def ratio(top: Column, bottom: Column) -> Column:
+        return F.when(known, F.coalesce(F.try_divide(top, bottom), F.lit(0.0)))
+
+    return F.struct(
+        ratio(shared, c).alias("precision"), ratio(shared, r).alias("recall"), ratio(2 * shared, c + r).alias("f1")
+    )
+
+
+def hashed_words(text: Column, size: int) -> Column:
+    """ARRAY<FLOAT>: how many words fall in each of ``size`` slots of their hash; null for blank text."""
+    slots = F.transform(
+        words(text),
+        lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("bigint"), F.lit(size)).cast("int"),
+    )
+    counts = F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float")
+    )
+    return F.when(F.size(slots) > 0, counts)
+
+
+def key_sentence(text: Column) -> Column:
+    """The sentence of the whole text with the most distinct words, the first of equal ones; null for blank text."""
+    parts = F.transform(
+        F.split(text, r"[.!?\n]+"),
+        lambda s, i: F.struct(F.size(F.array_distinct(words(s))).alias("n"), (-i).alias("at"), F.trim(s).alias("s")),
+    )
+    best = F.array_max(parts)
+    return F.when(best["n"] > 0, best["s"])
+
+
+def message_rules(message: Column, patch: Column) -> tuple[Column, Column]:
+    """Rule scores in 0..5: half the words of the message, and its distinct words that the patch has too."""
+    known = has_text(message) & has_text(patch)
+    said = words(message)
+    shared = F.array_intersect(F.array_distinct(said), F.array_distinct(words(patch)))
+    return (
+        F.when(known, F.least(F.lit(5), F.floor(F.size(said) / 2).cast("int"))).alias("what_score"),
+        F.when(known, F.least(F.lit(5), F.size(shared))).alias("why_score"),
+    )

@@ -1,14 +1,13 @@
 """Model-backed columns.
 
 A predictor is an object built once per task by a factory and called with lists of texts.
-Only the text columns travel to Python; the rest of the row stays in the JVM. Real models
-plug in through the same two methods; the small rule-based ones here are deterministic.
+Only the text columns travel to Python; the rest of the row stays in the JVM. Any object with
+``predict(list) -> list`` is a predictor. What needs no model (word overlap, hashed words) is a
+column expression of ``patchloom.functions.text`` and never leaves the JVM.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 import sys
 import time
 from collections.abc import Callable, Iterator
@@ -18,88 +17,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.functions import text
 from patchloom.operators.quality import require_columns
 
 # Workers get the functions themselves; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_WORD = re.compile(r"\S+")
-
-
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text)
-
-
-class LeadWords:
-    """Text generation stand-in: the first words of the input."""
-
-    def __init__(self, count: int = 8):
-        self.count = count
-
-    def predict(self, texts: list[str]) -> list[str]:
-        return [" ".join(words_of(t)[: self.count]) for t in texts]
-
-
-class AccentLanguage:
-    """Language by accented letters: (label, confidence)."""
-
-    # Letters that mark a language.
-    MARKS = {"de": "äöüß", "es": "ñáíóú", "fr": "éèêç"}
-
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        out = []
-        for text in texts:
-            hits = {lang: sum(text.count(ch) for ch in marks) for lang, marks in self.MARKS.items()}
-            total = sum(hits.values())
-            if total == 0:
-                out.append(("en", 1.0))
-            else:
-                lang = max(sorted(hits), key=hits.get)
-                out.append((lang, hits[lang] / total))
-        return out
-
-
-class HashedWords:
-    """Text encoder: word counts in ``size`` hash slots."""
-
-    def __init__(self, size: int = 16):
-        self.size = size
-
-    def predict(self, texts: list[str]) -> list[list[float]]:
-        out = []
-        for text in texts:
-            slots = [0.0] * self.size
-            for word in words_of(text):
-                slots[int(hashlib.md5(word.encode()).hexdigest()[:15], 16) % self.size] += 1.0
-            out.append(slots)
-        return out
-
-
-class TokenOverlap:
-    """Pair score: precision, recall and F1 of the distinct words."""
-
-    def predict(self, pairs: list[tuple[str, str]]) -> list[tuple[float, float, float]]:
-        out = []
-        for candidate, reference in pairs:
-            c, r = set(words_of(candidate)), set(words_of(reference))
-            shared = len(c & r)
-            p = shared / len(c) if c else 0.0
-            q = shared / len(r) if r else 0.0
-            out.append((p, q, 2 * p * q / (p + q) if p + q else 0.0))
-        return out
-
-
-class RuleJudge:
-    """Judge stand-in: what = words of the message over two, why = distinct words shared with the patch."""
-
-    def predict(self, pairs: list[tuple[str, str]]) -> list[tuple[int, int]]:
-        out = []
-        for message, patch in pairs:
-            said = words_of(message)
-            out.append((min(5, len(said) // 2), min(5, len(set(said) & set(words_of(patch))))))
-        return out
-
-
 def _slices(size: int, step: int) -> Iterator[slice]:
     for start in range(0, size, step):
         yield slice(start, start + step)
@@ -177,15 +100,13 @@ def _struct_udf(
     return apply_one
 
 
-def generate(
-    df: DataFrame, column: str = "patch", output: str = "message", factory: Callable = LeadWords, batch_size: int = 16
-) -> DataFrame:
+def generate(df: DataFrame, column: str, output: str, factory: Callable, batch_size: int = 16) -> DataFrame:
     """Generated text per row; blank input and failed batches give null."""
     require_columns(df, [column])
     return df.withColumn(output, _text_udf(factory, "string", batch_size)(F.col(column)))
 
 
-def add_language(df: DataFrame, column: str, factory: Callable = AccentLanguage, batch_size: int = 64) -> DataFrame:
+def add_language(df: DataFrame, column: str, factory: Callable, batch_size: int = 64) -> DataFrame:
     """``language`` and ``confidence``; both null for blank text."""
     require_columns(df, [column])
     udf = _struct_udf(factory, [("language", "STRING"), ("confidence", "DOUBLE")], False, True, batch_size, 1, 0.0)
@@ -200,41 +121,57 @@ def confident_english(df: DataFrame, minimum: float = 0.7) -> DataFrame:
 
 
 def add_embedding(
-    df: DataFrame, column: str, output: str, factory: Callable = HashedWords, batch_size: int = 32
+    df: DataFrame, column: str, output: str, factory: Callable | None = None, batch_size: int = 32, size: int = 16
 ) -> DataFrame:
-    """ARRAY<FLOAT> per text; null for blank text."""
+    """ARRAY<FLOAT> per text; null for blank text. Without a factory: word counts in ``size`` hash slots."""
     require_columns(df, [column])
+    if factory is None:
+        return df.withColumn(output, text.hashed_words(F.col(column), size))
     return df.withColumn(output, _text_udf(factory, "array<float>", batch_size)(F.col(column)))
 
 
-PAIR_SCORES = [("bert_precision", "DOUBLE"), ("bert_recall", "DOUBLE"), ("bert_f1", "DOUBLE")]
-
-
 def score_pairs(
-    df: DataFrame, candidate: str, reference: str, factory: Callable = TokenOverlap, batch_size: int = 32
+    df: DataFrame,
+    candidate: str,
+    reference: str,
+    factory: Callable | None = None,
+    batch_size: int = 32,
+    prefix: str = "overlap",
 ) -> DataFrame:
-    """Precision, recall and F1 per row, in place: rows keep their number, null pairs get null scores."""
+    """``<prefix>_precision``, ``_recall`` and ``_f1`` per row, in place: rows keep their number, null
+    pairs get null scores. Without a factory: the overlap of their distinct words."""
     require_columns(df, [candidate, reference])
-    udf = _struct_udf(factory, PAIR_SCORES, True, False, batch_size, 1, 0.0)
-    return df.withColumn("_s", udf(F.col(candidate), F.col(reference))).select(*df.columns, "_s.*")
+    fields = [(f"{prefix}_{n}", "DOUBLE") for n in ("precision", "recall", "f1")]
+    if factory is None:
+        scores = text.word_overlap(F.col(candidate), F.col(reference))
+    else:
+        scores = _struct_udf(factory, fields, True, False, batch_size, 1, 0.0)(F.col(candidate), F.col(reference))
+    return df.withColumn("_s", scores.cast(f"struct<{', '.join(f'{n}: {t}' for n, t in fields)}>")).select(
+        *df.columns, "_s.*"
+    )
 
 
 def score_distinct_pairs(
-    df: DataFrame, candidate: str, reference: str, factory: Callable = TokenOverlap, batch_size: int = 32
+    df: DataFrame,
+    candidate: str,
+    reference: str,
+    factory: Callable | None = None,
+    batch_size: int = 32,
+    prefix: str = "overlap",
 ) -> DataFrame:
     """Scores joined back on the two texts. Every distinct pair is scored once; each input
     row comes back once, with ``pair_rows`` telling how often its pair occurs."""
     require_columns(df, [candidate, reference])
-    pairs = df.dropna(subset=[candidate, reference]).groupBy(candidate, reference)
-    scored = score_pairs(pairs.agg(F.count("*").alias("pair_rows")), candidate, reference, factory, batch_size)
+    pairs = df.dropna(subset=[candidate, reference]).groupBy(candidate, reference).agg(F.count("*").alias("pair_rows"))
+    scored = score_pairs(pairs, candidate, reference, factory, batch_size, prefix)
     return df.join(scored, on=[candidate, reference], how="left")
 
 
 def judge(
     df: DataFrame,
+    factory: Callable,
     message: str = "message",
     patch: str = "patch",
-    factory: Callable = RuleJudge,
     batch_size: int = 1,
     attempts: int = 3,
     pause: float = 1.0,

@@ -95,25 +95,45 @@ def monthly_merge_rates(df: DataFrame, agent: bool = True) -> DataFrame:
 
 
 def per_pr(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sums and distinct counts of one pull request. Sums of nothing are 0."""
+    """Sums and distinct counts of one pull request. Sums of nothing are 0.
+
+    Two levels instead of four distinct counts over all rows: rows shrink to one per file and to
+    one per commit first, and folders, which follow from the file name, are counted over files.
+    """
     kept = df
     for k in keys:
         kept = kept.where(F.col(k).isNotNull())
-    return kept.groupBy(*keys).agg(
+    sums = ("changes", "additions", "deletions")
+    # A row for the file with its sums, and a row for the commit.
+    part = F.explode(
+        F.array(
+            F.struct(F.lit(True).alias("of_file"), F.col("filename").alias("item"), *[F.col(c).cast("long").alias(c) for c in sums]),
+            F.struct(
+                F.lit(False).alias("of_file"), F.col("sha").alias("item"), *[F.lit(None).cast("long").alias(c) for c in sums]
+            ),
+        )
+    )
+    parts = kept.select(*keys, part.alias("p")).select(*keys, "p.*")
+    items = parts.groupBy(*keys, "of_file", "item").agg(*[F.sum(c).alias(c) for c in sums])
+    name = F.when(F.col("of_file"), F.col("item"))
+    counted = items.select(*keys, *sums, "of_file", "item", paths.module_l1(name).alias("l1"), paths.module_l2(name).alias("l2"))
+    return counted.groupBy(*keys).agg(
         F.coalesce(F.sum("changes"), F.lit(0)).alias("sum_changes"),
         F.coalesce(F.sum("additions"), F.lit(0)).alias("additions"),
         F.coalesce(F.sum("deletions"), F.lit(0)).alias("deletions"),
-        F.count_distinct("filename").alias("num_file_changes"),
-        F.count_distinct("sha").alias("num_commits"),
-        F.count_distinct("module_l1").alias("num_module_l1"),
-        F.count_distinct("module_l2").alias("num_module_l2"),
+        F.count(F.when(F.col("of_file"), F.col("item"))).alias("num_file_changes"),
+        F.count(F.when(~F.col("of_file"), F.col("item"))).alias("num_commits"),
+        F.count_distinct("l1").alias("num_module_l1"),
+        F.count_distinct("l2").alias("num_module_l2"),
     )
 
 
-def monthly_change_stats(df: DataFrame, agent: bool = True) -> DataFrame:
-    """Per month: lines summed, scope averaged over pull requests."""
-    prs = per_pr(df.where(F.col("is_agent") == int(agent)), ["pr_id", "created_at_ym"])
-    return prs.groupBy("created_at_ym").agg(
+def monthly_change_stats(df: DataFrame, agent: bool | None = True) -> DataFrame:
+    """Per month: lines summed, scope averaged over pull requests; of one group, or of both with ``is_agent`` as a key."""
+    chosen = df if agent is None else df.where(F.col("is_agent") == int(agent))
+    months = ["created_at_ym"] if agent is not None else ["is_agent", "created_at_ym"]
+    prs = per_pr(chosen, ["pr_id", *months])
+    return prs.groupBy(*months).agg(
         F.sum("sum_changes").alias("sum_changes"),
         F.sum("additions").alias("additions"),
         F.sum("deletions").alias("deletions"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -129,19 +130,21 @@ def attributions(
     rows: DataFrame,
     background: DataFrame,
     features: Sequence[str],
-    permutations: int = 4,
+    permutations: int = 8,
     seed: int = 42,
     key: str = "pr_id",
+    background_rows: int = 64,
 ) -> DataFrame:
-    """Sampled Shapley values of the score: (key, feature, feature_value, attribution).
+    """Sampled Shapley values of the score: (key, feature, feature_value, attribution, score, base_score).
 
     Each row walks from a background row to itself along random feature orders; one feature
     changes per step, and the score change is credited to it. A walk has one hybrid row per
-    feature, all scored in one pass of the model. Background rows are picked by hash from
-    ``permutations`` rows of the training data.
+    feature, all scored in one pass of the model. The background is a sample of at most
+    ``background_rows`` training rows, whatever the number of walks; a walk takes one of them
+    by hash. A row's attributions sum to its score minus the mean score of its backgrounds.
     """
     names = list(features)
-    picked = background.orderBy(hash_order([key], seed)).limit(permutations)
+    picked = background.orderBy(hash_order([key], seed)).limit(background_rows)
     values = [[float(v) for v in r] for r in picked.select(*[F.col(c).cast("double") for c in names]).collect()]
     if not values:
         raise ValueError("no background rows")
@@ -158,16 +161,17 @@ def attributions(
         ),
     )
     own = F.array(*[F.col(c).cast("double") for c in names])
-    base = F.array(*[F.array(*[F.lit(v) for v in values[i % len(values)]]) for i in range(permutations)])
+    base = F.from_json(F.lit(json.dumps(values)), "ARRAY<ARRAY<DOUBLE>>")
+    at = F.pmod(F.xxhash64(F.col(key), F.lit(seed), "w.walk"), F.lit(len(values))).cast("int")
     walked = rows.select(key, own.alias("own"), F.explode(walks).alias("w")).select(
-        key, "own", "w.walk", F.transform(F.col("w.order"), lambda s: s["i"]).alias("order"), base.alias("base")
+        key, "own", "w.walk", F.transform(F.col("w.order"), lambda s: s["i"]).alias("order"), F.get(base, at).alias("base")
     )
     steps = walked.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names)))).alias("step"))
     # Feature i comes from the row once its place in the order is below the step.
     hybrid = F.transform(
         F.col("own"),
         lambda v, i: F.when(F.array_position("order", i) <= F.col("step"), v).otherwise(
-            F.get(F.get("base", F.col("walk")), i)
+            F.get("base", i)
         ),
     )
     mixed = steps.select(key, "own", "walk", "step", "order", array_to_vector(hybrid).alias("features"))
@@ -178,6 +182,8 @@ def attributions(
     walk = result.groupBy(key, "walk").agg(F.array_sort(F.collect_list("s")).alias("s"))
     gains = walk.select(
         key,
+        F.get("s", len(names))["score"].alias("score"),
+        F.get("s", 0)["score"].alias("base_score"),
         F.explode(
             F.transform(
                 F.sequence(F.lit(1), F.lit(len(names))),
@@ -191,7 +197,10 @@ def attributions(
     )
     labels = F.array(*[F.lit(n) for n in names])
     return gains.groupBy(key, F.get(labels, F.col("g.i")).alias("feature")).agg(
-        F.max("g.feature_value").alias("feature_value"), F.avg("g.gain").alias("attribution")
+        F.max("g.feature_value").alias("feature_value"),
+        F.avg("g.gain").alias("attribution"),
+        F.avg("score").alias("score"),
+        F.avg("base_score").alias("base_score"),
     )
 
 

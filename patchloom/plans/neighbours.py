@@ -1,44 +1,46 @@
-"""Exact k-nearest-neighbour vote without comparing every pair.
+"""k-nearest-neighbour vote against a bounded set of labelled rows.
 
-Training rows are cut into blocks along the feature with the largest variance. A test row
-first meets one block near it, which bounds how far its k-th neighbour can be; then it visits
-only the cells of the axis within that bound. A row without a bound visits all cells, so the
-answer is always the exact one. Equal vectors keep only their k smallest keys, which is all
-the vote can ever use.
+The labelled rows that fit the vote are bounded by ``max_reference``, a parameter: with more of
+them, those with the smallest key hash stay. The set is therefore small enough for every task to
+hold. Test rows of any number pass by it in batches: a batch meets the reference in blocks and
+keeps a running top k per row, so nothing is joined, shuffled or expanded, whatever the values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.functions.vectors import squared_distance
-from patchloom.operators.cumulative import order_bucket
+from patchloom.operators.sampling import hash_order
 
-CELLS = 16.0  # resolution of the axis: some thousands of cells over all doubles
-BLOCK_ROWS = 256
+# Workers get the functions themselves; the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+MAX_REFERENCE = 50_000
+BLOCK_ROWS = 1024
 
-def _widest(train: DataFrame, features: Sequence[str]) -> str:
-    row = train.agg(*[F.var_pop(F.col(c).cast("double")).alias(str(i)) for i, c in enumerate(features)]).first()
-    spread = [row[str(i)] or 0.0 for i in range(len(features))]
-    return features[spread.index(max(spread))]
 
-
-def _vectors(df: DataFrame, features: Sequence[str], axis: str, *extra: Column) -> DataFrame:
-    vec = F.array(*[F.col(c).cast("double") for c in features])
-    return df.select(*extra, vec.alias("vec"), F.col(axis).cast("double").alias("p"))
-
-
-def _nearest(rows: Column, vec: Column, k: int) -> Column:
-    """The k nearest block rows as (d, key, label)."""
-    pairs = F.transform(
-        rows,
-        lambda r: F.struct(squared_distance(r["vec"], vec).alias("d"), r["key"].alias("key"), r["label"].alias("label")),
-    )
-    return F.slice(F.array_sort(pairs), 1, k)
+def nearest_votes(points: np.ndarray, known: np.ndarray, labels: np.ndarray, k: int, block_rows: int) -> np.ndarray:
+    """Mean label of the k nearest known rows per point; of equal distances the earlier row counts."""
+    best_d = np.empty((len(points), 0))
+    best_y = np.empty((len(points), 0))
+    for start in range(0, len(known), block_rows):
+        block = known[start : start + block_rows]
+        d = np.zeros((len(points), len(block)))
+        for j in range(known.shape[1]):
+            gap = points[:, j : j + 1] - block[None, :, j]
+            d += gap * gap
+        y = np.broadcast_to(labels[start : start + block_rows], d.shape)
+        d, y = np.concatenate([best_d, d], axis=1), np.concatenate([best_y, y], axis=1)
+        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        best_d, best_y = np.take_along_axis(d, near, 1), np.take_along_axis(y, near, 1)
+    return best_y.mean(axis=1)
 
 
 def knn_vote(
@@ -49,36 +51,31 @@ def knn_vote(
     label: str = "label",
     k: int = 5,
     block_rows: int = BLOCK_ROWS,
+    max_reference: int = MAX_REFERENCE,
+    batch_rows: int = 256,
 ) -> DataFrame:
-    """(key, label, score, prediction): score is the share of label 1 among the k nearest
-    training rows by Euclidean distance; equal distances go by key."""
-    axis = _widest(train, features)
-    known = _vectors(train, features, axis, F.col(key).alias("key"), F.col(label).alias("label"))
-    copies = Window.partitionBy("vec").orderBy("key")
-    known = known.withColumn("_c", F.row_number().over(copies)).where(F.col("_c") <= k).drop("_c")
-    known = known.withColumn("cell", order_bucket(F.col("p"), CELLS))
-    cells = known.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(block_rows))).alias("salts"))
-    # The number of cells is bounded by the bucket function, whatever the data.
-    blocks = (
-        known.join(F.broadcast(cells), "cell")
-        .withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")))
-        .groupBy("cell", "salt")
-        .agg(F.collect_list(F.struct("key", "label", "vec")).alias("rows"))
-    )
-    asked = _vectors(test, features, axis, F.col(key).alias("id"), F.col(label).alias("truth"))
-    asked = asked.withColumn("cell", order_bucket(F.col("p"), CELLS))
-    home = asked.join(blocks.where(F.col("salt") == 0).drop("salt"), "cell", "left")
-    bound = F.sqrt(F.get(_nearest(F.col("rows"), F.col("vec"), k), k - 1)["d"]) * F.lit(1.0 + 1e-9)
-    bounded = home.select("id", "truth", "vec", "p", bound.alias("r"))
-    low = F.coalesce(order_bucket(F.col("p") - F.col("r"), CELLS), cells.agg(F.min("cell")).scalar())
-    high = F.coalesce(order_bucket(F.col("p") + F.col("r"), CELLS), cells.agg(F.max("cell")).scalar())
-    visits = bounded.select("id", "truth", "vec", F.explode(F.sequence(low, high)).alias("cell"))
-    met = visits.join(blocks, "cell").select(
-        "id", "truth", F.inline(_nearest(F.col("rows"), F.col("vec"), k)).alias("d", "key", "near_label")
-    )
-    order = Window.partitionBy("id").orderBy("d", "key")
-    top = met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
-    voted = top.groupBy(F.col("id").alias(key)).agg(
-        F.max("truth").alias(label), F.avg("near_label").alias("score")
+    """(key, label, score, prediction): score is the share of label 1 among the k nearest labelled
+    rows by Euclidean distance; equal distances go by key. At most ``max_reference`` labelled rows
+    take part. A null feature is at distance null, behind all others."""
+    vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
+    sample = train.orderBy(hash_order([key], 42)).limit(max_reference)
+    rows = sample.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y"), vec.alias("vec")).collect()
+    if not rows:
+        raise ValueError("no labelled rows to vote")
+    rows.sort(key=lambda r: r.key)
+    reference = train.sparkSession.sparkContext.broadcast(
+        (np.array([r.vec for r in rows], dtype=float), np.array([r.y for r in rows], dtype=float))
     )
+
+    @F.pandas_udf("double")
+    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, labels = reference.value
+        for vectors in batches:
+            parts = [
+                nearest_votes(np.stack(vectors.iloc[i : i + batch_rows].to_list()), known, labels, k, block_rows)
+                for i in range(0, len(vectors), batch_rows)
+            ]
+            yield pd.Series(np.concatenate(parts) if parts else np.empty(0))
+
+    voted = test.select(F.col(key), F.col(label), vote(vec).alias("score"))
     return voted.withColumn("prediction", (F.col("score") > 0.5).cast("int"))

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from patchloom.session import materialize
 from patchloom.sources.readers import format_of
 
 DETAIL_KEY = ("pr_id", "sha", "file")
@@ -69,11 +70,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*df.columns)
 
 
-def new_rows(incoming: DataFrame, existing: DataFrame | None, keys: Sequence[str] = DETAIL_KEY) -> DataFrame:
-    """Incoming rows, one per key, whose key the table does not hold: existing rows win."""
-    unique = first_per_key(incoming, keys, [])
-    if existing is None:
-        return unique
+def new_rows_of(unique: DataFrame, existing: DataFrame, keys: Sequence[str] = DETAIL_KEY) -> DataFrame:
+    """Rows, one per key, whose key the table does not hold: existing rows win."""
     matched = existing.select(*[F.col(k).alias(f"_e_{k}") for k in keys])
     same_key = [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys]
     return unique.join(matched, on=same_key, how="left_anti")
@@ -89,24 +87,52 @@ class UpsertCounts:
         return self.incoming - self.added
 
 
-def _rows(df: DataFrame | None) -> int:
-    """Row count; of a Parquet table it is read from the file footers."""
-    return 0 if df is None else df.select().count()
+BUCKETS = 64
+
+
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    return df.withColumn(f"bucket_{buckets}", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``upsert_append`` without its bucket column."""
+    df = spark.read.parquet(path)
+    return df.drop(*[c for c in df.columns if c.startswith("bucket_")])
+
+
+def touched_rows(existing: DataFrame, batch: DataFrame, buckets: int) -> DataFrame:
+    """Rows of the table in the buckets that occur in the batch; others are pruned by their folder."""
+    column = f"bucket_{buckets}"
+    if column not in existing.columns:
+        raise ValueError(f"the table is not divided by {column}; give the number of buckets it was written with")
+    # At most ``buckets`` numbers, whatever the size of the batch.
+    numbers = sorted(r[0] for r in batch.select(column).distinct().collect())
+    return existing.where(F.col(column).isin(numbers))
 
 
 def upsert_append(
-    spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str] = DETAIL_KEY
-) -> None:
-    """Append only rows with unseen keys. Since existing rows win, nothing already written
-    is rewritten, and a second run with the same rows adds none. Only the key columns of
-    the table are read."""
-    new_rows(incoming, existing_table(spark, path), keys).write.mode("append").parquet(path)
+    spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str] = DETAIL_KEY, buckets: int = BUCKETS
+) -> int:
+    """Append only rows with unseen keys and return their number, counted in the write itself.
+
+    Since existing rows win, nothing already written is rewritten, and a second run with the
+    same rows adds none. The table is divided into ``buckets`` folders by a hash of the first
+    key; a batch reads only the key columns of the folders it touches. Within a folder rows
+    are spread anew, so a first key with very many rows makes several files.
+    """
+    unique = materialize(_bucketed(first_per_key(incoming, keys, []), keys[0], buckets), "upsert")
+    existing = existing_table(spark, path)
+    fresh = unique if existing is None else new_rows_of(unique, touched_rows(existing, unique, buckets), keys)
+    seen = Observation()
+    spread = fresh.hint("rebalance", f"bucket_{buckets}").observe(seen, F.count(F.lit(1)).alias("added"))
+    spread.write.mode("append").partitionBy(f"bucket_{buckets}").parquet(path)
+    return seen.get["added"]
 
 
 def upsert_counted(
-    spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str] = DETAIL_KEY
+    spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str] = DETAIL_KEY, buckets: int = BUCKETS
 ) -> UpsertCounts:
     """As ``upsert_append``, and counts rows given and rows added."""
-    before = _rows(existing_table(spark, path))
-    upsert_append(spark, incoming, path, keys)
-    return UpsertCounts(incoming=_rows(incoming), added=_rows(existing_table(spark, path)) - before)
+    given = materialize(incoming, "incoming")
+    added = upsert_append(spark, given, path, keys, buckets)
+    return UpsertCounts(incoming=given.count(), added=added)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patchloom.functions import text
 from patchloom.operators import cumulative, predictors, quality
 from patchloom.operators.textjoin import join_lists, join_texts
 from patchloom.plans import change_size, features, textpairs
@@ -56,10 +57,7 @@ def a03(v: Views) -> DataFrame:
     ROWS,
 )
 def a04(v: Views) -> DataFrame:
-    table = v.change_table()
-    agent = change_size.monthly_change_stats(table, True).withColumn("is_agent", F.lit(1))
-    human = change_size.monthly_change_stats(table, False).withColumn("is_agent", F.lit(0))
-    return tidy(agent.unionByName(human))
+    return tidy(change_size.monthly_change_stats(v.change_table(), None))
 
 
 @query(
@@ -349,7 +347,7 @@ def a27(v: Views) -> DataFrame:
     scored = predictors.score_pairs(v.pair_texts(), "candidate", "reference")
     out = []
     for name in ("precision", "recall", "f1"):
-        out += [F.avg(f"bert_{name}").alias(f"{name}_mean"), F.stddev_samp(f"bert_{name}").alias(f"{name}_std")]
+        out += [F.avg(f"overlap_{name}").alias(f"{name}_mean"), F.stddev_samp(f"overlap_{name}").alias(f"{name}_std")]
     return tidy(scored.agg(*out))
 
 
@@ -360,7 +358,7 @@ def a27(v: Views) -> DataFrame:
     ("bodies",),
 )
 def a28(v: Views) -> DataFrame:
-    generated = predictors.generate(v.bodies(), "pr_body", "summary")
+    generated = v.bodies().withColumn("summary", text.key_sentence(F.col("pr_body")))
     return tidy(predictors.completeness(generated, "summary"))
 
 

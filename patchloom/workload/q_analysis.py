@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import times, vectors
@@ -13,7 +13,7 @@ from patchloom.session import materialize
 from patchloom.workload.common import describe_sql, mann_whitney_sql, tidy
 from patchloom.workload.q_aggregates import PER_PR
 from patchloom.workload.q_relational import COS, HEADING, ISSUE, LIFE, lifetimes_of
-from patchloom.workload.registry import query
+from patchloom.workload.registry import ORACLES, query
 from patchloom.workload.views import Views
 
 DP = ("details_all", "pr_all")
@@ -196,59 +196,71 @@ def c03(v: Views) -> DataFrame:
     return classify.split(rows)
 
 
-MEASURES = ("n_chars", "words", "lines", "commas")
+C02_MATRIX = ORACLES["c02_labelled_matrix"]
 
 
-def _quality_matrix(v: Views) -> DataFrame:
-    """Labelled documents with integer text measures and the split."""
-    labels = v.table("labels").select("doc_id", F.col("quality").alias("label"))
-    docs = v.table("documents").select(
-        "doc_id",
-        "n_chars",
-        F.regexp_count("text", F.lit(r"\S+")).cast("bigint").alias("words"),
-        F.regexp_count("text", F.lit(r"\n")).cast("bigint").alias("lines"),
-        F.regexp_count("text", F.lit(",")).cast("bigint").alias("commas"),
+def _matrix(v: Views) -> DataFrame:
+    """The labelled feature table with its split, to six digits as its own query gives it."""
+    rows = tidy(features.labelled_matrix(_features(v), _similarity(v), 0.1, CATEGORIES))
+    return materialize(classify.split(rows), "matrix")
+
+
+def _trained(select: str) -> str:
+    """A statement over the feature table ``mx`` (with ``is_test``); its views come with the table."""
+    return f"""WITH m AS ({C02_MATRIX}), mx AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5(pr_id || '|42'), pr_id)
+        <= round_even(0.2 * count(*) OVER (PARTITION BY label), 0) THEN 1 ELSE 0 END AS is_test FROM m) {select}"""
+
+
+def _fitted(matrix: DataFrame, name: str) -> DataFrame:
+    """Scores of the test rows: what a model must keep whatever the trees it grew."""
+    model, test = classify.fit_model(matrix, features.feature_columns(matrix), name)
+    score = F.col("score")
+    in_range = score.between(0, 1) if name != "svm" else ~F.isnan(score)
+    return classify.scored(model, test).select(
+        "pr_id", "label", (F.col("prediction").isin(0, 1) & in_range).alias("score_in_range")
     )
-    matrix = classify.split(docs.join(labels, "doc_id").withColumnRenamed("doc_id", "pr_id"))
-    return materialize(matrix, "matrix")
 
 
-def _fitted(v: Views, name: str) -> DataFrame:
-    model, test = classify.fit_model(_quality_matrix(v), MEASURES, name)
-    return classify.scored(model, test).select("pr_id", "label", "prediction", "score")
+SCORED = "SELECT pr_id, label, true AS score_in_range FROM mx WHERE is_test = 1"
 
 
-@query("c04_random_forest")
+@query("c04_random_forest", _trained(SCORED))
 def c04(v: Views) -> DataFrame:
-    return tidy(_fitted(v, "rf"))
+    return _fitted(_matrix(v), "rf")
 
 
-@query("c05_boosted_trees")
+@query(
+    "c05_boosted_trees",
+    _trained("SELECT pr_id, label, true AS score_in_range, unnest(['gbt', 'gbt_shallow']) AS model_name FROM mx WHERE is_test = 1"),
+)
 def c05(v: Views) -> DataFrame:
-    deep = _fitted(v, "gbt").withColumn("model_name", F.lit("gbt"))
-    return tidy(deep.unionByName(_fitted(v, "gbt_shallow").withColumn("model_name", F.lit("gbt_shallow"))))
+    matrix = _matrix(v)
+    deep = _fitted(matrix, "gbt").withColumn("model_name", F.lit("gbt"))
+    return deep.unionByName(_fitted(matrix, "gbt_shallow").withColumn("model_name", F.lit("gbt_shallow")))
 
 
-@query("c06_linear_svm")
+@query("c06_linear_svm", _trained(SCORED))
 def c06(v: Views) -> DataFrame:
-    return tidy(_fitted(v, "svm"))
+    return _fitted(_matrix(v), "svm")
 
 
-MATRIX = r"""mx AS (SELECT doc_id AS pr_id, quality AS label, n_chars, len(regexp_extract_all(text, '\S+')) AS words, len(regexp_extract_all(text, '\n')) AS lines,
-    len(regexp_extract_all(text, ',')) AS commas, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || '|42'), doc_id)
-      <= round_even(0.2 * count(*) OVER (PARTITION BY quality), 0) THEN 1 ELSE 0 END AS is_test FROM labels JOIN documents USING (doc_id))"""
+FEATURE_NAMES = (
+    "pr_title_length", "pr_body_length", "pr_template_total_score", "contains_code_snippets", "number_of_related_issues",
+    "number_of_commits", "avg_commit_message_length", "number_of_files_changed", "total_addition", "total_deletion", "added",
+    "removed", "modified", "number_of_modules_l1_changed", *[f"task_type_{c}" for c in CATEGORIES],
+)
+DISTANCE = " + ".join(f"CAST(t.{c} - r.{c} AS DOUBLE) * CAST(t.{c} - r.{c} AS DOUBLE)" for c in FEATURE_NAMES)
 
 
 @query(
     "c07_nearest_neighbours",
-    f"""WITH {MATRIX}, d AS (SELECT t.pr_id, t.label, r.label AS near, row_number() OVER (PARTITION BY t.pr_id ORDER BY
-        (t.n_chars - r.n_chars) ** 2 + (t.words - r.words) ** 2 + (t.lines - r.lines) ** 2 + (t.commas - r.commas) ** 2, r.pr_id) AS rn
+    _trained(f""", d AS (SELECT t.pr_id, t.label, r.label AS near, row_number() OVER (PARTITION BY t.pr_id ORDER BY {DISTANCE}, r.pr_id) AS rn
       FROM mx t JOIN mx r ON t.is_test = 1 AND r.is_test = 0)
-    SELECT pr_id, label, round(avg(near), 6) AS score, CAST(avg(near) > 0.5 AS INT) AS prediction FROM d WHERE rn <= 5 GROUP BY ALL""",
+    SELECT pr_id, label, round(avg(near), 6) AS score, CAST(avg(near) > 0.5 AS INT) AS prediction FROM d WHERE rn <= 5 GROUP BY ALL"""),
 )
 def c07(v: Views) -> DataFrame:
-    matrix = _quality_matrix(v)
-    return tidy(knn_vote(matrix.where(F.col("is_test") == 0), matrix.where(F.col("is_test") == 1), MEASURES))
+    matrix = _matrix(v)
+    return tidy(knn_vote(matrix.where(F.col("is_test") == 0), matrix.where(F.col("is_test") == 1), FEATURE_NAMES))
 
 
 RULE = """pd AS (SELECT doc_id AS pr_id, quality AS label, lang, CAST(n_chars > 900 AS INT) AS prediction, n_chars / (n_chars + 900.0) AS score
@@ -313,26 +325,59 @@ def c11(v: Views) -> DataFrame:
     return tidy(classify.evaluation(_rule_predictions(v), "length"))
 
 
-@query("c11_model_comparison")
+@query(
+    "c11_model_comparison",
+    "SELECT model_name, true AS metrics_in_range FROM (VALUES ('rf'), ('gbt'), ('svm'), ('knn')) t(model_name)",
+)
 def c11_models(v: Views) -> DataFrame:
-    matrix = _quality_matrix(v)
-    trained = classify.compare_models(matrix, MEASURES, ["rf", "gbt", "svm"])
-    near = knn_vote(matrix.where(F.col("is_test") == 0), matrix.where(F.col("is_test") == 1), MEASURES)
-    return tidy(trained.unionByName(classify.evaluation(near, "knn")))
+    matrix = _matrix(v)
+    trained = classify.compare_models(matrix, FEATURE_NAMES, ["rf", "gbt", "svm"])
+    near = knn_vote(matrix.where(F.col("is_test") == 0), matrix.where(F.col("is_test") == 1), FEATURE_NAMES)
+    rows = trained.unionByName(classify.evaluation(near, "knn"))
+    fine = F.lit(True)
+    for name in ("accuracy", "precision", "recall", "f1", "auc"):
+        fine = fine & F.coalesce(F.col(name).between(0, 1), F.lit(name == "auc"))
+    return rows.select("model_name", fine.alias("metrics_in_range"))
 
 
-@query("c12_feature_importances")
+@query(
+    "c12_feature_importances",
+    f"SELECT unnest({list(FEATURE_NAMES)}) AS feature, true AS not_negative, 1.0::DOUBLE AS importance_sum",
+)
 def c12(v: Views) -> DataFrame:
-    model, _ = classify.fit_model(_quality_matrix(v), MEASURES, "rf")
-    return tidy(classify.importances(v.spark, model, MEASURES))
+    model, _ = classify.fit_model(_matrix(v), FEATURE_NAMES, "rf")
+    rows = classify.importances(v.spark, model, FEATURE_NAMES)
+    total = rows.agg(F.round(F.sum("importance"), 6)).scalar()
+    return rows.select("feature", (F.col("importance") >= 0).alias("not_negative"), total.alias("importance_sum"))
+
+
+def _attributed(v: Views) -> DataFrame:
+    matrix = _matrix(v)
+    model, test = classify.fit_model(matrix, FEATURE_NAMES, "rf")
+    return classify.attributions(model, test, matrix.where(F.col("is_test") == 0), FEATURE_NAMES)
 
 
-@query("c13_attributions")
+@query(
+    "c13_attributions",
+    _trained(f"SELECT pr_id, CAST({len(FEATURE_NAMES)} AS BIGINT) AS features, true AS adds_up FROM mx WHERE is_test = 1"),
+)
 def c13(v: Views) -> DataFrame:
-    matrix = _quality_matrix(v)
-    model, test = classify.fit_model(matrix, MEASURES, "rf")
-    train = matrix.where(F.col("is_test") == 0)
-    return tidy(classify.attributions(model, test, train, MEASURES, permutations=2))
+    gap = F.sum("attribution") - (F.max("score") - F.max("base_score"))
+    return _attributed(v).groupBy("pr_id").agg(F.count("*").alias("features"), (F.abs(gap) < 1e-9).alias("adds_up"))
+
+
+@query("c13_attribution_ranking", f"SELECT unnest({list(FEATURE_NAMES)}) AS feature, true AS not_negative")
+def c13_ranking(v: Views) -> DataFrame:
+    ranking = classify.attribution_ranking(_attributed(v))
+    return ranking.select("feature", (F.col("mean_abs") >= 0).alias("not_negative"))
+
+
+@query("c13_top_features", "SELECT unnest([1, 2, 3, 4, 5]) AS place, true AS known_feature")
+def c13_top(v: Views) -> DataFrame:
+    """The five features that move the score most, by place."""
+    best = classify.top_k(classify.attribution_ranking(_attributed(v)), "mean_abs", 5)
+    place = F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature"))  # five rows
+    return best.select(place.alias("place"), F.col("feature").isin(*FEATURE_NAMES).alias("known_feature"))
 
 
 # --- composites ------------------------------------------------------------------------------

@@ -385,8 +385,8 @@ OVERLAP = f"""len(list_intersect(list_distinct({W.format('candidate')}), list_di
     "j11_scores_joined_back",
     f"""WITH s AS (SELECT candidate, reference, count(*) AS pair_rows, {OVERLAP} FROM pair_texts
         WHERE candidate IS NOT NULL AND reference IS NOT NULL GROUP BY candidate, reference)
-    SELECT p.conv_id, p.turn, p.candidate, p.reference, s.pair_rows, round(k / c, 6) AS bert_precision, round(k / r, 6) AS bert_recall,
-      round(2.0 * k / (c + r), 6) AS bert_f1 FROM pair_texts p LEFT JOIN s USING (candidate, reference)""",
+    SELECT p.conv_id, p.turn, p.candidate, p.reference, s.pair_rows, round(k / c, 6) AS overlap_precision, round(k / r, 6) AS overlap_recall,
+      round(2.0 * k / (c + r), 6) AS overlap_f1 FROM pair_texts p LEFT JOIN s USING (candidate, reference)""",
     ("pair_texts",),
 )
 def j11(v: Views) -> DataFrame:

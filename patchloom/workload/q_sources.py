@@ -12,6 +12,7 @@ from patchloom.sources.readers import read_table, read_whole_text
 from patchloom.sources.sinks import (
     existing_table,
     remaining,
+    read_keyed,
     upsert_append,
     upsert_counted,
     write_table,
@@ -163,7 +164,7 @@ def k3(v: Views) -> DataFrame:
     upsert_append(v.spark, rows.where(F.col("status") == "modified"), path)
     for _ in range(2):
         upsert_append(v.spark, rows, path)
-    return v.spark.read.parquet(path)
+    return read_keyed(v.spark, path)
 
 
 @query(
@@ -195,7 +196,7 @@ def k5(v: Views) -> DataFrame:
             lot.write.mode("append").json(landed)
         source = payload_stream(v.spark, landed, "pr_id LONG, sha STRING, payload STRING")
         ingest_available(v.spark, source, table, checkpoint, payloads.commit_files)
-    kept = v.spark.read.parquet(table)
+    kept = read_keyed(v.spark, table)
     return kept.select("pr_id", "sha", "file", "status", F.lit(True).alias("seen"))
 
 

@@ -200,7 +200,7 @@ def test_failed_batch_is_null_and_order_is_kept(spark):
     got = predictors.generate(df, "t", "o", Broken, batch_size=2).orderBy("i").collect()
     assert [r.o for r in got] == [None, None, None, "B", None, "C"]
     with pytest.raises(ValueError):
-        predictors.generate(df, "missing")
+        predictors.generate(df, "missing", "o", Broken)
 
 
 def test_pair_scores_keep_rows(spark):
@@ -209,7 +209,7 @@ def test_pair_scores_keep_rows(spark):
     assert len(got) == 3
     assert sorted((r.pair_rows or 0) for r in got) == [0, 2, 2]
     direct = predictors.score_pairs(df, "c", "r").collect()
-    assert [r.bert_f1 for r in direct] == [0.5, 0.5, None]
+    assert [r.overlap_f1 for r in direct] == [0.5, 0.5, None]
 
 
 def brute_knn(train, test, k):
@@ -228,6 +228,10 @@ def test_neighbour_vote_is_exact(spark):
     for size in (8, 256):
         got = {r.pr_id: r.score for r in knn_vote(tr, te, ["a", "b"], block_rows=size).collect()}
         assert got == pytest.approx(brute_knn(train, test, 5))
+    bounded = knn_vote(tr, te, ["a", "b"], max_reference=20, batch_rows=7).collect()
+    assert len(bounded) == 40 and {round(r.score * 5) for r in bounded} <= {0, 1, 2, 3, 4, 5}
+    far = te.withColumn("a", F.lit(1e12))
+    assert knn_vote(tr.withColumn("a", F.lit(0.0)), far, ["a", "b"]).count() == 40
 
 
 def test_auc_and_roc(spark):
@@ -250,3 +254,35 @@ def test_dunn_with_an_absent_label(spark):
     df = frame(spark, [("k", "a", 1.0), ("k", "a", 2.0), ("k", "b", 5.0), ("one", "a", 1.0)], "k STRING, g STRING, v DOUBLE")
     got = {(r.k, r.first, r.second): r.z_stat for r in dunn_holm(df, "g", "v", ["a", "b", "c"], ["k"], alpha=None).collect()}
     assert got["k", "a", "b"] is not None and got["k", "a", "c"] is None and got["one", "a", "b"] is None
+
+
+def test_column_scores(spark):
+    from patchloom.functions import text
+
+    df = frame(spark, [("One two. Three four five! Six seven eight\nend",), (" \n ",), ("",), (None,)], "t STRING")
+    assert [r.s for r in df.select(text.key_sentence(F.col("t")).alias("s")).collect()] == ["Three four five", None, None, None]
+    coded = [r.e for r in predictors.add_embedding(df, "t", "e", size=700).collect()]
+    assert len(coded[0]) == 700 and sum(coded[0]) == 9 and coded[1:] == [None, None, None]
+    scores = [tuple(r) for r in df.select(*text.message_rules(F.col("t"), F.lit("two five end"))).collect()]
+    assert scores == [(4, 1), (None, None), (None, None), (None, None)]
+
+
+def test_fitted_language_on_held_out_documents(spark):
+    from patchloom.plans import language
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    train, rest = docs.where("doc_id % 4 > 0"), docs.where("doc_id % 4 = 0")
+    told = language.add_fitted_language(language.fit_language(train, "text"), rest, "text")
+    assert told.agg(F.avg((F.col("language") == F.col("lang")).cast("int"))).first()[0] > 0.95
+    blank = frame(spark, [(1, None, None), (2, "de", " ")], "doc_id INT, lang STRING, text STRING")
+    got = language.add_fitted_language(language.fit_language(train, "text"), blank, "text").collect()
+    assert [(r.language, r.confidence) for r in got] == [(None, None), (None, None)]
+
+
+def test_measures_of_a_pull_request_with_repeated_and_missing_names(spark):
+    from patchloom.plans.change_size import per_pr
+
+    rows = [(1, "a/b/f.py", "s", 1, 1, None), (1, "a/b/f.py", "t", 2, 2, 0), (1, None, "s", 4, None, 0), (1, "c/b/g.py", None, 8, 8, 0), (None, "x", "s", 1, 1, 1)]
+    df = frame(spark, rows, "pr_id LONG, filename STRING, sha STRING, changes LONG, additions LONG, deletions LONG")
+    got = per_pr(df, ["pr_id"]).collect()
+    assert [tuple(r) for r in got] == [(1, 15, 11, 0, 2, 2, 1, 2)]

@@ -97,6 +97,20 @@ def test_upsert_keeps_existing_rows_and_repeats_nothing(spark, tmp_path):
     assert sinks.upsert_counted(spark, second, path).added == 0
     got = sorted((r.pr_id, r.file or "", r.status) for r in spark.read.parquet(path).collect())
     assert got == [(1, "", "old"), (1, "f", "old"), (2, "f", "x")]
+    assert sinks.read_keyed(spark, path).columns == ["pr_id", "sha", "file", "status"]
+    with pytest.raises(ValueError):
+        sinks.upsert_append(spark, second, path, buckets=8)
+
+
+def test_upsert_reads_only_touched_buckets(spark, tmp_path):
+    path = str(tmp_path / "out.parquet")
+    rows = spark.range(200).selectExpr("id AS pr_id", "'s' AS sha", "'f' AS file", "'x' AS status")
+    assert sinks.upsert_append(spark, rows, path) == 200
+    batch = sinks._bucketed(rows.where("pr_id = 7"), "pr_id", sinks.BUCKETS)
+    plan = sinks.touched_rows(spark.read.parquet(path), batch, sinks.BUCKETS)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket_64" in text or "PartitionFilters: [isnotnull(bucket_64" in text
+    assert {r.bucket_64 for r in plan.collect()} == {r.bucket_64 for r in batch.collect()}
 
 
 def test_remaining_work(spark):
