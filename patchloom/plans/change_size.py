@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import paths, times
 from patchloom.operators.cumulative import describe, percentiles, stack_metrics
+from patchloom.operators.quality import assert_row_preserving
 
 # Labels of the groups, and task types that are looked at together.
 GROUP_NAMES = {1: "APR", 0: "HPR"}
@@ -69,10 +70,24 @@ def task_types(agent_types: DataFrame, human_types: DataFrame) -> DataFrame:
     return human_types.select(*names).unionByName(agent_types.select(*names))
 
 
-def add_task_type(df: DataFrame, types: DataFrame) -> DataFrame:
+def add_task_type(df: DataFrame, types: DataFrame, check: bool = True) -> DataFrame:
+    """Left join of the task type. A pull request with several types would multiply rows and is refused; without
+    ``check`` nothing runs before the plan does."""
+    if check:
+        assert_row_preserving(types, ["pr_id"])
     return df.join(types, on="pr_id", how="left")
 
 
+def unmatched_prs(closed: DataFrame, files: DataFrame) -> DataFrame:
+    """Per group: closed pull requests and those of them without any file row."""
+    known = files.select("pr_id").distinct().withColumn("_has", F.lit(1))
+    return (
+        closed.join(known, on="pr_id", how="left")
+        .groupBy(is_agent(F.col("agent")).alias("is_agent"))
+        .agg(F.count("*").alias("closed_prs"), F.count(F.when(F.col("_has").isNull(), 1)).alias("unmatched"))
+    )
+
+
 def merge_rates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct merged and unmerged pull requests per key; total and rate stay null for a
     key that lacks one of the two."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.functions import patches, paths, times
+from patchloom.session import materialize
 
 
 def patched_files(details: DataFrame, human_details: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
@@ -189,9 +190,10 @@ def _merged_touches(
 
 
 def _latest(touches: DataFrame, pr_name: str, at_name: str) -> DataFrame:
-    """The touch with the largest pull-request id per file."""
-    last = touches.groupBy(*FILE_KEY).agg(F.max(F.struct("pr_id", "at")).alias("t"))
-    return last.select(*FILE_KEY, F.col("t.pr_id").alias(pr_name), F.col("t.at").alias(at_name))
+    """The touch with the largest pull-request id per file; ids and times are combined by hash, without a sort."""
+    return touches.groupBy(*FILE_KEY).agg(
+        F.max("pr_id").alias(pr_name), F.max_by("at", "pr_id").alias(at_name)
+    )
 
 
 def latest_additions(
@@ -219,7 +221,8 @@ def next_modification(
     pr: DataFrame, details: DataFrame, human_pr: DataFrame, human_details: DataFrame
 ) -> DataFrame:
     """Added files with a later change and the hours in between."""
-    added = latest_additions(pr, details, human_pr, human_details)
+    # Read twice, as left side and for the pull requests to leave out.
+    added = materialize(latest_additions(pr, details, human_pr, human_details), "additions")
     changed = latest_modifications(pr, details, human_pr, human_details, added)
     right = changed.select(
         *[F.col(k).alias(f"_{k}") for k in FILE_KEY], "next_modified_pr_id", "next_modified_at"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.functions import paths, text
+from patchloom.operators.quality import assert_no_nulls, assert_unique
 from patchloom.operators.reshape import one_hot, one_hot_vector
 
 # Change status of a file.
@@ -142,12 +143,16 @@ def labelled_matrix(
     similarity: DataFrame,
     threshold: float = 0.9,
     categories: Sequence[str] | None = None,
+    check: bool = False,
 ) -> DataFrame:
     """Rows with a similarity, label 1 from the threshold on, zero-filled and one-hot encoded: columns for
     listed categories, else one sparse vector.
 
-    Filling comes first: a missing task type becomes the category ``0``.
+    Filling comes first: a missing task type becomes the category ``0``. With ``check`` the similarities must be
+    one per pull request and not null.
     """
+    if check:
+        assert_unique(assert_no_nulls(similarity, ["pr_id", "similarity"]), ["pr_id"])
     labelled = features.join(similarity.select("pr_id", "similarity"), on="pr_id", how="inner")
     label = F.when(F.col("similarity") >= F.lit(threshold), F.lit(1)).otherwise(F.lit(0))
     kept = labelled.withColumn("label", label).drop("pr_title", "pr_body", "similarity", "total_changes")

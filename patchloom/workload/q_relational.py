@@ -213,6 +213,18 @@ def j01(v: Views) -> DataFrame:
     return change_size.closed_prs(v.all_prs()).join(change_size.agent_files(v.all_details()), "pr_id")
 
 
+@query(
+    "j01_unmatched_count",
+    """SELECT is_agent, count(*) AS closed_prs, count(*) FILTER (id NOT IN (SELECT pr_id FROM details_all WHERE status = 'added')) AS unmatched
+    FROM pr_all WHERE closed_at IS NOT NULL GROUP BY is_agent""",
+    DP,
+)
+def j01_unmatched(v: Views) -> DataFrame:
+    """Closed pull requests that added no file."""
+    added = v.all_details().where(F.col("status") == "added")
+    return change_size.unmatched_prs(change_size.closed_prs(v.all_prs()), added)
+
+
 @query(
     "j02_left_row_preserving",
     "SELECT id AS pr_id, state, task_type FROM pr_all LEFT JOIN types_all ON id = pr_id",

@@ -238,13 +238,13 @@ def f22(v: Views) -> DataFrame:
 
 @query(
     "f23_prompts",
-    """SELECT DISTINCT sha, 'Commit message:' || chr(10) || coalesce(message, '') || chr(10) || chr(10) || 'Diff:' || chr(10) || coalesce(patch, '')
+    """SELECT sha, 'Commit message:' || chr(10) || coalesce(message, '') || chr(10) || chr(10) || 'Diff:' || chr(10) || coalesce(patch, '')
       || chr(10) || chr(10) || 'Score what and why from 0 to 5.' AS prompt FROM details_all""",
     D,
 )
 def f23(v: Views) -> DataFrame:
     prompt = text.render(PROMPT, message=F.col("message"), patch=F.col("patch"))
-    return v.all_details().select("sha", prompt.alias("prompt")).distinct()
+    return v.all_details().select("sha", prompt.alias("prompt"))
 
 
 @query("f24_blank_test", "SELECT pr_id, coalesce(trim(pr_body, ' ' || chr(10)) <> '', false) AS filled FROM bodies", B)
@@ -282,11 +282,11 @@ def _sorted_names(df: DataFrame, columns) -> DataFrame:
     )
 
 
-FILES = f"files AS (SELECT DISTINCT filename, patch, {LANG} AS lang FROM details_all)"
+FILES = f"files AS (SELECT filename, patch, {LANG} AS lang FROM details_all)"
 
 
 def _files(v: Views) -> DataFrame:
-    rows = v.all_details().select("filename", "patch").distinct()
+    rows = v.all_details().select("filename", "patch")
     return rows.withColumn("lang", paths.language_of(F.col("filename")))
 
 
@@ -308,37 +308,37 @@ def f25(v: Views) -> DataFrame:
 
 @query(
     "d01_patch_lines",
-    "SELECT DISTINCT patch, array_to_string(string_split(patch, chr(10)), '|') AS lines FROM details_all WHERE patch IS NOT NULL",
+    "SELECT patch, array_to_string(string_split(patch, chr(10)), '|') AS lines FROM details_all WHERE patch IS NOT NULL",
     D,
 )
 def d01(v: Views) -> DataFrame:
-    rows = v.all_details().where(F.col("patch").isNotNull()).select("patch").distinct()
+    rows = v.all_details().where(F.col("patch").isNotNull()).select("patch")
     return rows.select("patch", F.array_join(patches.patch_lines(F.col("patch")), "|").alias("lines"))
 
 
 @query(
     "d02_added_code",
-    """WITH a AS (SELECT DISTINCT patch, list_transform(list_filter(string_split(patch, chr(10)), lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++')),
+    """WITH a AS (SELECT patch, list_transform(list_filter(string_split(patch, chr(10)), lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++')),
         lambda x: x[2:]) AS code FROM details_all WHERE patch IS NOT NULL),
       m AS (SELECT *, coalesce(list_min(list_transform(list_filter(code, lambda x: trim(x) <> ''), lambda x: length(x) - length(ltrim(x)))), 0) AS margin FROM a)
     SELECT patch, array_to_string(list_transform(code, lambda x: x[margin + 1:]), chr(10)) AS code FROM m""",
     D,
 )
 def d02(v: Views) -> DataFrame:
-    rows = v.all_details().where(F.col("patch").isNotNull()).select("patch").distinct()
+    rows = v.all_details().where(F.col("patch").isNotNull()).select("patch")
     return rows.select("patch", patches.added_code(F.col("patch")).alias("code"))
 
 
 @query(
     "d03_old_and_new_code",
-    """WITH l AS (SELECT DISTINCT patch, list_filter(string_split(patch, chr(10)), lambda x: NOT (starts_with(x, '---') OR starts_with(x, '+++') OR starts_with(x, '@@'))) AS k
+    """WITH l AS (SELECT patch, list_filter(string_split(patch, chr(10)), lambda x: NOT (starts_with(x, '---') OR starts_with(x, '+++') OR starts_with(x, '@@'))) AS k
         FROM details_all)
     SELECT patch, array_to_string(list_transform(list_filter(k, lambda x: NOT starts_with(x, '+')), lambda x: CASE WHEN left(x, 1) IN ('-', ' ') THEN x[2:] ELSE x END), chr(10)) AS old_code,
       array_to_string(list_transform(list_filter(k, lambda x: NOT starts_with(x, '-')), lambda x: CASE WHEN left(x, 1) IN ('+', ' ') THEN x[2:] ELSE x END), chr(10)) AS new_code FROM l""",
     D,
 )
 def d03(v: Views) -> DataFrame:
-    rows = v.all_details().select("patch").distinct()
+    rows = v.all_details().select("patch")
     return rows.select(
         "patch", patches.old_code(F.col("patch")).alias("old_code"), patches.new_code(F.col("patch")).alias("new_code")
     )
@@ -392,7 +392,7 @@ def d06(v: Views) -> DataFrame:
 
 @query("d07_null_safe_record", f"WITH {FILES} SELECT filename, patch, {FOUR} FROM files", D)
 def d07(v: Views) -> DataFrame:
-    rows = v.all_details().select("filename", "patch").distinct()
+    rows = v.all_details().select("filename", "patch")
     four = rows.select("filename", "patch", *patches.changes_of_file(F.col("patch"), F.col("filename")))
     return _sorted_names(four, patches.CHANGE_COLUMNS)
 
@@ -404,7 +404,7 @@ def d07(v: Views) -> DataFrame:
     D,
 )
 def d08(v: Views) -> DataFrame:
-    rows = v.all_details().select("filename", "patch").distinct()
+    rows = v.all_details().select("filename", "patch")
     checked = rows.select("filename", "patch", *patches.checked_changes(F.col("patch"), F.col("filename")))
     return _sorted_names(checked, patches.CHANGE_COLUMNS)
 
@@ -417,14 +417,14 @@ def _simple_sql(sign: str, word: str, stop: str) -> str:
 
 @query(
     "d09_simple_python_names",
-    f"""SELECT DISTINCT patch, {_simple_sql('+', 'def', '(')} AS added_functions, {_simple_sql('-', 'def', '(')} AS removed_functions,
+    f"""SELECT patch, {_simple_sql('+', 'def', '(')} AS added_functions, {_simple_sql('-', 'def', '(')} AS removed_functions,
       {_simple_sql('+', 'class', ':')} AS added_classes, {_simple_sql('-', 'class', ':')} AS removed_classes
     FROM details_all WHERE patch IS NOT NULL""",
     D,
 )
 def d09(v: Views) -> DataFrame:
     patch = F.col("patch")
-    rows = v.all_details().where(patch.isNotNull()).select("patch").distinct()
+    rows = v.all_details().where(patch.isNotNull()).select("patch")
     return rows.select(
         "patch",
         F.array_join(patches.simple_functions(patch, "+"), ";").alias("added_functions"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from patchloom.plans import change_size, churn, features, textpairs
@@ -136,3 +138,20 @@ def test_missing_task_type_becomes_a_category(spark):
     df = spark.createDataFrame([(1, "fix", 1, True), (2, None, None, None)], "pr_id LONG, task_type STRING, n LONG, b BOOLEAN")
     rows = features.fill_zero(df).orderBy("pr_id").collect()
     assert rows[1].asDict() == {"pr_id": 2, "task_type": "0", "n": 0, "b": 0}
+
+
+def test_checks_in_the_plans(spark):
+    from patchloom.operators.quality import DataCheckError
+    from patchloom.plans.change_size import add_task_type, unmatched_prs
+    from patchloom.plans.features import labelled_matrix
+
+    prs = spark.createDataFrame([(1, "Human"), (2, None)], "pr_id LONG, agent STRING")
+    twice = spark.createDataFrame([(1, "fix"), (1, "feat")], "pr_id LONG, task_type STRING")
+    with pytest.raises(DataCheckError):
+        add_task_type(prs, twice)
+    assert add_task_type(prs, twice, check=False).count() == 3
+    got = {tuple(r) for r in unmatched_prs(prs, twice).collect()}
+    assert got == {(0, 1, 0), (1, 1, 1)}
+    holes = spark.createDataFrame([(1, None)], "pr_id LONG, similarity DOUBLE")
+    with pytest.raises(DataCheckError):
+        labelled_matrix(add_task_type(prs, twice, check=False), holes, check=True)
