@@ -34,6 +34,11 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
 OTHER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|captcha|comments?|commentlist|cookies?|consent|disqus|disclaimer|footer|foot|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|notice|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|remarks?|replies|share|sharing|shoutbox|sidebar|signup|skyscraper|social|sponsor\w*|subscribe|tags?|toolbar|topbar|widgets?|alert)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner complementary contentinfo search form alert alertdialog dialog menu menubar toolbar".split())
 
+#: Siblings of the container: tags that stay with few links, the share of links that is few, and what other elements must
+#: be worth, of a mean block of the container.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre ul ol dl table figure".split())
+SIBLING_LINKS, SIBLING_SHARE = 0.3, 0.5
+
 TOKEN = re.compile(r"<!--(?:>|->|.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -177,6 +182,32 @@ def blocks(top: Node) -> Iterator[tuple[Node, str, int]]:
         yield out
 
 
+def worth(text: str, linked: int) -> float:
+    """Points of a block: for its length and commas, less the more of it lies in links."""
+    return (1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3)) * (1 - linked / len(text))
+
+
+def good_siblings(best: Node, found: list[tuple[Node, str, int]]) -> set[int]:
+    """The numbers of the blocks of the container and of its good siblings, by the siblings' own text: paragraphs, headings
+    and bare text with few links; other elements that are worth half a mean block of the container, too."""
+    parts: dict[int, tuple[Node, list[int]]] = {}
+    for i, (node, _, _) in enumerate(found):
+        part = node
+        while part is not best.above and part.above is not best.above and part.above is not None:
+            part = part.above
+        if part is best.above or part.above is best.above:  # bare text is a part by itself
+            parts.setdefault(i if node is best.above else -id(part), (part, []))[1].append(i)
+    own = [worth(*found[i][1:]) for i in parts.get(-id(best), (best, []))[1]]
+    floor = SIBLING_SHARE * sum(own) / len(own) if own else 0.0
+    kept = set()
+    for part, rows in parts.values():
+        few = sum(found[i][2] for i in rows) <= SIBLING_LINKS * sum(len(found[i][1]) for i in rows)
+        plain = part.tag in PROSE or part is best.above
+        if part is best or few and (plain or sum(worth(*found[i][1:]) for i in rows) >= floor):
+            kept |= set(rows)
+    return kept
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the best container and of its good siblings, joined by one space."""
     root = tree(html or "")
@@ -185,7 +216,7 @@ def main_text(html: str | None) -> str:
         return ""
     candidates: dict[int, Node] = {}
     for node, text, linked in found:
-        points = (1 + len(COMMAS.findall(text)) + min(len(text) / 100, 3)) * (1 - linked / len(text))
+        points = worth(text, linked)
         level, above = 0, node if node.tag in ("body", "html", "article", "main", "section", "div", "td") else node.above
         while above is not None:
             above.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
@@ -198,20 +229,10 @@ def main_text(html: str | None) -> str:
     while article is not None and article.tag not in ("article", "main"):
         article = article.above
     best = article or best  # a container inside an article stands for the whole article
-    kept = {id(best)}
-    if best.above is not None:
-        for x in best.above.children:
-            if isinstance(x, Node) and not x.other and x.points >= max(10.0, 0.2 * best.points):
-                kept.add(id(x))
-
-    def inside(node: Node | None) -> bool:
-        while node is not None:
-            if id(node) in kept:
-                return True
-            node = node.above
-        return False
-
-    return " ".join(text for node, text, _ in found if inside(node))
+    if best.above is None:
+        return " ".join(text for _, text, _ in found)
+    kept = good_siblings(best, found)
+    return " ".join(text for i, (_, text, _) in enumerate(found) if i in kept)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

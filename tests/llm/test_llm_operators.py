@@ -262,6 +262,14 @@ def test_html():
     assert len(html.main_text("<div>" * 3000 + "x" * 100_000)) == 100_000
 
 
+def test_html_siblings():
+    body = " ".join(f"<p>Paragraph {i}, with some words, and more of them to read here.</p>" for i in range(20))
+    inner = " ".join(f"Paragraph {i}, with some words, and more of them to read here." for i in range(20))
+    page = f"""<body><ul><li><a href="/">Home</a></ul><div><h1>T</h1><p>intro</p>bare text<div class=body>{body}</div><p>closing</p><p><a href="/x">more to read</a></p>
+    <section><h2>Part two</h2><p>A short one.</p><p>Another, shorter one.</p></section><div><a href="/a">Next</a> <a href="/b">Last</a></div><div>x</div></div></body>"""
+    assert html.main_text(page) == f"T intro bare text {inner} closing Part two A short one. Another, shorter one."
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x, y</p>", "t"), (None, None, None, None), (1, "u", "<p>x, y</p>", "t")], "page_id long, url string, html string, n_chars string")
     assert sorted(map(str, ((r.page_id, r.url, r.text, r.n_chars) for r in html.extracted(pages).collect()))) == ["(1, 'u', 'x, y', 4)", "(1, 'u', 'x, y', 4)", "(None, None, '', 0)"]
