@@ -26,7 +26,7 @@ from patchloom.llm.tables import arrow_pass
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas".split())
-NO_TEXT = frozenset("head title script style noscript template iframe noembed noframes svg math object audio video canvas nav aside footer form button select option textarea menu dialog search map frameset xmp datalist".split())
+NO_TEXT = frozenset("head title script style noscript template iframe noembed noframes svg math object audio video canvas nav aside footer button select option textarea menu dialog search map frameset xmp datalist".split())
 ENDS_PARAGRAPH = BLOCKS - {"button", "option", "optgroup", "head", "html", "body", "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "legend"}
 #: What a start tag closes, and what it never closes beyond.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -40,36 +40,84 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre ul ol dl table figu
 SIBLING_LINKS, SIBLING_SHARE = 0.3, 0.5
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+#: Words that say what a page has, not what the element is; and words of what readers add, which may outgrow the article.
+LAYOUT = re.compile(r"(?:(?<=[\s_-])|^)(?:has|no|with|without)[_-]\S+|(?<=\w)-widgets?(?=[\s_-]|$)", re.I)
+READERS = re.compile(r"comment|disqus|remark|replies|shoutbox", re.I)
+#: The share of the page's points above which an element named as no article is the page's wrapper all the same.
+MOST, NEARLY_ALL = 0.5, 0.9
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 COMMAS = re.compile(r"[,،、，;]")
 
 
 class Node:
-    """An element: its children (nodes and texts), whether it is left out, and its points."""
+    """An element: its children (nodes and texts), whether it is left out, the share of the page from which its name does
+    not count (0: not named), and its points."""
 
-    __slots__ = ("above", "children", "link", "other", "points", "tag")
+    __slots__ = ("above", "children", "link", "named", "other", "points", "tag")
 
-    def __init__(self, tag: str, above: Node | None, other: bool):
-        self.tag, self.above, self.other = tag, above, other
+    def __init__(self, tag: str, above: Node | None, other: bool, named: float = 0.0):
+        self.tag, self.above, self.other, self.named = tag, above, other, named
         self.children: list[Node | str] = []
         self.points, self.link = 0.0, tag == "a" or bool(above and above.link)
 
 
-def is_other(tag: str, attributes: str, inside: bool) -> bool:
+def attributes_of(text: str) -> dict[str, str]:
+    """Names (lower case) and values of a start tag's attributes; of repeated names the first holds."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), unescape(a or b or c))
+    return out
+
+
+def is_other(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     """Whether an element is no text of an article. ``inside`` an article, a plain header is its heading."""
     if tag in NO_TEXT or tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for name, a, b, c in NAMED.findall(attributes):
-        value, name = a or b or c, name.lower()
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value) or name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and OTHER.search(value):
-            return True
-    return False
+    role = attributes.get("role", "").lower()
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(attributes.get("style", ""))) or role in ROLES and role != "form"
+
+
+def named_other(tag: str, attributes: dict[str, str], inside: bool) -> float:
+    """The share of the page that an element must hold to stay although its class, id or tag says it is no article, or 0.
+    Headings, and what is ``inside`` an article, may be called header."""
+    if tag in ("html", "body", "article", "main"):
+        return 0.0
+    names = [m[0] for x in ("class", "id") for m in OTHER.finditer(LAYOUT.sub(" ", attributes.get(x, "")))] if attributes else []
+    if inside or tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        names = [x for x in names if x.strip(" _-").lower() != "header"]
+    if names:
+        return NEARLY_ALL if any(READERS.search(x) for x in names) else MOST
+    return MOST if tag == "form" or attributes.get("role", "").lower() == "form" else 0.0
+
+
+def discount(root: Node) -> None:
+    """Leave out the elements named as no article. Those that hold most of the page's points
+    stay, as wrappers of the page, unless an article stands outside them."""
+    held: dict[int, tuple[Node, float]] = {}
+    total = 0.0
+    article = False
+    for node, text, linked in blocks(root):
+        points, names, inside = worth(text, linked), 0, False
+        total += points
+        while node is not None:
+            inside = inside or node.tag in ("article", "main")
+            if node.named:
+                names += 1
+                held[id(node)] = node, held.get(id(node), (node, 0.0))[1] + points
+            node = node.above
+        article = article or inside and not names
+    for node, points in held.values():
+        if points > node.named * total and (not article or _inside(node)):
+            node.named = 0.0
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.other = node.other or node.named > 0
+        todo += [x for x in node.children if isinstance(x, Node) and not node.other]
 
 
 def tree(html: str) -> Node:
@@ -119,7 +167,9 @@ def tree(html: str) -> Node:
         if tag in VOID:
             here.children.append(" " if tag in ("br", "wbr") and tag == "br" else Node(tag, here, False) if tag == "hr" else "")
             continue
-        node = Node(tag, here, here.other or is_other(tag, m[3], _inside(here)))
+        attributes = attributes_of(m[3]) if m[3] else {}
+        inside = _inside(here)
+        node = Node(tag, here, here.other or is_other(tag, attributes, inside), named_other(tag, attributes, inside))
         here.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -211,6 +261,7 @@ def good_siblings(best: Node, found: list[tuple[Node, str, int]]) -> set[int]:
 def main_text(html: str | None) -> str:
     """The blocks of the best container and of its good siblings, joined by one space."""
     root = tree(html or "")
+    discount(root)
     found = list(blocks(root))
     if not found:
         return ""

@@ -270,6 +270,22 @@ def test_html_siblings():
     assert html.main_text(page) == f"T intro bare text {inner} closing Part two A short one. Another, shorter one."
 
 
+def test_html_names_and_wrappers():
+    """Values are no names; names of what a page has, and wrappers of the whole page, delete nothing."""
+    text = " ".join(f"<p>Paragraph {i}, with some words, and more of them to read here.</p>" for i in range(6))
+    inner = " ".join(f"Paragraph {i}, with some words, and more of them to read here." for i in range(6))
+    link = '<p>See <a href="/hidden-gems" title="The hidden truth">gems</a> and <a href="/page?id=footer">the page</a>.</p>'
+    assert html.main_text(f"<article>{text}{link}</article>") == f"{inner} See gems and the page."
+    for name in ("content has-sidebar", "no-sidebar", "sidebar-left", "elementor-widget-container", "page-header"):
+        for body in (f"<article>{text}</article>", text):
+            assert html.main_text(f'<div class="{name}">{body}<div class="sidebar">Other, text, here</div></div>') == inner
+    assert html.main_text("<article>" + "".join(f'<div class="x-widget x-widget-text"><p>{i} is told</p></div>' for i in range(5)) + "</article>") == "0 is told 1 is told 2 is told 3 is told 4 is told"
+    assert html.main_text(f'<form id="aspnetForm"><div>{text}</div></form>') == inner
+    assert html.main_text(f'<div>{text}<form>Your name</form><p data-x="hidden">last</p><p hidden>no</p><p style="display:none">no</p></div>') == f"{inner} last"
+    assert html.main_text(f'<article><header class="entry-header"><h1>T</h1></header><p>Short</p></article><div class="related">{text}</div>') == "T Short"
+    assert html.main_text(f'<div><p>Short, but told.</p></div><div id="comments">{text}</div>'.replace("Short", "Short, " * 3)) == "Short, Short, Short, , but told."
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x, y</p>", "t"), (None, None, None, None), (1, "u", "<p>x, y</p>", "t")], "page_id long, url string, html string, n_chars string")
     assert sorted(map(str, ((r.page_id, r.url, r.text, r.n_chars) for r in html.extracted(pages).collect()))) == ["(1, 'u', 'x, y', 4)", "(1, 'u', 'x, y', 4)", "(None, None, '', 0)"]
