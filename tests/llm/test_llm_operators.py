@@ -344,6 +344,22 @@ def test_quotes(spark):
     assert quotes.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotes_of_passages(spark):
+    """Passages match whatever their line breaks; the latest original wins; what has no original stays in kept_text."""
+    long = "The build fails on the second machine because its disk is full. Please clear the old logs before you start it again, thanks."
+    rows = [
+        (1, 0, long), (1, 1, "> The build fails on the\n> second machine because its\n> disk is full.\nWhich disk?"), (1, 2, "Ann wrote:\n> Please clear the old logs before you start it again\nDone."),
+        (1, 3, "thanks"), (1, 4, "ok\nthanks"), (1, 5, "> thanks\nwelcome"), (1, 6, ">>> print(1)\n> a word of some other source entirely\nHe wrote:\nthe end"),
+        (1, 7, "> Which disk?\n> Done.\n>\n> nothing of the kind was said here\nyes"), (2, 0, "今天天气很好我们去公园"), (2, 1, "> 天气很好\n> 我们去\n好"), (3, 0, "a b c d e f g"), (3, 1, "> b c d e f x\nno"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.linked(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert [(r.reply_to, r.n_quoted, r.n_linked) for r in (got[1, i] for i in (1, 2, 5, 6, 7))] == [(0, 3, 3), (0, 1, 1), (4, 1, 1), (None, 2, 0), (2, 3, 2)]
+    assert (got[1, 1].kept_text, got[1, 2].kept_text, got[1, 5].kept_text, got[1, 2].thread, got[1, 7].depth) == ("Which disk?", "Done.", "welcome", 0, 2)
+    assert got[1, 6].kept_text == rows[6][2] and got[1, 6].text == "He wrote:\nthe end"
+    assert got[1, 7].kept_text == ">\n> nothing of the kind was said here\nyes"
+    assert (got[2, 1].reply_to, got[2, 1].kept_text) == (0, "好") and (got[3, 1].reply_to, got[3, 1].kept_text) == (None, "> b c d e f x\nno")
+
+
 def test_quality(docs, rows, labels, nothing):
     def base(text):
         w = words(text)
