@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.llm.components import components
@@ -130,18 +130,23 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+def text_key(text: str) -> tuple[Column, Column]:
+    """Two hashes that name a text together."""
+    return F.xxhash64(F.col(text).cast("string")).alias("h"), F.coalesce(F.crc32(F.col(text).cast("string").cast("binary")), F.lit(-1)).alias("check")
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(k, doc_id, n, set_id, r, bits) per row; r names the row for looking its text up again."""
+    """(k, doc_id, n, set_id, r, bits, h, check) per row; r names the row for looking its text up again, h and check its text."""
 
     def work(batches):
         for batch in batches:
             for part in slices(batch, "_text"):
                 h, first = shingle_sets(part.column(2), width)
                 n, ids = np.diff(first), set_ids(h, first)
-                yield {"k": part.column(0), "doc_id": part.column(1), "n": n, "set_id": pa.array(ids, mask=n == 0), "r": _row_hashes(part.column(0), ids), "bits": [signature(h[a:b]) for a, b in zip(first, first[1:], strict=False)]}
+                yield {"k": part.column(0), "doc_id": part.column(1), "n": n, "set_id": pa.array(ids, mask=n == 0), "r": _row_hashes(part.column(0), ids), "bits": [signature(h[a:b]) for a, b in zip(first, first[1:], strict=False)], "h": part.column(3), "check": part.column(4)}
 
     kind = dict(docs.dtypes)["doc_id"]
-    return arrow_pass(docs.select("_k", "doc_id", "_text"), f"k string, doc_id {kind}, n long, set_id long, r long, bits binary", work)
+    return arrow_pass(docs.select("_k", "doc_id", "_text", *text_key("_text")), f"k string, doc_id {kind}, n long, set_id long, r long, bits binary, h long, check long", work)
 
 
 def _shared(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -309,8 +314,8 @@ def _open_tiles(shared: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFra
     return rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "set_id", "n", "root").join(reps.select("set_id", "bits"), "set_id")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (least doc_id of its component), set_id. Extra columns are left out."""
+def _rooted(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per document: doc_id, n_shingles, set_id, root (of its component; null without words), h and check of its text."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("_text")).withColumn("_k", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.xxhash64("_text"))))
     sets = materialize(_sets(docs, width), "sets")
     shared = materialize(_shared(docs, width, percent), "tiles")
@@ -326,19 +331,41 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     rest = materialize(_tile_pairs(_open_tiles(shared, materialize(components(links, "roots"), "roots"), reps), percent).distinct(), "pairs")
     more = materialize(verified(rest, _arrays(docs, reps, rest, width), percent), "links")
     roots = components(links.union(more), "roots")
-    rows = sets.join(roots, sets.set_id == roots.node, "left").select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("root", "set_id").alias("root"))
+    return sets.join(roots, sets.set_id == roots.node, "left").select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("root", "set_id").alias("root"), "h", "check")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (least doc_id of its component), set_id. Extra columns are left out."""
+    rows = _rooted(docs, width, percent)
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "set_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: that of the least doc_id. Of repeated rows with that
-    doc_id one stays; rows without doc_id stay if their component has no doc_id, or no text."""
-    found = near_duplicates(docs, width, percent)
-    gone = materialize(found.where("doc_id IS NOT NULL AND doc_id <> component_id OR doc_id IS NULL AND component_id IS NOT NULL").select("doc_id", "set_id").distinct(), "gone")
-    again = materialize(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "again")
-    left = docs.join(gone.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti") if not gone.isEmpty() else docs
+    """The rows of ``docs`` with one row of each component: that of the least doc_id (rows without doc_id come last), of
+    several of that doc_id the one of the least hashes. Each row is decided by its doc_id and text together. Rows without
+    words stay; of those repeated with a doc_id one stays."""
+    name = ["doc_id", "h", "check"]
+    found = materialize(_rooted(docs, width, percent).groupBy("root", *name).agg(F.count("*").alias("c")), "rooted")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), *name)
+    least = found.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("least"))
+    gone = materialize(found.join(least, "root").where(order != F.col("least")).select(*name), "gone")
+    again = materialize(found.where("c > 1 AND (root IS NOT NULL OR doc_id IS NOT NULL)").join(_named(gone), _same(), "left_anti").select(*name), "again")
+    left = docs.select("*", *text_key("text"))
+    if not gone.isEmpty():
+        left = left.join(_named(gone), _same(), "left_anti")
     if not again.isEmpty():
-        twice = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        left = left.join(again, "doc_id", "left_anti").unionByName(twice)
+        twice = left.join(_named(again), _same(), "left_semi")
+        row = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
+        twice = twice.groupBy(*name).agg(F.min_by(F.struct(*docs.columns), row).alias("row")).select("row.*", "h", "check")
+        left = left.join(_named(again), _same(), "left_anti").unionByName(twice)
     return left.select(*docs.columns)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("check").alias("_check"))
+
+
+def _same() -> Column:
+    """Equal rows of (doc_id, h, check) and of ``_named``, null ids included."""
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")) & (F.col("check") == F.col("_check"))

@@ -218,6 +218,18 @@ def test_one_of_each_group_stays(docs, rows):
     assert ids[100] == 1 and not any(ids[i] for i in (101, 102, 103, 110, 111, 112)) and ids[0] == 1 and ids[120] == 1
 
 
+def test_one_of_each_decides_by_row(spark, rows):
+    """Copies without doc_id go, too; texts that share a doc_id are decided one by one."""
+    texts = {r[0]: r[1] for r in rows if r[1] and len(words(r[1])) > 30}
+    a, b, c, d, e = [texts[i] for i in sorted(i for i in texts if i is not None and i < 30)][:5]
+    given = [(1, a), (None, a), (2, a), (2, b), (3, c), (3, d), (None, e), (None, e), (None, None), (None, None), (4, None), (5, b), (3, c)]
+    docs = spark.createDataFrame([(*x, str(i)) for i, x in enumerate(given)], "doc_id long, text string, extra string").repartition(3)
+    left = jaccard.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(1, a), (2, b), (3, c), (3, d), (None, e), (None, None), (None, None), (4, None)])
+    assert sorted(map(str, left.collect())) == sorted(map(str, jaccard.one_of_each(docs.repartition(2)).collect()))
+
+
 def test_bands_hold_all_links():
     for percent in (50, 80, 90):
         low, differ, parts = jaccard.bands(percent)
