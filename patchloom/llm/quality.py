@@ -176,15 +176,24 @@ def grow(x: np.ndarray, good: np.ndarray, trees: int, per_tree: int, seed: int =
 
 def fit_forest(stats: DataFrame, labels: DataFrame, trees: int = TREES, per_tree: int = ROWS_PER_TREE) -> Forest | None:
     """Grow the forest on at most ``trees * per_tree`` labelled rows that pass the base rules (those of the lowest hash
-    of doc_id) and set the threshold on all labelled rows. None without labelled rows of both kinds.
+    of doc_id) and set the threshold on all labelled rows. If all of those are of one kind, as many of the other join them.
+    None without labelled rows of both kinds.
 
     ``labels`` has doc_id and quality; of several labels of a document the lowest holds, null labels count as none.
     """
     label = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_good"))
     passes = "n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words"
     known = stats.where(passes).join(label, F.col("doc_id") == F.col("_id")).select("doc_id", "rules", F.col("_good").cast("int").alias("good"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "rules").limit(trees * per_tree).collect()
-    if not sample or len({r.good for r in sample}) < 2:
+
+    def first(rows: DataFrame) -> list:
+        return rows.orderBy(F.xxhash64("doc_id"), "rules").limit(trees * per_tree).collect()
+
+    sample = first(known)
+    kinds = {r.good > 0 for r in sample}
+    if len(kinds) == 1:
+        other = first(known.where("good <= 0" if True in kinds else "good > 0"))
+        sample, kinds = sample + other, kinds | {r.good > 0 for r in other}
+    if len(kinds) < 2:
         return None
     forest = grow(np.array([r.rules for r in sample], np.float32), np.array([r.good for r in sample]) > 0, trees, per_tree)
 

@@ -389,6 +389,21 @@ def test_quality(docs, rows, labels, nothing):
     assert quality.assess(nothing, labels).count() == 0
 
 
+@pytest.mark.parametrize("rare", [0, 1])
+def test_forest_of_rare_labels(spark, rare):
+    """The only row of a kind decides, though the sample by hash does not hold it."""
+    rng = random.Random(3)
+    last = spark.range(200).orderBy(F.xxhash64("id").desc()).first().id
+    texts = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) + ("#!9" if i == last else "") for _ in range(60))) for i in range(200)]
+    stats = quality.rule_statistics(spark.createDataFrame(texts, "doc_id long, text string"))
+    given = spark.createDataFrame([(i, rare if i == last else 1 - rare) for i in range(200)], "doc_id long, quality int")
+    forest = quality.fit_forest(stats, given, 4, 16)
+    assert forest is not None
+    if not rare:
+        assert not quality.judged(stats.where(F.col("doc_id") == last), forest).first().kept
+    assert quality.fit_forest(stats, given.where(F.col("doc_id") != last), 4, 16) is None
+
+
 def test_forest_finds_what_is_rare():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, (900, 3)), rng.normal(7, 1, (100, 3))]).astype(np.float32)
