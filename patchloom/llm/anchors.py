@@ -5,9 +5,9 @@ holds a whole block of 25 words of its document's fixed grid. So the blocks of a
 25-word windows of all documents are the probes, and a repeat is found from a hit by extending it to both sides; what
 reaches further than 25 words to a side lies in the next block's hits.
 
-1. Texts are dealt into chunks of about ``CHUNK_BYTES``, by doc_id and text. A chunk sends each distinct window hash
-   once, marked where it is a block, and each block with a hash of its surroundings. Only hashes that are a block
-   somewhere and occur again are probed further; all others stay at home.
+1. Texts are dealt into chunks of about ``CHUNK_BYTES``, by doc_id and text. A chunk sends the first bits of each distinct
+   window hash once, marked where it is a block, and each block with a hash of its surroundings. Only windows that look
+   like a block somewhere and occur again are probed further (by their whole hashes); all others stay at home.
 2. A chunk sends each such block with the 25 words to both sides, one of equal ones (that of the least doc_id), and
    asks for the hashes that its windows hit. Every asking chunk gets the distinct surroundings of the block.
 3. In the chunk hits are extended word by word to maximal exact repeats, compared once more as text, and cut out.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchloom.llm.suffixes import packed, unpacked
-from patchloom.llm.tables import arrow_pass, partitions
+from patchloom.llm.tables import arrow_pass, materialize, partitions
 from patchloom.llm.textbytes import MIX_1, MIX_2, Words, byte_view, mix, powers
 
 WINDOW, BLOCK = 50, 25
@@ -45,15 +45,26 @@ LAST = np.iinfo(np.int64).max
 ONE, TWO, THREE = np.uint64(1), np.uint64(2), np.uint64(3)
 
 
-def rolling(keys: np.ndarray, size: int, salt: np.uint64) -> np.ndarray:
-    """A 64-bit hash of every ``size`` consecutive keys: a polynomial in their salted values."""
-    if len(keys) < size:
-        return np.zeros(0, np.uint64)
-    spread, weight = mix(keys ^ salt), powers(size)
-    total = np.zeros(len(keys) - size + 1, np.uint64)
-    for i in range(size):
-        total += spread[i : i + len(total)] * weight[size - 1 - i]
-    return mix(total + salt)
+def running(keys: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """Sums of the salted keys times powers, from the first key to each place."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(keys ^ salt) * powers(max(len(keys), 1))[: len(keys)], dtype=np.uint64)])
+
+
+_INVERSE = [np.ones(1, np.uint64)]
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """What undoes ``powers`` (an odd base has an inverse)."""
+    if len(_INVERSE[0]) < n:
+        table = np.full(max(n, 1024), pow(int(powers(2)[1]), -1, 1 << 64), np.uint64)
+        table[0] = 1
+        _INVERSE[0] = np.cumprod(table, dtype=np.uint64)
+    return _INVERSE[0][:n]
+
+
+def spans(total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the keys from ``a`` to ``b``, wherever they lie."""
+    return mix((total[b] - total[a]) * inverse_powers(len(total))[a] + (b - a).astype(np.uint64) * MIX_2)
 
 
 class Chunk:
@@ -69,7 +80,9 @@ class Chunk:
         self.doc_id = np.where(self.none, LAST, ids.fill_null(0).to_numpy())
         keys = self.words.key
         doc = self.words.doc
-        self.window = rolling(keys, BLOCK, MIX_1)
+        self.total = running(keys, MIX_1)
+        begin = np.arange(max(0, len(keys) - BLOCK + 1))
+        self.window = spans(self.total, begin, begin + BLOCK)
         self.inside = doc[: len(self.window)] == doc[BLOCK - 1 :] if len(self.window) else np.zeros(0, bool)
         place = np.arange(len(self.window)) - self.first[doc[: len(self.window)]]
         self.block = self.inside & (place % BLOCK == 0)
@@ -92,30 +105,17 @@ class Chunk:
     def surroundings(self, at: np.ndarray) -> np.ndarray:
         """A hash of the surroundings of each block."""
         a, b = self.around(at)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.words.key) * powers_at(len(self.words.key)), dtype=np.uint64)])
-        # the sum depends on the place: divide by the power of the first word (odd, so it has an inverse)
-        return mix((total[b] - total[a]) * inverse_powers_at(len(self.words.key))[a] + (at - a).astype(np.uint64) * MIX_2 + (b - a).astype(np.uint64))
-
+        return mix(spans(self.total, a, b) + (at - a).astype(np.uint64))
 
-def powers_at(n: int) -> np.ndarray:
-    return powers(max(n, 1))[:n]
+    def short(self, bits: int) -> np.ndarray:
+        """The first bits of each window's hash, in front of two free bits for marks."""
+        return self.window >> np.uint64(64 - bits) << TWO
 
 
-_INVERSE = [np.ones(1, np.uint64)]
-
-
-def inverse_powers_at(n: int) -> np.ndarray:
-    if len(_INVERSE[0]) < n:
-        base = int(powers(2)[1])
-        table = np.full(max(n, 1024), pow(base, -1, 1 << 64), np.uint64)
-        table[0] = 1
-        _INVERSE[0] = np.cumprod(table, dtype=np.uint64)
-    return _INVERSE[0][:n]
-
-
-def _parted(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, positions) of the keys; part by the high bits, the low ones carry marks."""
-    part = ((keys >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+def _parted(keys: np.ndarray, bits: int, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, positions) of keys of so many bits; parts are ranges of keys."""
+    low = keys >> np.uint64(bits - 24) if bits > 24 else keys << np.uint64(24 - bits)
+    part = (low * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     borders = np.searchsorted(part[order], np.arange(parts + 1))
     for i in range(parts):
@@ -124,7 +124,7 @@ def _parted(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def dense(sorted_keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences, byte by byte: their high bytes are mostly zero and pack well."""
+    """Sorted keys as differences, byte by byte: their high bytes are mostly zero and pack well."""
     return np.diff(sorted_keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
@@ -132,20 +132,19 @@ def undense(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def offered(chunk: Chunk, parts: int) -> Iterator[tuple[int, bytes]]:
+def offered(chunk: Chunk, bits: int, parts: int) -> Iterator[tuple[int, bytes]]:
     """Per part: the distinct window hashes, marked 1 if a block and 2 if found again in the chunk, and the blocks' surroundings."""
-    h = chunk.window[chunk.inside] & ~THREE
-    block = chunk.block[chunk.inside]
-    names, first, count = np.unique(h, return_index=True, return_counts=True)
+    h = chunk.short(bits)
+    names, count = np.unique(h[chunk.inside], return_counts=True)
+    at = np.flatnonzero(chunk.block)
     is_block = np.zeros(len(names), bool)
-    is_block[np.searchsorted(names, h[block])] = True
+    is_block[np.searchsorted(names, h[at])] = True
     marked = names | is_block.astype(np.uint64) | ((count > 1).astype(np.uint64) << ONE)
-    at = np.flatnonzero(chunk.block)
-    pairs = np.unique(np.stack([chunk.window[at] & ~THREE, chunk.surroundings(at)], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
-    blocks = dict(_parted(pairs[:, 0], parts))
-    for part, where in _parted(marked, parts):
+    pairs = np.unique(np.stack([h[at], chunk.surroundings(at) >> np.uint64(32)], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
+    blocks = dict(_parted(pairs[:, 0], bits + 2, parts))
+    for part, where in _parted(marked, bits + 2, parts):
         some = blocks.get(part, np.zeros(0, np.int64))
-        yield part, packed(dense(marked[where]), pairs[some, 0].tobytes(), pairs[some, 1].tobytes())
+        yield part, packed(dense(marked[where]), dense(pairs[some, 0]), pairs[some, 1].astype(np.uint32).tobytes())
 
 
 def wanted(held: list[tuple[int, bytes]], limit: int) -> Iterator[tuple[int, bytes]]:
@@ -156,7 +155,7 @@ def wanted(held: list[tuple[int, bytes]], limit: int) -> Iterator[tuple[int, byt
     names, place = np.unique(every >> TWO, return_inverse=True)
     blocks = np.bincount(place, (every & ONE).astype(float), len(names)) > 0
     again = np.bincount(place, 1.0 + ((every & TWO) > 0), len(names)) > 1
-    around = np.unique(np.stack([np.concatenate([np.frombuffer(x[i], np.uint64) for x in loaded]) for i in (1, 2)], axis=1), axis=0)
+    around = np.unique(np.stack([np.concatenate([undense(x[1]) for x in loaded]), np.concatenate([np.frombuffer(x[2], np.uint32) for x in loaded]).astype(np.uint64)], axis=1), axis=0)
     hot = np.bincount(np.searchsorted(names, around[:, 0] >> TWO), minlength=len(names)) > limit
     good = blocks & again
     at = 0
@@ -171,26 +170,26 @@ def wanted(held: list[tuple[int, bytes]], limit: int) -> Iterator[tuple[int, byt
 class Hits:
     """The windows of a chunk that hit the index: where they begin, their hash, and whether the block is hot."""
 
-    def __init__(self, chunk: Chunk, blobs: list[bytes]):
+    def __init__(self, chunk: Chunk, bits: int, blobs: list[bytes]):
         keys = [undense(unpacked(x)[0]) for x in blobs]
         known = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
         names = known & ~THREE
-        h = chunk.window & ~THREE
+        h = chunk.short(bits)
         at = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0))
         found = chunk.inside & (names[at] == h) if len(names) else np.zeros(len(h), bool)
         self.at = np.flatnonzero(found)
-        self.key = h[self.at]
+        self.key = chunk.window[self.at]
         self.hot = (known[at[self.at]] & ONE) > 0 if len(names) else np.zeros(0, bool)
 
     def hot_windows(self, chunk: Chunk, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First words of the 50-word windows that hold a window at ``at``, and two hashes of each."""
-        n = len(chunk.words.key) - WINDOW + 1
-        starts = np.unique((at[:, None] - np.arange(SIDE + 1)[None, :]).ravel()) if len(at) else np.zeros(0, np.int64)
-        starts = starts[(starts >= 0) & (starts < n)]
-        starts = starts[chunk.words.doc[starts] == chunk.words.doc[starts + WINDOW - 1]]
-        if not len(starts):
-            return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return starts, rolling(chunk.words.key, WINDOW, MIX_1)[starts], rolling(chunk.words.key, WINDOW, MIX_2)[starts]
+        doc = chunk.words.doc
+        near = np.zeros(len(doc) + 1, np.int32)
+        np.add.at(near, np.maximum(at - SIDE, 0), 1)
+        np.add.at(near, at + 1, -1)
+        starts = np.flatnonzero(np.cumsum(near[:-1])[: max(0, len(doc) - WINDOW + 1)] > 0)
+        starts = starts[doc[starts] == doc[starts + WINDOW - 1]]
+        return starts, spans(chunk.total, starts, starts + WINDOW), spans(running(chunk.words.key, MIX_2), starts, starts + WINDOW)
 
 
 def indexed(chunk: Chunk, hits: Hits, parts: int) -> Iterator[tuple[int, bytes]]:
@@ -199,7 +198,7 @@ def indexed(chunk: Chunk, hits: Hits, parts: int) -> Iterator[tuple[int, bytes]]
     is_block = chunk.block[hits.at]
     cold = hits.at[is_block & ~hits.hot]
     if len(cold):
-        key, h = chunk.window[cold] & ~THREE, chunk.surroundings(cold)
+        key, h = chunk.window[cold], chunk.surroundings(cold)
         doc = chunk.doc_id[chunk.words.doc[cold]]
         order = np.lexsort((doc, h, key))
         new = np.ones(len(order), bool)
@@ -207,14 +206,14 @@ def indexed(chunk: Chunk, hits: Hits, parts: int) -> Iterator[tuple[int, bytes]]
         cold, key, doc = cold[order][new], key[order][new], doc[order][new]
         text, begin, end = chunk.normal()
         a, b = chunk.around(cold)
-        for part, where in _parted(key, parts):
+        for part, where in _parted(key, 64, parts):
             out[part][0] = key[where].tobytes(), doc[where].tobytes(), (cold[where] - a[where]).astype(np.uint8).tobytes(), [text[begin[i] : end[j - 1]] for i, j in zip(a[where].tolist(), b[where].tolist(), strict=True)]
     asked = np.unique(hits.key[~hits.hot])
     highest = np.zeros(len(asked), np.int64)
     if len(asked):
         highest = np.full(len(asked), np.iinfo(np.int64).min)
         np.maximum.at(highest, np.searchsorted(asked, hits.key[~hits.hot]), chunk.doc_id[chunk.words.doc[hits.at[~hits.hot]]])
-    for part, where in _parted(asked, parts):
+    for part, where in _parted(asked, 64, parts):
         out[part][1] = asked[where].tobytes(), highest[where].tobytes()
     for slot, at in ((2, hits.at[is_block & hits.hot]), (3, hits.at[hits.hot])):
         starts, h, g = hits.hot_windows(chunk, at)
@@ -224,7 +223,7 @@ def indexed(chunk: Chunk, hits: Hits, parts: int) -> Iterator[tuple[int, bytes]]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
         h, g, doc = h[new], g[new], doc[new]
-        for part, where in _parted(h, parts):
+        for part, where in _parted(h, 64, parts):
             out[part][slot] = h[where].tobytes(), g[where].tobytes(), doc[where].tobytes()
     for part, four in out.items():
         yield part, packed(*four)
@@ -265,12 +264,13 @@ def answered(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
 
 
 def extended(chunk: Chunk, hits: Hits, key: np.ndarray, doc: np.ndarray, left: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(first word, end) of the repeats: hits on the blocks (hash, doc_id, words to the left, text), extended to both sides as far as the words agree."""
+    """(first words, ends) of the repeats: hits on the blocks (hash, doc_id, words to the left, text), extended to both sides as
+    far as the words agree (by 64-bit hashes), and then compared as text."""
     order = np.argsort(key, kind="stable")
     key, doc, left, texts = key[order], doc[order], left[order], [texts[i] for i in order.tolist()]
     column = pa.array(texts, pa.large_binary())
     raw, offsets = byte_view(column)
-    ref = Words(raw, offsets)
+    ref, whole = Words(raw, offsets), raw.tobytes()
     text, begin, end = chunk.normal()
     own, words_doc = chunk.words.key, chunk.words.doc
     low, high = np.searchsorted(key, hits.key, "left"), np.searchsorted(key, hits.key, "right")
@@ -289,44 +289,43 @@ def extended(chunk: Chunk, hits: Hits, key: np.ndarray, doc: np.ndarray, left: n
             continue
         anchor = ref.first[entry] + left[entry]
         reach = []
-        for step, room in ((-1, np.minimum(left[entry], hit - chunk.first[d])), (1, np.minimum(ref.first[entry + 1] - anchor, chunk.first[d + 1] - hit))):
+        for back, room in ((True, np.minimum(left[entry], hit - chunk.first[d])), (False, np.minimum(ref.first[entry + 1] - anchor, chunk.first[d + 1] - hit) - BLOCK)):
             far = np.zeros(len(hit), np.int64)
-            going = np.ones(len(hit), bool)
-            for i in range(1, (SIDE if step < 0 else BLOCK + SIDE) + 1):
-                offset = -i if step < 0 else i - 1
-                going &= i <= room
-                some = np.flatnonzero(going)
-                if not len(some):
+            going = np.flatnonzero(room > 0)
+            for i in range(1, SIDE + 1):
+                offset = -i if back else BLOCK + i - 1
+                going = going[own[hit[going] + offset] == ref.key[anchor[going] + offset]]
+                far[going] = i
+                going = going[room[going] > i]
+                if not len(going):
                     break
-                going[some] = own[hit[some] + offset] == ref.key[anchor[some] + offset]
-                far += going
             reach.append(far)
-        a, b = hit - reach[0], hit + reach[1]
-        for i in np.flatnonzero((reach[1] >= BLOCK) & (b - a >= WINDOW)).tolist():
-            x = anchor[i] - reach[0][i]
-            e, begin_of = int(entry[i]), int(offsets[entry[i]])
-            here = texts[e][int(ref.start[x]) - begin_of : int(ref.end[x + b[i] - a[i] - 1]) - begin_of]
-            if text[begin[a[i]] : end[b[i] - 1]] == here:
-                yield a[i], b[i]
+        a, b = hit - reach[0], hit + BLOCK + reach[1]
+        long = np.flatnonzero(b - a >= WINDOW)
+        a, b, x, e = a[long], b[long], (anchor - reach[0])[long], entry[long]
+        here = zip(begin[a].tolist(), end[b - 1].tolist(), ref.start[x].tolist(), ref.end[x + b - a - 1].tolist(), strict=True)
+        same = np.fromiter((text[i:j] == whole[k:m] for i, j, k, m in here), bool, len(a))
+        yield a[same], b[same]
 
 
 def cut(chunk: Chunk, hits: Hits, answers: list[bytes]) -> pa.Table:
     change = np.zeros(len(chunk.words.key) + 1, np.int32)
-    for blob in answers:
-        key, doc, left, texts, h, g, least = unpacked(blob)
-        if len(key):
-            for a, b in extended(chunk, hits, key, doc, left, texts):
-                change[a] += 1
-                change[b] -= 1
-        if len(h):
-            starts, own, other = hits.hot_windows(chunk, hits.at[hits.hot])
-            order = np.argsort(h)
-            low, high = np.searchsorted(h[order], own, "left"), np.searchsorted(h[order], own, "right")
-            for i in np.flatnonzero(low < high).tolist():
-                for e in order[low[i] : high[i]].tolist():
-                    if g[e] == other[i] and least[e] < chunk.doc_id[chunk.words.doc[starts[i]]]:
-                        change[starts[i]] += 1
-                        change[starts[i] + WINDOW] -= 1
+    loaded = [unpacked(x) for x in answers]
+    if loaded:
+        key, doc, left, h, g, least = (np.concatenate([x[i] for x in loaded]) for i in (0, 1, 2, 4, 5, 6))
+        for a, b in extended(chunk, hits, key, doc, left, [text for x in loaded for text in x[3]]):
+            np.add.at(change, a, 1)
+            np.add.at(change, b, -1)
+        starts, own, other = hits.hot_windows(chunk, hits.at[hits.hot])
+        order = np.lexsort((g, h))
+        h, g, least = h[order], g[order], least[order]
+        low, high = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
+        owner = chunk.doc_id[chunk.words.doc[starts]]
+        for step in range(int((high - low).max(initial=0))):  # more than one only if two windows share 64 bits
+            e = np.minimum(low + step, max(len(h) - 1, 0))
+            a = starts[(low + step < high) & (g[e] == other) & (least[e] < owner)]
+            np.add.at(change, a, 1)
+            np.add.at(change, a + WINDOW, -1)
     gone = np.cumsum(change[:-1]) > 0
     text, begin, end = chunk.normal()
     keep = np.flatnonzero(~gone)
@@ -363,6 +362,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT, chunk_bytes: int = CHUNK_BY
     chunks = max(2 * partitions(spark), -(-n_bytes // chunk_bytes))
     tasks = max(partitions(spark), chunks // 2)
     parts = tasks
+    bits = min(62, 10 + max(16, int(n_bytes).bit_length()))  # one window in a thousand looks like another at any size
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     dealt = F.pmod(F.xxhash64("doc_id", text, F.spark_partition_id()), F.lit(chunks)).cast("int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), dealt.alias("pid")).repartition(tasks, "pid")
@@ -373,18 +373,18 @@ def without_repeats(docs: DataFrame, hot: int = HOT, chunk_bytes: int = CHUNK_BY
         return pa.table({"part": pa.array([x[0] for x in items], pa.int32()), "pid": pa.array([x[1] for x in items], pa.int32()), "blob": pa.array([x[2] for x in items], pa.binary())})
 
     def first(key, table):
-        return rows((part, key[0].as_py(), blob) for part, blob in offered(Chunk(table), parts))
+        return rows((part, key[0].as_py(), blob) for part, blob in offered(Chunk(table), bits, parts))
 
     def second(left, right):
         if not left.num_rows or not right.num_rows:
             return rows([])
         chunk, pid = Chunk(left), left.column("pid")[0].as_py()
-        return rows((part, pid, blob) for part, blob in indexed(chunk, Hits(chunk, right.column("blob").to_pylist()), parts))
+        return rows((part, pid, blob) for part, blob in indexed(chunk, Hits(chunk, bits, right.column("blob").to_pylist()), parts))
 
     def third(left, right):
         blobs = right.select(["kind", "blob"]).to_pylist()
         chunk = Chunk(left)
-        hits = Hits(chunk, [x["blob"] for x in blobs if x["kind"] == 0])
+        hits = Hits(chunk, bits, [x["blob"] for x in blobs if x["kind"] == 0])
         return cut(chunk, hits, [x["blob"] for x in blobs if x["kind"] == 1])
 
     def each_part(work):
@@ -401,7 +401,7 @@ def without_repeats(docs: DataFrame, hot: int = HOT, chunk_bytes: int = CHUNK_BY
     def by_chunk(df: DataFrame, work, result: str) -> DataFrame:
         return texts.groupBy("pid").cogroup(df.groupBy("pid")).applyInArrow(work, result)
 
-    again = by_parts(texts.groupBy("pid").applyInArrow(first, schema), lambda held: wanted(held, hot))
+    again = materialize(by_parts(texts.groupBy("pid").applyInArrow(first, schema), lambda held: wanted(held, hot)), "wanted")
     answers = by_parts(by_chunk(again, second, schema), answered)
     both = again.withColumn("kind", F.lit(0)).unionByName(answers.withColumn("kind", F.lit(1)))
     return by_chunk(both, third, "doc_id long, n_words long, n_removed long, kept string")
