@@ -8,8 +8,10 @@ with fewer also cuts itself anew for each part that it lacks. A tile holds the s
 
 Candidates are met twice. First, neighbours within each tile are checked; verified links join components. Then
 only tiles that still hold several components are compared, blocks against blocks: sizes and the differing bits
-of the signatures bound the overlap from above, and what may still link goes to exact intersection of the sorted
-arrays. Members of one component aren't compared again, which loses no component.
+of the signatures bound the overlap from above. A pair that shares several tiles is looked at in the first of them.
+Each block names the sets that may still link, gets their sorted arrays, intersects them exactly and gives a forest
+of the links that join components: at most one link less than it has sets, however large a group is. Members of one
+component aren't compared again, which loses no component.
 
 Null and empty texts have no set, link with nothing and are their own component; a row without doc_id gets the
 least doc_id of its component, or null. Repeated rows are links of equal sets.
@@ -23,12 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.llm.components import components
-from patchloom.llm.tables import arrow_pass, materialize, partitions
+from patchloom.llm.tables import arrow_pass, materialize, partitions, release
 from patchloom.llm.textbytes import BASE, MIX_2, Words, byte_view, hash_runs, mix, slices, sums
 
 #: Least bits of a signature (it has two to four for each element); sets of a block when tiles are compared.
 BITS = 512
-BLOCK = 512
+BLOCK = 2048
+#: A set's first tiles by which its pairs are told to have met before.
+FIRST_TILES = 8
 #: Bits of the filter that names the texts whose arrays are wanted: of fixed size, so that it may be sent to all.
 FILTER_BITS = 1 << 23
 
@@ -198,10 +202,10 @@ def _filter_words(rows: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _arrays(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(set_id, elements) of the sets in the pairs, each from its representative's text. The filter picks those texts where
-    they are read, so that no other text is moved; what it lets through besides finds no pair."""
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(reps, "set_id")
+def _arrays(docs: DataFrame, reps: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """(set_id, elements) of the named sets, each from its representative's text. The filter picks those texts where
+    they are read, so that no other text is moved; what it lets through besides finds no partner."""
+    wanted = sets.distinct().join(reps, "set_id")
     known = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted))
     low = np.uint64(FILTER_BITS - 1)
 
@@ -261,25 +265,15 @@ def verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return _with(pairs, arrays, "elements").where(100 * both >= percent * (F.size("elements_a") + F.size("elements_b") - both)).select("a", "b")
 
 
-def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that may link. tiles: key, p, q, block, set_id, n, root, bits; rows of block p meet those of block q."""
-
-    def compare(rows: pa.Table):
-        block, ids, n, root = (rows.column(c).to_numpy() for c in ("block", "set_id", "n", "root"))
-        bits = _bit_matrix(rows.column("bits").combine_chunks())
-        p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        for at in range(0, len(left), 64):
-            x = left[at : at + 64]
-            differing = np.bitwise_count(bits[x][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int64)
-            keep = may_link(n[x][:, None], n[right][None, :], differing, percent) & (root[x][:, None] != root[right][None, :])
-            if p == q:
-                keep &= ids[x][:, None] < ids[right][None, :]
-            i, j = np.nonzero(keep)
-            a, b = ids[x[i]], ids[right[j]]
-            yield np.minimum(a, b), np.maximum(a, b)
+def _met_before(first: np.ndarray, other: np.ndarray, key: int) -> np.ndarray:
+    """Whether two sets share a tile before this one, as far as their first tiles tell."""
+    return ((first[:, :, None] == other[:, None, :]) & (first[:, :, None] < key)).any((1, 2))
 
-    def work(batches):
+
+def _per_block_pair(tiles: DataFrame, schema: str, work) -> DataFrame:
+    """``work`` on the rows of each (key, p, q), which stream past one after the other; it yields dicts of columns."""
+
+    def run(batches):
         held: list[pa.Table] = []
         for batch in batches:
             if not batch.num_rows:
@@ -288,20 +282,93 @@ def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
             names = np.stack([table.column(c).to_numpy() for c in ("key", "p", "q")])
             cuts = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1
             borders = [0, *cuts.tolist(), table.num_rows]
-            out = []
             for a, b in zip(borders, borders[1:], strict=False):
                 piece = table.slice(a, b - a)
                 if held and any(held[0].column(c)[0] != piece.column(c)[0] for c in ("key", "p", "q")):
-                    out += compare(pa.concat_tables(held))
+                    yield from work(pa.concat_tables(held))
                     held = []
                 held.append(piece)
-            if out:
-                yield {"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])}
         if held:
-            for a, b in compare(pa.concat_tables(held)):
-                yield {"a": a, "b": b}
-
-    return arrow_pass(tiles.repartition(partitions(tiles.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q"), "a long, b long", work)
+            yield from work(pa.concat_tables(held))
+
+    return arrow_pass(tiles.repartition(partitions(tiles.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q"), schema, run)
+
+
+def _may_link_in_tile(rows: pa.Table, percent: int, known: bool) -> np.ndarray:
+    """Positions (i, j) of the pairs of different components that sizes and signatures let link, block p against block q;
+    with ``known`` first tiles without those that share an earlier tile."""
+    block, ids, n, root = (rows.column(c).to_numpy() for c in ("block", "set_id", "n", "root"))
+    bits = _bit_matrix(rows.column("bits").combine_chunks())
+    key, p, q = (rows.column(c)[0].as_py() for c in ("key", "p", "q"))
+    first = np.array([x + [key] * (FIRST_TILES - len(x)) for x in rows.column("first").to_pylist()]) if known else None
+    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    out = [np.zeros((0, 2), np.int64)]
+    for at in range(0, len(left), 64):
+        x = left[at : at + 64]
+        keep = may_link(n[x][:, None], n[right][None, :], 0, percent) & (root[x][:, None] != root[right][None, :])
+        if p == q:
+            keep &= ids[x][:, None] < ids[right][None, :]
+        i, j = np.nonzero(keep)
+        for part in range(0, len(i), 1 << 16):
+            a, b = x[i[part : part + (1 << 16)]], right[j[part : part + (1 << 16)]]
+            ok = may_link(n[a], n[b], np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64), percent)
+            a, b = a[ok], b[ok]
+            if known:
+                new = ~_met_before(first[a], first[b], key)
+                a, b = a[new], b[new]
+            out.append(np.stack([a, b], axis=1))
+    return np.concatenate(out)
+
+
+def _open_sets(tiles: DataFrame, percent: int) -> DataFrame:
+    """(key, p, q, block, set_id, n, root) of the sets that may link with another component's in this block pair."""
+
+    def work(rows: pa.Table):
+        used = np.unique(_may_link_in_tile(rows, percent, known=True))
+        if len(used):
+            yield rows.select(["key", "p", "q", "block", "set_id", "n", "root"]).take(pa.array(used)).combine_chunks().to_batches()[0]
+
+    return _per_block_pair(tiles, "key long, p int, q int, block int, set_id long, n long, root long", work)
+
+
+def spanning(pairs, root: list, links) -> list[tuple[int, int]]:
+    """Those of the pairs (i, j) that link and join two components, taken one by one; ``root`` names the components before."""
+    above: dict = {}
+
+    def top(x):
+        while x in above:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    out = []
+    for i, j in pairs:
+        x, y = top(root[i]), top(root[j])
+        if x != y and links(i, j):
+            above[x] = y
+            out.append((i, j))
+    return out
+
+
+def _tile_links(sets: DataFrame, percent: int) -> DataFrame:
+    """A forest of the links (a, b) within each block pair. sets: as ``_open_sets`` gives them, and their elements."""
+
+    def work(rows: pa.Table):
+        elements = [x.values.to_numpy().view(np.uint64) for x in rows.column("elements").combine_chunks()]
+        bits = pa.array([signature(x) for x in elements], pa.binary())
+        pairs = _may_link_in_tile(rows.append_column("bits", bits), percent, known=False)
+        ids = rows.column("set_id").to_pylist()
+
+        def links(i, j):
+            x, y = (elements[i], elements[j]) if len(elements[i]) < len(elements[j]) else (elements[j], elements[i])
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            return 100 * both >= percent * (len(x) + len(y) - both)
+
+        found = spanning(pairs.tolist(), rows.column("root").to_pylist(), links)
+        if found:
+            yield {"a": [min(ids[i], ids[j]) for i, j in found], "b": [max(ids[i], ids[j]) for i, j in found]}
+
+    return _per_block_pair(sets, "a long, b long", work)
 
 
 def _open_tiles(shared: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFrame:
@@ -309,9 +376,10 @@ def _open_tiles(shared: DataFrame, roots: DataFrame, reps: DataFrame) -> DataFra
     named = shared.join(roots, shared.set_id == roots.node, "left").select("key", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
     by_tile = named.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("same"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     one = by_tile.groupBy("c", "same").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(one, "key").withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "set_id", "n", "root").join(reps.select("set_id", "bits"), "set_id")
+    member = materialize(named.join(one, "key").withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("blocks")).cast("int")), "members")
+    first = member.groupBy("set_id").agg(F.slice(F.sort_array(F.collect_list("key")), 1, FIRST_TILES).alias("first"))
+    rows = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "set_id", "n", "root").join(first.join(reps.select("set_id", "bits"), "set_id"), "set_id")
 
 
 def _rooted(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -327,9 +395,14 @@ def _rooted(docs: DataFrame, width: int, percent: int) -> DataFrame:
     ]
     first_pairs = chained[0].union(chained[1]).where("y IS NOT NULL").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     may = materialize(bounded(first_pairs, reps, percent), "pairs")
-    links = materialize(verified(may, _arrays(docs, reps, may, width), percent), "links")
-    rest = materialize(_tile_pairs(_open_tiles(shared, materialize(components(links, "roots"), "roots"), reps), percent).distinct(), "pairs")
-    more = materialize(verified(rest, _arrays(docs, reps, rest, width), percent), "links")
+    arrays = _arrays(docs, reps, may.select(F.col("a").alias("set_id")).union(may.select("b")), width)
+    links = materialize(verified(may, arrays, percent), "links")
+    release(may, arrays)
+    rest = materialize(_open_sets(_open_tiles(shared, materialize(components(links, "roots"), "roots"), reps), percent), "open")
+    release(shared)
+    arrays = _arrays(docs, reps, rest.select("set_id"), width)
+    more = materialize(_tile_links(rest.join(arrays, "set_id"), percent), "links")
+    release(rest, arrays)
     roots = components(links.union(more), "roots")
     return sets.join(roots, sets.set_id == roots.node, "left").select("doc_id", F.col("n").alias("n_shingles"), "set_id", F.coalesce("root", "set_id").alias("root"), "h", "check")
 
@@ -342,7 +415,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with one row of each component: that of the least doc_id (rows without doc_id come last), of
+    """The rows of ``docs``, with all their columns whatever their names, with one row of each component: that of the least doc_id (rows without doc_id come last), of
     several of that doc_id the one of the least hashes. Each row is decided by its doc_id and text together. Rows without
     words stay; of those repeated with a doc_id one stays."""
     name = ["doc_id", "h", "check"]
@@ -351,15 +424,15 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     least = found.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("least"))
     gone = materialize(found.join(least, "root").where(order != F.col("least")).select(*name), "gone")
     again = materialize(found.where("c > 1 AND (root IS NOT NULL OR doc_id IS NOT NULL)").join(_named(gone), _same(), "left_anti").select(*name), "again")
-    left = docs.select("*", *text_key("text"))
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", *text_key("text"))
     if not gone.isEmpty():
         left = left.join(_named(gone), _same(), "left_anti")
     if not again.isEmpty():
         twice = left.join(_named(again), _same(), "left_semi")
-        row = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
-        twice = twice.groupBy(*name).agg(F.min_by(F.struct(*docs.columns), row).alias("row")).select("row.*", "h", "check")
+        row = F.xxhash64(*[F.col(f"whole.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+        twice = twice.groupBy(*name).agg(F.min_by("whole", row).alias("whole")).select("whole", *name)
         left = left.join(_named(again), _same(), "left_anti").unionByName(twice)
-    return left.select(*docs.columns)
+    return left.select("whole.*")
 
 
 def _named(rows: DataFrame) -> DataFrame:

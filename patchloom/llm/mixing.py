@@ -120,11 +120,12 @@ def planned(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    plan = copies(materialize(sized.select("doc_id", "source", F.col("_size").alias("size")), "sizes")).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("m").alias("m"), "copies").select("_id", "_source", "_words", F.struct("m", "copies").alias("_plan"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
-    rows = sized.join(plan, same).withColumn("_row", F.row_number().over(Window.partitionBy("_id", "_source", "_words").orderBy("text")))
-    total = F.floor(F.col("_plan.copies") / F.col("_plan.m")) + F.when(F.col("_row") <= F.col("_plan.copies") % F.col("_plan.m"), 1).otherwise(0)
-    return rows.withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), total))).where("_row > 0").select(*docs.columns)
+    """The rows of ``docs`` with all their columns, whatever their names, each as often as the mix takes it."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    sized = docs.select(whole, F.col("doc_id").alias("id"), F.col("source").alias("from"), word_count(F.col("text")).alias("words"))
+    plan = copies(materialize(sized.select(F.col("id").alias("doc_id"), F.col("from").alias("source"), F.col("words").alias("size")), "sizes")).where("copies > 0")
+    plan = plan.select("doc_id", "source", "size", "m", "copies")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("from").eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    rows = sized.join(plan, same).withColumn("number", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("whole.text")))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), share(F.col("number")))))
+    return rows.where("copy > 0").select("whole.*")

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from patchloom.session import materialize, scratch_dir
+from patchloom.session import materialize, release, scratch_dir
 
-__all__ = ["arrow_pass", "materialize", "partitions", "read", "scratch_dir"]
+__all__ = ["arrow_pass", "materialize", "partitions", "read", "release", "scratch_dir"]
 
 
 def read(spark, sf_dir: str, table: str) -> DataFrame:

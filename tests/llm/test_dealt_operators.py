@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from patchloom.llm import anchors, fill_middle, manifest
+from patchloom.llm import anchors, fill_middle, jaccard, manifest, mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, tree string, lo long, pid string, `Form` string"
 SPACES = " \t\n\v\f\r"
@@ -176,3 +176,34 @@ def test_fill_in_middle_of_lines(docs, rows):
             assert r.n == len(text.split("\n")) - text.endswith("\n")
     with pytest.raises(ValueError, match="units"):
         fill_middle.transformed(docs, kind="bytes")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = "doc_id long, text string, source string, h string, `check` string, _size string, _id string, whole string, size string, m string, copies string, words string, number string"
+    given = [(i, f"{i % 7} " * 30 + "x y z", f"s{i % 2}", *[f"{c}{i}" for c in "abcdefghij"]) for i in range(40)]
+    given += [given[0], given[0]]
+    docs = spark.createDataFrame(given, names)
+    for stage in (jaccard.one_of_each, mixing.mixed):
+        out = stage(docs)
+        rows = set(map(tuple, out.collect()))
+        assert out.columns == docs.columns and rows and rows <= set(given)
+    assert len(jaccard.one_of_each(docs).collect()) == 7
+
+
+def test_forest_of_spanning_links():
+    rng = random.Random(3)
+    for _ in range(50):
+        n = rng.randrange(2, 30)
+        edges = {(i, j) for i in range(n) for j in range(i) if rng.random() < 0.15}
+        pairs = [(i, j) for i in range(n) for j in range(i)]
+        root = [rng.randrange(n) for _ in range(n)]
+        found = jaccard.spanning(pairs, root, lambda i, j: (i, j) in edges)
+
+        def classes(links, root=root, n=n):
+            name = list(range(n)) + [n + r for r in root]
+            for a, b in [*links, *((i, n + i) for i in range(n)), *((n + i, n + j) for i in range(n) for j in range(n) if root[i] == root[j])]:
+                old, new = name[a], name[b]
+                name = [new if x == old else x for x in name]
+            return {frozenset(i for i in range(n) if name[i] == x) for x in name}
+
+        assert set(found) <= edges and len(found) < n and classes(found) == classes(edges)
