@@ -19,18 +19,24 @@ least doc_id of its component, or null. Repeated rows are links of equal sets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.llm.anchors import _parted, dense, undense
 from patchloom.llm.components import components
+from patchloom.llm.suffixes import packed, unpacked
 from patchloom.llm.tables import arrow_pass, materialize, partitions, release
 from patchloom.llm.textbytes import BASE, MIX_2, Words, byte_view, hash_runs, mix, slices, sums
 
 #: Least bits of a signature (it has two to four for each element); sets of a block when tiles are compared.
 BITS = 512
 BLOCK = 2048
+#: Bytes of text whose keys travel together, and of text per part of the keys.
+UNIT_BYTES, PART_BYTES = 8 << 20, 64 << 20
 #: A set's first tiles by which its pairs are told to have met before.
 FIRST_TILES = 8
 #: Bits of the filter that names the texts whose arrays are wanted: of fixed size, so that it may be sent to all.
@@ -153,43 +159,87 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return arrow_pass(docs.select("_k", "doc_id", "_text", *text_key("_text")), f"k string, doc_id {kind}, n long, set_id long, r long, bits binary, h long, check long", work)
 
 
+def _key_bits(docs: DataFrame) -> int:
+    """Bits of a tile's name: so many that about one tile in ten thousand gets a stranger, at any size of the table."""
+    n_bytes = docs.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0
+    return min(62, 14 + max(16, int(n_bytes).bit_length()))
+
+
+def packed_keys(key: np.ndarray, owner: np.ndarray, ids: np.ndarray, sizes: np.ndarray, bits: int, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, blob) of a unit's keys: sorted keys, whose they are, and the sets in question with their sizes; equal sets count once."""
+    _, first, same = np.unique(ids, return_index=True, return_inverse=True)
+    mine = (first[same] == np.arange(len(ids)))[owner]
+    key, owner = key[mine] >> np.uint64(64 - bits), owner[mine]
+    order = np.argsort(key)
+    key, owner = key[order], owner[order]
+    for part, where in _parted(key, bits, parts):
+        sets, place = np.unique(owner[where], return_inverse=True)
+        yield part, packed(dense(key[where]), place.astype(np.uint16 if len(sets) < 65536 else np.uint32), ids[sets], sizes[sets].astype(np.int64))
+
+
+def tiles_of(blobs: list[bytes]) -> dict:
+    """The (key, set_id, n) of the keys that several sets have, from the blobs of one part."""
+    loaded = [unpacked(x) for x in blobs]
+    key = np.concatenate([undense(x[0]) for x in loaded])
+    ids, n = (np.concatenate([x[i][x[1]] for x in loaded]) for i in (2, 3))
+    order = np.argsort(key)
+    key, ids, n = key[order], ids[order], n[order]
+    some = np.zeros(len(key), bool)
+    some[1:] = key[1:] == key[:-1]
+    some[:-1] |= some[1:].copy()
+    key, ids, n = key[some], ids[some], n[some]
+    order = np.lexsort((ids, key))
+    key, ids, n = key[order], ids[order], n[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+    key, ids, n = key[new], ids[new], n[new]
+    same = key[1:] == key[:-1]
+    many = np.zeros(len(key), bool)
+    many[1:] |= same
+    many[:-1] |= same
+    return {"key": key[many].view(np.int64), "set_id": ids[many], "n": n[many]}
+
+
 def _shared(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, set_id, n) of the tiles with at least two sets; tiles stream past, sorted by size."""
+    """(key, set_id, n) of the tiles with at least two sets. Keys travel packed, by ranges of keys, and those of one set stay there."""
     low, differ, n_parts = bands(percent)
+    bits = _key_bits(docs)
+    parts = max(partitions(docs.sparkSession), -(-(1 << max(0, bits - 14)) // PART_BYTES))
 
     def emit(batches):
+        held, n_held, n_bytes = [], 0, 0
+
+        def out():
+            owner, key, ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            found = list(packed_keys(key, owner, ids, sizes, bits, parts))
+            return {"part": [x[0] for x in found], "blob": [x[1] for x in found]}
+
         for batch in batches:
             for part in slices(batch, "_text"):
                 h, first = shingle_sets(part.column(0), width)
                 owner, key = part_keys(h, first, low, differ, n_parts)
-                ids, sizes = set_ids(h, first), np.diff(first)
-                yield {"key": key.view(np.int64), "set_id": ids[owner], "n": sizes[owner]}
+                held.append((owner + n_held, key, set_ids(h, first), np.diff(first)))
+                n_held, n_bytes = n_held + part.num_rows, n_bytes + part.nbytes
+                if n_bytes >= UNIT_BYTES:
+                    yield out()
+                    held, n_held, n_bytes = [], 0, 0
+        if held:
+            yield out()
 
     def pick(batches):
-        held = None  # the last row, and whether its tile has another
+        now, blobs = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, ids, n = (c.to_numpy() for c in batch.columns)
-            if held is not None:
-                key, ids, n = np.concatenate([held[0], key]), np.concatenate([held[1], ids]), np.concatenate([held[2], n])
-            before = held is not None and held[3]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-            key, ids, n = key[new], ids[new], n[new]
-            same = key[1:] == key[:-1]
-            many = np.zeros(len(key), bool)
-            many[1:] |= same
-            many[:-1] |= same
-            many[0] |= before
-            yield {"key": key[:-1][many[:-1]], "set_id": ids[:-1][many[:-1]], "n": n[:-1][many[:-1]]}
-            held = key[-1:], ids[-1:], n[-1:], bool(many[-1])
-        if held is not None and held[3]:
-            yield {"key": held[0], "set_id": held[1], "n": held[2]}
-
-    schema = "key long, set_id long, n long"
-    rows = arrow_pass(docs.select("_text"), schema, emit)
-    return arrow_pass(rows.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "n", "set_id"), schema, pick)
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now and blobs:
+                    yield tiles_of(blobs)
+                    blobs = []
+                now = part
+                blobs.append(blob)
+        if blobs:
+            yield tiles_of(blobs)
+
+    sent = arrow_pass(docs.select("_text"), "part int, blob binary", emit)
+    return arrow_pass(sent.repartition(parts, "part").sortWithinPartitions("part"), "key long, set_id long, n long", pick)
 
 
 def _filter_words(rows: DataFrame) -> np.ndarray:
@@ -202,22 +252,36 @@ def _filter_words(rows: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _filtered(rows: DataFrame):
+    """A test of 64-bit names against the filter over ``r``: false for none of the rows."""
+    known = rows.sparkSession.sparkContext.broadcast(_filter_words(rows))
+
+    def test(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for names in batches:
+            yield pa.array(_holds(known.value, names.to_numpy().view(np.uint64)))
+
+    return F.arrow_udf(test, "boolean")
+
+
+def _holds(words: np.ndarray, r: np.ndarray) -> np.ndarray:
+    low = np.uint64(FILTER_BITS - 1)
+    bits = [(words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) for bit in (r & low, r >> np.uint64(32) & low)]
+    return (bits[0] & bits[1]).astype(bool)
+
+
 def _arrays(docs: DataFrame, reps: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """(set_id, elements) of the named sets, each from its representative's text. The filter picks those texts where
     they are read, so that no other text is moved; what it lets through besides finds no partner."""
     wanted = sets.distinct().join(reps, "set_id")
     known = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted))
-    low = np.uint64(FILTER_BITS - 1)
 
     def work(batches):
-        words = known.value
-        holds = lambda bit: (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
         for batch in batches:
             for part in slices(batch, "_text"):
                 h, first = shingle_sets(part.column(1), width)
                 ids = set_ids(h, first)
                 r = _row_hashes(part.column(0), ids).view(np.uint64)
-                keep = np.flatnonzero((holds(r & low) & holds(r >> np.uint64(32) & low)).astype(bool) & (np.diff(first) > 0))
+                keep = np.flatnonzero(_holds(known.value, r) & (np.diff(first) > 0))
                 yield {"set_id": ids[keep], "elements": [h[first[i] : first[i + 1]].view(np.int64) for i in keep]}
 
     return materialize(arrow_pass(docs.select("_k", "_text"), "set_id long, elements array<long>", work).dropDuplicates(["set_id"]), "arrays")
@@ -425,13 +489,19 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     gone = materialize(found.join(least, "root").where(order != F.col("least")).select(*name), "gone")
     again = materialize(found.where("c > 1 AND (root IS NOT NULL OR doc_id IS NOT NULL)").join(_named(gone), _same(), "left_anti").select(*name), "again")
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", *text_key("text"))
-    if not gone.isEmpty():
-        left = left.join(_named(gone), _same(), "left_anti")
+    changed = gone.union(again)
+    if changed.isEmpty():
+        return docs
+    name_of = F.xxhash64(*name)
+    maybe = _filtered(changed.select(name_of.alias("r")))(name_of)
+    sure, left = left.where(~maybe), left.where(maybe)  # texts that no decision names stay where they are
+    left = left.join(_named(gone), _same(), "left_anti")
     if not again.isEmpty():
         twice = left.join(_named(again), _same(), "left_semi")
         row = F.xxhash64(*[F.col(f"whole.`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
         twice = twice.groupBy(*name).agg(F.min_by("whole", row).alias("whole")).select("whole", *name)
         left = left.join(_named(again), _same(), "left_anti").unionByName(twice)
+    left = sure.select("whole").unionByName(left.select("whole"))
     return left.select("whole.*")
 
 
