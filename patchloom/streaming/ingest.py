@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from patchloom.sources.sinks import DETAIL_KEY, upsert_append
+from patchloom.sources.snapshots import SnapshotTable
 
 
 def ingest_available(
@@ -21,11 +22,18 @@ def ingest_available(
     checkpoint: str,
     transform: Callable[[DataFrame], DataFrame],
     keys: Sequence[str] = DETAIL_KEY,
+    atomic: bool = False,
 ) -> None:
-    """Drain a streaming file source into the table at ``output`` and stop."""
+    """Drain a streaming file source into the table at ``output`` and stop.
 
-    def save(batch: DataFrame, _batch_id: int) -> None:
-        upsert_append(batch.sparkSession, transform(batch), output, keys)
+    With ``atomic`` the output is a ``SnapshotTable``: a batch becomes visible whole, and one repeated after a failure is
+    known by its number (and the checkpoint's path) without a look at its keys."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        if atomic:
+            SnapshotTable(batch.sparkSession, output, keys).append(transform(batch), checkpoint, batch_id)
+        else:
+            upsert_append(batch.sparkSession, transform(batch), output, keys)
 
     query = (
         source.writeStream.foreachBatch(save)

@@ -17,6 +17,7 @@ from patchloom.sources.sinks import (
     upsert_counted,
     write_table,
 )
+from patchloom.sources.snapshots import SnapshotTable
 from patchloom.streaming.ingest import ingest_available, payload_stream
 from patchloom.workload.registry import query
 from patchloom.workload.views import Views
@@ -167,6 +168,17 @@ def k3(v: Views) -> DataFrame:
     return read_keyed(v.spark, path)
 
 
+@query("k3_atomic_commits", UPSERTED, D)
+def k3_atomic(v: Views) -> DataFrame:
+    """As k3, with appends that become visible whole; a batch repeated by name adds nothing."""
+    table = SnapshotTable(v.spark, f"{scratch_dir(v.spark, 'k3-atomic')}/details")
+    rows = _file_rows(v)
+    table.append(rows.where(F.col("status") == "modified"), "load", 0)
+    for batch in (1, 1, 2):
+        table.append(rows, "load", batch)
+    return table.rows()
+
+
 @query(
     "k4_remaining_work",
     "SELECT id AS pr_id FROM pr_all WHERE id NOT IN (SELECT pr_id FROM details_all WHERE status = 'added')",
@@ -200,6 +212,23 @@ def k5(v: Views) -> DataFrame:
     return kept.select("pr_id", "sha", "file", "status", F.lit(True).alias("seen"))
 
 
+@query(
+    "k5_atomic_ingest",
+    """SELECT pr_id, sha, filename AS file, min(status) AS status FROM details_all WHERE patch IS NOT NULL GROUP BY pr_id, sha, filename""",
+    D,
+)
+def k5_atomic(v: Views) -> DataFrame:
+    """Payload files landed in two lots, each batch one version of the table."""
+    base = scratch_dir(v.spark, "k5-atomic")
+    landed, checkpoint = f"{base}/landed", f"{base}/checkpoint"
+    lots = commit_payloads(v)
+    for lot in (lots.where(F.col("pr_id") % 2 == 0), lots.where(F.col("pr_id") % 2 == 1)):
+        lot.write.mode("append").json(landed)
+        source = payload_stream(v.spark, landed, "pr_id LONG, sha STRING, payload STRING")
+        ingest_available(v.spark, source, f"{base}/details", checkpoint, payloads.commit_files, atomic=True)
+    return SnapshotTable(v.spark, f"{base}/details").rows().select("pr_id", "sha", "file", "status")
+
+
 @query(
     "k6_upsert_counters",
     """SELECT count(*) AS incoming, count(DISTINCT (pr_id, sha, filename)) - (SELECT count(DISTINCT (pr_id, sha, filename)) FROM details_all WHERE status = 'modified') AS added
