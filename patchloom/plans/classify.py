@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from patchloom.operators.cumulative import running_before
 from patchloom.operators.ranktests import rank_sums
 from patchloom.operators.sampling import hash_order, stratified_split
+from patchloom.session import scratch_dir
 
 # The second boosted model differs in depth and number of trees.
 MODELS = {
@@ -41,6 +42,10 @@ def fit_model(matrix: DataFrame, features: Sequence[str], name: str, seed: int =
         model = MODELS[name](seed).fit(train)
     finally:
         train.unpersist()
+    # A fitted model may hold its training summary, and with it the session; a loaded one does not.
+    path = scratch_dir(matrix.sparkSession, f"model-{name}")
+    model.write().save(path)
+    model = type(model).load(path)
     return model, ready.where(F.col("is_test") == 1)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.session import materialize
@@ -113,7 +113,7 @@ def touched_rows(existing: DataFrame, batch: DataFrame, buckets: int) -> DataFra
 def upsert_append(
     spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str] = DETAIL_KEY, buckets: int = BUCKETS
 ) -> int:
-    """Append only rows with unseen keys and return their number, counted in the write itself.
+    """Append only rows with unseen keys and return their number, counted before the write.
 
     Since existing rows win, nothing already written is rewritten, and a second run with the
     same rows adds none. The table is divided into ``buckets`` folders by a hash of the first
@@ -123,10 +123,10 @@ def upsert_append(
     unique = materialize(_bucketed(first_per_key(incoming, keys, []), keys[0], buckets), "upsert")
     existing = existing_table(spark, path)
     fresh = unique if existing is None else new_rows_of(unique, touched_rows(existing, unique, buckets), keys)
-    seen = Observation()
-    spread = fresh.hint("rebalance", f"bucket_{buckets}").observe(seen, F.count(F.lit(1)).alias("added"))
-    spread.write.mode("append").partitionBy(f"bucket_{buckets}").parquet(path)
-    return seen.get["added"]
+    # No Observation here: a session that has used one cannot score models afterwards.
+    fresh = materialize(fresh, "fresh")
+    fresh.hint("rebalance", f"bucket_{buckets}").write.mode("append").partitionBy(f"bucket_{buckets}").parquet(path)
+    return fresh.count()
 
 
 def upsert_counted(
