@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from patchloom.session import materialize
+
 BUCKETS = 256  # of the distinct values of a key
 RESOLUTION = 1024.0  # buckets per unit near 1; below 1.5 million buckets over all doubles
 QUARTILES = (0.25, 0.5, 0.75)
@@ -45,13 +47,14 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def running_before(counts: DataFrame, keys: Sequence[str], weights: Sequence[str], value: str = "value") -> DataFrame:
     """Adds ``before_<w>`` (sum of w over smaller values of the key) and ``total_<w>``.
 
-    ``counts`` holds one row per (keys, value).
+    ``counts`` holds one row per (keys, value). It is written to the scratch folder first: cut points, totals, the
+    windows and the join all read it, and what lies above it runs once.
     """
-    keys, rows = list(keys), counts
+    keys, rows = list(keys), materialize(counts, "counts")
     if not keys:
         rows, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
     below = F.filter("_cuts", lambda cut: cut < F.col(value))
-    rows = rows.join(cut_points(rows, keys, value), on=keys, how="inner").withColumn("_bucket", F.size(below)).drop("_cuts")
+    rows = materialize(rows.join(cut_points(rows, keys, value), on=keys, how="inner").withColumn("_bucket", F.size(below)).drop("_cuts"), "bucketed")
     totals = rows.groupBy(*keys, "_bucket").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

@@ -1,7 +1,8 @@
 """Significance tests computed as distributed aggregations.
 
 All rank tests read one table: per metric and distinct value the number of rows of each
-group, with the number of rows before it. Rank tests give the asymptotic p-value only.
+group, with the number of rows before it. Mann-Whitney of a small group without ties has the
+exact p-value, all other rank tests the asymptotic one.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import math
 import sys
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +32,38 @@ def two_sided_p(z: Column) -> Column:
     return F.pandas_udf(_normal_tails, "double")(z)
 
 
+#: Size of the smaller group up to which U without ties is judged by its exact distribution.
+EXACT_SIZE = 8
+
+
+def u_counts(k: int, m: int) -> np.ndarray:
+    """How many orders of groups of k and m values without ties give each U from 0 to k * m.
+
+    The counts are the coefficients of the product of (1 - q^(m+i)) / (1 - q^i) for i up to k: a shifted
+    difference and a running sum with step i. Whole numbers of any length.
+    """
+    counts = np.zeros(k * m + 1, dtype=np.int64 if math.comb(m + k, k) < 1 << 60 else object)
+    counts[0] = 1
+    for i in range(1, k + 1):
+        if m + i < len(counts):
+            counts[m + i :] = counts[m + i :] - counts[: len(counts) - m - i]
+        for start in range(i):
+            counts[start::i] = np.cumsum(counts[start::i])
+    return counts
+
+
+def _exact_tails(n_first: pd.Series, n_second: pd.Series, larger: pd.Series) -> pd.Series:
+    out = []
+    for a, b, u in zip(n_first, n_second, larger, strict=True):
+        k, m = int(min(a, b)), int(max(a, b))
+        if k < 1 or k > EXACT_SIZE or pd.isna(u):
+            out.append(None)
+            continue
+        upper = u_counts(k, m)[int(u) :].sum()
+        out.append(min(1.0, 2 * int(upper) / math.comb(m + k, k)))
+    return pd.Series(out, dtype="float64")
+
+
 def rank_table(df: DataFrame, keys: Sequence[str], group: str, labels: Sequence, value: str) -> DataFrame:
     """Per (keys, value): ``n_0 … n_k`` by group label, their sum ``n``, and the mid-rank."""
     member = [F.count(F.when(F.col(group) == F.lit(x), 1)).alias(f"n_{i}") for i, x in enumerate(labels)]
@@ -58,7 +92,9 @@ def _tie_share(size: Column, ties: Column) -> Column:
 def mann_whitney(
     df: DataFrame, group: str, value: str, first, second, keys: Sequence[str] = (), alpha: float = 0.05
 ) -> DataFrame:
-    """Two-sided Mann–Whitney U of ``first`` against ``second`` with tie and continuity correction."""
+    """Two-sided Mann–Whitney U of ``first`` against ``second``.
+
+    p is exact if no values tie and a group has at most ``EXACT_SIZE``, else that of z, with tie and continuity correction."""
     for name in (group, value):
         if name not in df.columns:
             raise ValueError(f"column not found: {name}")
@@ -69,10 +105,19 @@ def mann_whitney(
     larger = F.greatest(u1, n1 * n2 - u1)
     z = F.try_divide(larger - n1 * n2 / 2 - F.lit(0.5), F.sqrt(variance))
     stats = sums.select(
-        *keys, F.col("size_0").alias("n_first"), F.col("size_1").alias("n_second"), u1.alias("u_stat"), z.alias("z_stat")
+        *keys,
+        F.col("size_0").alias("n_first"),
+        F.col("size_1").alias("n_second"),
+        u1.alias("u_stat"),
+        z.alias("z_stat"),
+        larger.alias("_larger"),
+        (F.col("ties") == 0).alias("_free"),
     )
     p = F.least(two_sided_p(F.greatest(F.col("z_stat"), F.lit(0.0))), F.lit(1.0))
-    return stats.withColumn("p_value", p).withColumn("significant", F.col("p_value") < F.lit(alpha))
+    exact = F.pandas_udf(_exact_tails, "double")("n_first", "n_second", "_larger")
+    both = stats.withColumn("_exact", exact).withColumn("_asymptotic", p)
+    judged = both.withColumn("p_value", F.when(F.col("_free") & F.col("_exact").isNotNull(), F.col("_exact")).otherwise(F.col("_asymptotic")))
+    return judged.drop("_larger", "_free", "_exact", "_asymptotic").withColumn("significant", F.col("p_value") < F.lit(alpha))
 
 
 def kruskal(df: DataFrame, group: str, value: str, labels: Sequence, keys: Sequence[str] = ()) -> DataFrame:

@@ -56,6 +56,30 @@ def t1(v: Views) -> DataFrame:
     return tidy(tested.drop("p_value", "significant"))
 
 
+@query(
+    "t1_small_samples",
+    """WITH RECURSIVE bal AS (SELECT s_nationkey AS nation, 'S' AS g, s_acctbal AS v FROM supplier UNION ALL SELECT c_nationkey, 'C', c_acctbal FROM customer),
+      rk AS (SELECT *, rank() OVER (PARTITION BY nation ORDER BY v) AS r, count(*) OVER (PARTITION BY nation, v) AS t FROM bal),
+      u AS (SELECT nation, count(*) FILTER (g = 'S') AS a, count(*) FILTER (g = 'C') AS b, sum(r) FILTER (g = 'S') - count(*) FILTER (g = 'S') * (count(*) FILTER (g = 'S') + 1) // 2 AS u1
+        FROM rk GROUP BY nation HAVING max(t) = 1 AND least(count(*) FILTER (g = 'S'), count(*) FILTER (g = 'C')) BETWEEN 1 AND 8),
+      sizes AS (SELECT DISTINCT least(a, b) AS k, a + b AS n FROM u),
+      ways(k, n, i, taken, s, c) AS (SELECT k, n, 0, 0, CAST(0 AS BIGINT), CAST(1 AS HUGEINT) FROM sizes UNION ALL
+        SELECT k, n, i + 1, taken + x, s + x * (i + 1), CAST(sum(c) AS HUGEINT) FROM ways, (VALUES (0), (1)) AS pick(x) WHERE i < n AND taken + x <= k GROUP BY ALL),
+      dist AS (SELECT k, n, s - k * (k + 1) // 2 AS u, c FROM ways WHERE i = n AND taken = k)
+    SELECT nation, a AS n_first, b AS n_second, CAST(u1 AS DOUBLE) AS u_stat,
+      round(least(1.0, CAST(2 * sum(c) FILTER (u >= greatest(u1, a * b - u1)) AS DOUBLE) / CAST(sum(c) AS DOUBLE)), 6) AS p_value,
+      least(1.0, CAST(2 * sum(c) FILTER (u >= greatest(u1, a * b - u1)) AS DOUBLE) / CAST(sum(c) AS DOUBLE)) < 0.05 AS significant
+    FROM u JOIN dist ON dist.k = least(a, b) AND dist.n = a + b GROUP BY nation, a, b, u1""",
+)
+def t1_small(v: Views) -> DataFrame:
+    """Account balances of suppliers against customers by nation, where one side is so small and without ties that p is exact."""
+    both = v.table("supplier").select(F.col("s_nationkey").alias("nation"), F.lit("S").alias("g"), F.col("s_acctbal").alias("v"))
+    both = both.unionByName(v.table("customer").select(F.col("c_nationkey").alias("nation"), F.lit("C").alias("g"), F.col("c_acctbal").alias("v")))
+    tied = both.groupBy("nation", "v").count().groupBy("nation").agg(F.max("count").alias("most"))
+    tested = ranktests.mann_whitney(both, "g", "v", "S", "C", ["nation"]).join(tied, "nation")
+    return tidy(tested.where((F.col("most") == 1) & F.least("n_first", "n_second").between(1, ranktests.EXACT_SIZE)).drop("z_stat", "most"))
+
+
 GROUPED = f"""{PER_PR}, g AS (SELECT CASE agent WHEN 'Human' THEN 'HPR' WHEN '5-LOW' THEN 'APR' ELSE 'Benchmark' END AS grp, sum_changes AS value
     FROM per_pr JOIN (SELECT DISTINCT pr_id, agent FROM change_rows) USING (pr_id) WHERE agent IN ('Human', '5-LOW', '4-NOT SPECIFIED')),
   rk AS (SELECT grp, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS mr, count(*) OVER (PARTITION BY value) AS t FROM g),

@@ -286,3 +286,25 @@ def test_measures_of_a_pull_request_with_repeated_and_missing_names(spark):
     df = frame(spark, rows, "pr_id LONG, filename STRING, sha STRING, changes LONG, additions LONG, deletions LONG")
     got = per_pr(df, ["pr_id"]).collect()
     assert [tuple(r) for r in got] == [(1, 15, 11, 0, 2, 2, 1, 2)]
+
+
+def test_exact_distribution_of_u():
+    from itertools import combinations
+
+    from patchloom.operators.ranktests import u_counts
+
+    for k in range(1, 9):
+        for m in range(k, 9):
+            want = [0] * (k * m + 1)
+            for taken in combinations(range(k + m), k):
+                want[sum(taken) - k * (k - 1) // 2] += 1
+            assert u_counts(k, m).tolist() == want
+    assert int(u_counts(8, 40_000).sum()) == math.comb(40_008, 8)
+
+
+def test_small_groups_without_ties_are_judged_exactly(spark):
+    rows = [("k", "a", float(x)) for x in (1, 2, 3)] + [("k", "b", float(x)) for x in (4, 5, 6)]
+    rows += [("t", g, v) for _, g, v in rows] + [("t", "a", 6.0)]
+    got = {r.key: r for r in ranktests.mann_whitney(spark.createDataFrame(rows, "key string, g string, v double"), "g", "v", "a", "b", ["key"]).collect()}
+    assert got["k"].p_value == pytest.approx(0.1) and not got["k"].significant
+    assert got["t"].p_value != pytest.approx(2 * 1 / 35) and got["t"].p_value == pytest.approx(math.erfc(got["t"].z_stat / 2**0.5))
