@@ -168,6 +168,7 @@ def p16(v: Views) -> DataFrame:
     return v.commits().dropna()
 
 
+# The published patterns of template headings and issue links, as SQL reads them.
 HEADING = (
     r"(?im)^(?:#+\s*|\s*|:)?(Description|Summary|Motivation|Context|Testing Steps|How to Test|Validation|Checklist|To-Do|Screenshots)\b"
 )
