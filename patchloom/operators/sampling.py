@@ -1,6 +1,6 @@
 """Reproducible samples: rows are ranked by a hash of their key and a seed.
 
-A fixed-size sample is a distributed top-n. A fraction needs the row count first: counts
+A fixed-size sample is a distributed top-n over the rows that counts per hash prefix leave. A fraction needs the row count first: counts
 per hash prefix (65,536 at most per stratum) locate the cut, and only rows of the prefixes
 that reach it are ranked.
 """
@@ -20,10 +20,21 @@ def hash_order(key: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
+def lowest_hashes(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """The rows, with their hash ``_h``, of the hash prefixes that hold the ``n`` least hashes: little more than n rows of
+    all tasks together, where a top-n alone takes n rows of every task. Counts per prefix (65,536 at most) tell the last one."""
+    hashed = df.withColumn("_h", hash_order(key, seed))
+    prefix, before = F.substring("_h", 1, PREFIX), 0
+    for r in sorted(hashed.groupBy(prefix.alias("p")).count().collect()):
+        before += r[1]
+        if before >= n:
+            return hashed.where(prefix <= r.p)
+    return hashed
+
+
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """``n`` rows (all when fewer), chosen by key hash. ``key`` identifies a row."""
-    ranked = df.withColumn("_h", hash_order(key, seed))
-    return ranked.orderBy("_h", *key).limit(n).drop("_h")
+    return lowest_hashes(df, n, key, seed).orderBy("_h", *key).limit(n).drop("_h")
 
 
 def sample_n_per_group(df: DataFrame, group: str, sizes: dict, key: Sequence[str], seed: int = 42) -> DataFrame:

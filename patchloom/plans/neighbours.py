@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.operators.sampling import hash_order
+from patchloom.operators.sampling import lowest_hashes
 
 # Workers get the functions themselves; the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -58,7 +58,7 @@ def knn_vote(
     rows by Euclidean distance; equal distances go by key. At most ``max_reference`` labelled rows
     take part. A null feature is at distance null, behind all others."""
     vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])
-    sample = train.orderBy(hash_order([key], 42)).limit(max_reference)
+    sample = lowest_hashes(train, max_reference, [key], 42).orderBy("_h").limit(max_reference)
     rows = sample.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y"), vec.alias("vec")).collect()
     if not rows:
         raise ValueError("no labelled rows to vote")

@@ -308,3 +308,14 @@ def test_small_groups_without_ties_are_judged_exactly(spark):
     got = {r.key: r for r in ranktests.mann_whitney(spark.createDataFrame(rows, "key string, g string, v double"), "g", "v", "a", "b", ["key"]).collect()}
     assert got["k"].p_value == pytest.approx(0.1) and not got["k"].significant
     assert got["t"].p_value != pytest.approx(2 * 1 / 35) and got["t"].p_value == pytest.approx(math.erfc(got["t"].z_stat / 2**0.5))
+
+
+def test_top_of_the_hashes_leaves_few_rows_to_rank(spark):
+    rows = spark.range(20_000).withColumn("g", F.col("id") % 3)
+    cut = sampling.lowest_hashes(rows, 500, ["id"])
+    assert 500 <= cut.count() < 520
+    ranked = rows.withColumn("h", sampling.hash_order(["id"], 42)).orderBy("h").limit(500)
+    assert {r.id for r in sampling.sample_n(rows, 500, ["id"]).collect()} == {r.id for r in ranked.collect()}
+    same = rows.withColumn("k", F.lit("x"))
+    assert sampling.sample_n(same, 7, ["k"]).count() == 7
+    assert sampling.lowest_hashes(rows, 30_000, ["id"]).count() == 20_000
