@@ -182,10 +182,17 @@ SYMBOL_FIELDS = ("added_functions", "removed_functions", "added_classes", "remov
 
 def symbol_changes(patch: Column, filename: Column) -> Column:
     """STRUCT<language, four name sets>: names defined only in the new or only in the old version
-    of the patched code. Both versions and their names are bound to one-element arrays, so each
+    of the patched code, outside texts and comments. Both versions and their names are bound to one-element arrays, so each
     is computed once per row."""
     language = language_of(filename, SYMBOL_LANGUAGES)
-    versions = F.array(F.struct(language.alias("lang"), old_code(patch).alias("old"), new_code(patch).alias("new")))
+
+    def stripped(code: Column) -> Column:
+        chain = F.when(language == "python", code_only(code, "python")).when(language == "go", code_only(code, "go"))
+        return chain.otherwise(code_only(code, "javascript"))
+
+    versions = F.array(
+        F.struct(language.alias("lang"), stripped(old_code(patch)).alias("old"), stripped(new_code(patch)).alias("new"))
+    )
 
     def scan(v: Column) -> Column:
         return F.struct(
@@ -223,21 +230,47 @@ SCAN_FUNCTION = {
     "cpp": r"^(?!return\b|else\b|if\b|for\b|while\b|switch\b|new\b|using\b)[A-Za-z_][\w:<>,*& \t]*[ \t*&](\w+)\([^;]*$",
     "rust": r"^(?:pub(?:\([^)]*\))?[ \t]+)?(?:async[ \t]+)?(?:unsafe[ \t]+)?fn[ \t]+(\w+)",
 }
-# What may hold braces that are no blocks, within a line: quoted text, and comments. Where a single quote
-# also marks lifetimes or digit groups, only one character stands between two.
-NOTES = r"//.*|/\*.*?\*/"
-TEXTS_AND_NOTES = r'"(?:\\.|[^"\\])*"|' + r"'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|" + NOTES
-CHARS_AND_NOTES = r'"(?:\\.|[^"\\])*"|' + r"'(?:\\.|[^'\\])'|" + NOTES
 SCAN_ARROW = r"^(?:export[ \t]+)?(?:const|let|var)[ \t]+(\w+)[^=]*=[^=>][^;]*=>"
 
 
+# What is no code, by language: texts and comments, also over several lines. The alternatives are tried at each place from
+# left to right, so that a mark inside another one opens nothing; the loops are possessive and do not go back.
+QUOTED = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
+APOSTROPHES = QUOTED.replace('"', "'")
+OVER_LINES = QUOTED.replace(r"\n", "")
+TRIPLE = r'"""[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"""'
+BACKQUOTES = OVER_LINES.replace('"', "`")
+CHARACTER = r"'(?:\\[^\n']{1,9}|\\'|[^'\\\n])'"
+SLASHES = r"//[^\n]*+|/\*[\s\S]*?\*/"
+EXPRESSION = r"(?<=[=(,:!&|?\[][ \t]{0,4})/(?![/*])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*+\]|[^/\\\n\[])++/"
+_SCRIPT = "|".join((EXPRESSION, SLASHES, QUOTED, APOSTROPHES, BACKQUOTES))
+NO_CODE = {
+    "python": "|".join((TRIPLE, TRIPLE.replace('"', "'"), QUOTED, APOSTROPHES, r"#[^\n]*+")),
+    "javascript": _SCRIPT,
+    "typescript": _SCRIPT,
+    "go": "|".join((SLASHES, QUOTED, CHARACTER, r"`[^`]*+`")),
+    "cpp": "|".join((SLASHES, r'R"([^()\\\s]{0,16})\([\s\S]*?\)\1"', QUOTED, CHARACTER)),
+    "c_sharp": "|".join((SLASHES, r'"""[\s\S]*?"""', r'(?:@\$?|\$@)"[^"]*+(?:""[^"]*+)*+"', QUOTED, CHARACTER)),
+    "rust": "|".join((SLASHES, r'\bb?r(#*+)"[\s\S]*?"\1', OVER_LINES, CHARACTER)),
+}
+
+
+def code_only(code: Column, language: str) -> Column:
+    """The code with each text and comment replaced by a blank, lines inside them included.
+
+    A mark that is never closed hides nothing: a patch may show only its part. A patch that begins inside a text reads
+    the mark that closes it as one that opens. Templates nested in a template's expression, and comments nested in
+    comments, end at the first mark that closes."""
+    return F.regexp_replace(code, NO_CODE[language], " ") if language in NO_CODE else code
+
+
 def definitions(code: Column, language: str) -> Column:
     """STRUCT<classes, functions> of one language; functions inside a class are left out.
 
-    A fold over the lines keeps the open blocks: by indentation for python, by
-    braces elsewhere.
+    Texts and comments are left out first. A fold over the lines keeps the open blocks: by indentation for python,
+    by braces elsewhere.
     """
-    lines = F.filter(F.split(code, "\n"), lambda x: x.rlike(r"\S"))
+    lines = F.filter(F.split(code_only(code, language), "\n"), lambda x: x.rlike(r"\S"))
     fold = _fold_indent if language == "python" else _fold_braces
     if language not in SCAN_CLASS and language not in SCAN_FUNCTION:
         return F.struct(_empty().alias("classes"), _empty().alias("functions"))
@@ -270,7 +303,7 @@ def _fold_indent(lines: Column, language: str) -> Column:
         still_open = F.filter(acc["open"], lambda b: (b["depth"] < depth) | (ends_header & (b["depth"] == depth)))
         in_class = F.coalesce(F.try_element_at(still_open, F.lit(-1))["is_class"], F.lit(False))
         cls, fn = _match(body, SCAN_CLASS[language]), _match(body, SCAN_FUNCTION[language])
-        opens = ((cls != "") | (fn != "") | body.rlike(r":\s*(?:#.*)?$")) & ~ends_header
+        opens = ((cls != "") | (fn != "") | body.rlike(r":\s*$")) & ~ends_header
         block = F.struct(depth.alias("depth"), (cls != "").alias("is_class"))
         return F.struct(
             _append(acc["classes"], cls).alias("classes"),
@@ -295,14 +328,13 @@ def _fold_braces(lines: Column, language: str) -> Column:
         fn = _match(body, SCAN_FUNCTION.get(language))
         if language in ("javascript", "typescript"):
             fn = F.when(fn == "", _match(body, SCAN_ARROW)).otherwise(fn)
-        code = F.regexp_replace(line, CHARS_AND_NOTES if language in ("cpp", "c_sharp", "rust") else TEXTS_AND_NOTES, "")
         owner = (cls != "") | (body.rlike(SCAN_OWNER[language]) if language in SCAN_OWNER else F.lit(False))
-        owner = owner & (code.contains("{") | ~code.rlike(r";\s*$"))  # a declaration without a body opens no block
+        owner = owner & (line.contains("{") | ~line.rlike(r";\s*$"))  # a declaration without a body opens no block
         inside = acc["class_depth"] >= 0
-        change = F.regexp_count(code, F.lit(r"\{")) - F.regexp_count(code, F.lit(r"\}"))
+        change = F.regexp_count(line, F.lit(r"\{")) - F.regexp_count(line, F.lit(r"\}"))
         depth = acc["depth"] + change
         opened = F.when(inside, acc["class_depth"]).when(owner, acc["depth"]).otherwise(F.lit(-1))
-        closed = (opened >= 0) & (depth <= opened) & code.contains("}")
+        closed = (opened >= 0) & (depth <= opened) & line.contains("}")
         return F.struct(
             _append(acc["classes"], cls).alias("classes"),
             _append(acc["functions"], F.when(inside | (cls != ""), F.lit("")).otherwise(fn)).alias("functions"),

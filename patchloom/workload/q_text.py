@@ -445,8 +445,8 @@ def _scan(col: str, kind: str) -> str:
     if kind == "functions":
         return (
             f"CASE lang WHEN 'python' THEN regexp_extract_all({col}, '(?m)^[ \\t]*def[ \\t]+(\\w+)', 1) "
-            f"WHEN 'typescript' THEN regexp_extract_all({col}, '(?m)^[ \\t]*function[ \\t]+(\\w+)', 1) "
-            f"ELSE regexp_extract_all({col}, '(?m)^func[ \\t]+(\\w+)', 1) END"
+            f"WHEN 'go' THEN regexp_extract_all({col}, '(?m)^func[ \\t]+(\\w+)', 1) "
+            f"ELSE regexp_extract_all({col}, '(?m)^[ \\t]*function[ \\t]+(\\w+)', 1) END"
         )
     return f"CASE WHEN lang = 'go' THEN [] ELSE regexp_extract_all({col}, '(?m)^[ \\t]*class[ \\t]+(\\w+)', 1) END"
 
@@ -458,14 +458,21 @@ def _minus(a: str, b: str, kind: str) -> str:
     )
 
 
+# The wider map: the view's .tsx files read as .jsx, its .md files as .mjs.
+SCRIPTS = f"""files AS (SELECT filename, patch, CASE {EXT} WHEN '.jsx' THEN 'javascript' WHEN '.mjs' THEN 'javascript' ELSE {LANG} END AS lang
+  FROM (SELECT replace(replace(filename, '.tsx', '.jsx'), '.md', '.mjs') AS filename, patch FROM details_all))"""
+
+
 @query(
     "d10_symbol_changes",
-    f"""WITH {FILES}, {CODE} SELECT filename, patch, lang AS language, {_minus('n', 'o', 'functions')} AS added_functions, {_minus('o', 'n', 'functions')} AS removed_functions,
+    f"""WITH {SCRIPTS}, {CODE} SELECT filename, patch, lang AS language, {_minus('n', 'o', 'functions')} AS added_functions, {_minus('o', 'n', 'functions')} AS removed_functions,
       {_minus('n', 'o', 'classes')} AS added_classes, {_minus('o', 'n', 'classes')} AS removed_classes FROM code""",
     D,
 )
 def d10(v: Views) -> DataFrame:
-    rows = _files(v).where(F.col("lang").isNotNull() & F.col("patch").isNotNull())
+    filename = F.replace(F.replace("filename", F.lit(".tsx"), F.lit(".jsx")), F.lit(".md"), F.lit(".mjs"))
+    rows = v.all_details().select(filename.alias("filename"), "patch").where(F.col("patch").isNotNull())
+    rows = rows.where(paths.language_of(F.col("filename"), paths.SYMBOL_LANGUAGES).isNotNull())
     found = rows.select("filename", "patch", patches.symbol_changes(F.col("patch"), F.col("filename")).alias("s"))
     changed = found.select("filename", "patch", "s.*")
     return _sorted_names(changed, patches.CHANGE_COLUMNS)
@@ -492,6 +499,41 @@ def d11(v: Views) -> DataFrame:
     )
 
 
+# A source text of each language from the detail rows: one class and one function, and names that only texts and comments
+# over several lines hold. The same expression serves Spark and SQL; chr(10) ends a line.
+SOURCE_LANGUAGES = ("python", "javascript", "typescript", "go", "cpp", "c_sharp", "rust")
+NAMES = "'f' || pr_id % 97 AS fn, 'K' || pr_id % 89 AS cls, chr(10) AS nl"
+SOURCE = """CASE lang
+  WHEN 'python' THEN 'class ' || cls || ':' || nl || '    ' || repeat(chr(34), 3) || nl || 'def hidden():' || nl || '    ' || repeat(chr(34), 3) || nl || '    def inner(self): pass' || nl || 'def ' || fn || '(): pass'
+  WHEN 'go' THEN 'var q = `' || nl || 'func hidden() {' || nl || '`' || nl || '/*' || nl || 'func hidden() {' || nl || '*/' || nl || 'func ' || fn || '() {' || nl || '}'
+  WHEN 'cpp' THEN '/*' || nl || 'class Hidden {' || nl || '*/' || nl || 'class ' || cls || ' {' || nl || '  int inner() { return 1; }' || nl || '};' || nl || 'int ' || fn || '(int a) {' || nl || '}'
+  WHEN 'c_sharp' THEN '/*' || nl || 'class Hidden {' || nl || '*/' || nl || 'public class ' || cls || ' {' || nl || '  void Inner() { }' || nl || '}'
+  WHEN 'rust' THEN '/*' || nl || 'fn hidden() {' || nl || '*/' || nl || 'pub struct ' || cls || ' {' || nl || '}' || nl || 'pub fn ' || fn || '() {' || nl || '}'
+  ELSE '/*' || nl || 'function hidden() {' || nl || '*/' || nl || 'const t = `' || nl || 'class Hidden {' || nl || '`;' || nl || 'class ' || cls || ' {' || nl || '  inner() { }' || nl || '}' || nl || 'function ' || fn || '() {' || nl || '}' END"""
+SOURCE_LANGUAGE = f"CASE pr_id % 7 {' '.join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(SOURCE_LANGUAGES))} END"
+SHOWN = r"""CASE lang WHEN 'python' THEN regexp_replace(code, '(?s)\x22{3}.*?\x22{3}', ' ', 'g')
+  ELSE regexp_replace(regexp_replace(code, '(?s)/\*.*?\*/', ' ', 'g'), '(?s)`.*?`', ' ', 'g') END"""
+
+
+@query(
+    "d11_every_language",
+    rf"""WITH l AS (SELECT *, {SOURCE_LANGUAGE} AS lang, {NAMES} FROM details_all), c AS (SELECT *, {SOURCE} AS code FROM l), s AS (SELECT *, {SHOWN} AS shown FROM c)
+    SELECT pr_id, sha, lang AS language, array_to_string(regexp_extract_all(shown, '(?m)^\s*(?:pub )?(?:def|function|func|fn|int) (\w+)\((?:int a)?\)(?: \{{|: pass)$', 1), ';') AS functions,
+      array_to_string(regexp_extract_all(shown, '(?m)^\s*(?:pub |public )?(?:class|struct) (\w+)', 1), ';') AS classes FROM s""",
+    D,
+)
+def d11_every_language(v: Views) -> DataFrame:
+    """Each language of the scan, with definitions that stand in texts and comments."""
+    rows = v.all_details().select("pr_id", "sha", F.expr(SOURCE_LANGUAGE).alias("lang")).selectExpr("*", *NAMES.split(", "))
+    code = F.expr(SOURCE)
+    found = None
+    for name in SOURCE_LANGUAGES:
+        scan = patches.definitions(code, name)
+        found = F.when(F.col("lang") == name, scan) if found is None else found.when(F.col("lang") == name, scan)
+    out = rows.select("pr_id", "sha", F.col("lang").alias("language"), found.alias("d"))
+    return out.select("pr_id", "sha", "language", F.array_join("d.functions", ";").alias("functions"), F.array_join("d.classes", ";").alias("classes"))
+
+
 # --- predictors ---------------------------------------------------------------------------
 
 

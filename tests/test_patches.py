@@ -131,3 +131,37 @@ def test_braces_in_texts_and_comments_are_no_blocks(one):
     assert definitions(one, js, "javascript") == (["Doc"], ["close"])
     rust = "impl<'a> View<'a> {\n    fn at(&self) -> char { '{' }\n}\nfn free<'a>(x: &'a str) {\n}"
     assert definitions(one, rust, "rust") == ([], ["free"])
+
+
+def test_texts_and_comments_over_lines_define_nothing(one):
+    python = 'def plan():\n    """Use it so:\n\ndef ghost():\n    """\n\nclass Map:\n    x = \'\'\'\nclass Fake:\n\'\'\'\n    def at(self): pass  # def no():\n\ndef route(): pass'
+    assert definitions(one, python, "python") == (["Map"], ["plan", "route"])
+    js = "/* function ghost() {\nfunction other() {\n*/ function real() {\n}\nconst page = `\nclass Fake {\n`;\nfunction next() {\n  return /[\"'`]/.test(x);\n}\nfunction last() {\n}"
+    assert definitions(one, js, "javascript") == ([], ["real", "next", "last"])
+    go = "var q = `\nfunc ghost() {\n`\nfunc real() rune {\n\treturn '\"'\n}\nfunc next() {}"
+    assert definitions(one, go, "go") == ([], ["real", "next"])
+    cpp = 'auto t = R"x(\nclass Fake {\n)" )x";\nclass Lens { // {\n  int f() { return \'"\'; }\n};\nint real(int a) {\n}'
+    assert definitions(one, cpp, "cpp") == (["Lens"], ["real"])
+    sharp = 'var t = @"\nclass Fake { "" \n";\npublic class Lamp {\n}\n/*\nclass Other {\n*/\nclass Wick {\n}'
+    assert definitions(one, sharp, "c_sharp") == (["Lamp", "Wick"], [])
+    rust = 'let t = r#"\nfn ghost() { "\n"#;\nlet u = "\nfn other() {\n";\nfn real<\'a>(x: &\'a str) {\n}\nfn next() {\n}'
+    assert definitions(one, rust, "rust") == ([], ["real", "next"])
+
+
+def test_marks_that_are_never_closed_hide_nothing(one):
+    assert definitions(one, 'def a():\n    """open\n\ndef b(): pass', "python") == ([], ["a", "b"])
+    assert definitions(one, "/* open\nfunction a() {\n}\nlet s = `open;\nfunction b() {\n}", "javascript") == ([], ["a", "b"])
+    assert one(patches.code_only(P, "cobol"), p="x 'y'") == "x 'y'"
+
+
+def test_very_long_texts_are_left_out(one):
+    code = 'x = """' + 'def ghost(): \\" pass\n' * 20000 + '"""\ndef real(): pass\ny = "' + "\\n " * 50000 + '"'
+    assert definitions(one, code, "python") == ([], ["real"])
+
+
+def test_symbol_changes_outside_texts_and_comments(spark):
+    patch = "@@\n+/*\n+function ghost() {\n+*/\n+function real() {\n-class Old {\n+const t = `\n+class Fake {\n+`;"
+    df = spark.createDataFrame([(patch, "m.mjs")], "p STRING, f STRING")
+    row = df.select(patches.symbol_changes(P, F.col("f")).alias("s")).select("s.*").first()
+    assert (row.language, row.added_functions, row.removed_functions) == ("javascript", ["real"], [])
+    assert (row.added_classes, row.removed_classes) == ([], ["Old"])
