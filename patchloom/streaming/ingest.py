@@ -7,7 +7,8 @@ because its keys are already in the table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,64 @@ def ingest_available(
     query.awaitTermination()
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the time of a block; a streaming query takes them over when it starts."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ingest_keyed(
+    source: DataFrame,
+    output: str,
+    checkpoint: str,
+    transform: Callable[[DataFrame], DataFrame],
+    keys: Sequence[str] = DETAIL_KEY,
+    state_partitions: int = 200,
+) -> int | None:
+    """Drain a streaming file source into the Parquet table at ``output``, rows with unseen keys only, and stop.
+
+    The keys seen so far are state of the query, kept in RocksDB and saved below ``checkpoint`` as changes: a batch is
+    shuffled once by its keys and meets the state where that lies, so its cost does not depend on the size of the
+    table, which is never read. The sink's log makes a batch visible whole and once; one that failed is repeated
+    whole against the state of the batch before it. The first row of a key wins over later batches; of rows with one
+    key in one batch any one stays. Null keys equal each other.
+
+    The table belongs to this checkpoint: keys that others write to it are not known. ``state_partitions`` is fixed by the first
+    run; each holds its share of all keys on an executor's disk. Returns the number of keys seen so far, None if
+    nothing had arrived."""
+    spark = source.sparkSession
+    with settings(
+        spark,
+        spark__sql__streaming__stateStore__providerClass=ROCKSDB,
+        spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
+        spark__sql__shuffle__partitions=str(state_partitions),
+    ):
+        query = (
+            transform(source)
+            .dropDuplicates(list(keys))
+            .writeStream.format("parquet")
+            .option("path", output)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    held = [step["stateOperators"][0]["numRowsTotal"] for step in query.recentProgress if step["stateOperators"]]
+    return held[-1] if held else None
+
+
 def payload_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 500) -> DataFrame:
     """Landed payload files as a stream, a bounded number of files per batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(path)

@@ -18,7 +18,7 @@ from patchloom.sources.sinks import (
     write_table,
 )
 from patchloom.sources.snapshots import SnapshotTable
-from patchloom.streaming.ingest import ingest_available, payload_stream
+from patchloom.streaming.ingest import ingest_available, ingest_keyed, payload_stream
 from patchloom.workload.registry import query
 from patchloom.workload.views import Views
 
@@ -229,6 +229,25 @@ def k5_atomic(v: Views) -> DataFrame:
     return SnapshotTable(v.spark, f"{base}/details").rows().select("pr_id", "sha", "file", "status")
 
 
+@query(
+    "k5_keyed_state",
+    """SELECT pr_id, sha, filename AS file, min(status) AS status, (SELECT count(DISTINCT (pr_id, sha, filename)) FROM details_all WHERE patch IS NOT NULL) AS keys
+    FROM details_all WHERE patch IS NOT NULL GROUP BY pr_id, sha, filename""",
+    D,
+)
+def k5_keyed_state(v: Views) -> DataFrame:
+    """Two lots, of which the second brings the first once more; the keys seen are the query's state."""
+    base = scratch_dir(v.spark, "k5-state")
+    landed, table, checkpoint = f"{base}/landed", f"{base}/details.parquet", f"{base}/checkpoint"
+    lots = commit_payloads(v)
+    keys = 0
+    for lot in (lots.where(F.col("pr_id") % 2 == 0), lots):
+        lot.write.mode("append").json(landed)
+        source = payload_stream(v.spark, landed, "pr_id LONG, sha STRING, payload STRING")
+        keys = ingest_keyed(source, table, checkpoint, payloads.commit_files, state_partitions=8)
+    return v.spark.read.parquet(table).select("pr_id", "sha", "file", "status", F.lit(keys).cast("long").alias("keys"))
+
+
 @query(
     "k6_upsert_counters",
     """SELECT count(*) AS incoming, count(DISTINCT (pr_id, sha, filename)) - (SELECT count(DISTINCT (pr_id, sha, filename)) FROM details_all WHERE status = 'modified') AS added
