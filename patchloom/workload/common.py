@@ -21,8 +21,14 @@ def describe_sql(keys: str, value: str, source: str) -> str:
       round(CAST(max({value}) AS DOUBLE), 6) AS max FROM {source} WHERE {value} IS NOT NULL {tail}"""
 
 
+def two_sided_sql(z: str) -> str:
+    """p of a standard normal as SQL: the series of the distribution around 0, its terms nested; 0 to six digits beyond 8."""
+    nested = f"list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(200, 0, -1), lambda j: (2 * j + 1)::DOUBLE)), lambda acc, d: 1 + ({z}) ** 2 / d * acc)"
+    return f"CASE WHEN abs({z}) > 8 THEN 0.0 ELSE greatest(0.0, 1 - 2 * abs({z}) * exp(-(({z}) ** 2) / 2) / sqrt(2 * pi()) * {nested}) END"
+
+
 def mann_whitney_sql(keys: str, group: str, value: str, first: str, second: str, source: str) -> str:
-    """U and z of two groups as SQL over ``source``; ``keys`` is a column list or ''."""
+    """U, z and the asymptotic p of two groups as SQL over ``source``; ``keys`` is a column list or ''."""
     lead, part = (f"{keys}, ", f"PARTITION BY {keys}") if keys else ("", "")
     tail = f"GROUP BY {keys}" if keys else ""
     return f"""WITH kept AS (SELECT {lead}{group} AS g, CAST({value} AS DOUBLE) AS v FROM {source}
@@ -31,7 +37,8 @@ def mann_whitney_sql(keys: str, group: str, value: str, first: str, second: str,
         count(*) OVER (PARTITION BY {lead}v) AS t FROM kept),
       sums AS (SELECT {lead}count(*) FILTER (g = {first}) AS n1, count(*) FILTER (g = {second}) AS n2,
         count(*) AS n, sum(mr) FILTER (g = {first}) AS r1, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM ranked {tail}),
-      u AS (SELECT *, CAST(r1 - n1 * (n1 + 1) / 2.0 AS DOUBLE) AS u1 FROM sums)
-    SELECT {lead}n1 AS n_first, n2 AS n_second, round(u1, 6) AS u_stat,
-      round((greatest(u1, CAST(n1 AS DOUBLE) * n2 - u1) - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5)
-        / sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * (n + 1 - ties / (CAST(n AS DOUBLE) * (n - 1)))), 6) AS z_stat FROM u"""
+      u AS (SELECT *, CAST(r1 - n1 * (n1 + 1) / 2.0 AS DOUBLE) AS u1 FROM sums),
+      zs AS (SELECT *, (greatest(u1, CAST(n1 AS DOUBLE) * n2 - u1) - CAST(n1 AS DOUBLE) * n2 / 2 - 0.5)
+        / sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * (n + 1 - ties / (CAST(n AS DOUBLE) * (n - 1)))) AS z FROM u),
+      ps AS (SELECT *, {two_sided_sql("greatest(z, 0)")} AS p FROM zs)
+    SELECT {lead}n1 AS n_first, n2 AS n_second, round(u1, 6) AS u_stat, round(z, 6) AS z_stat, round(p, 6) AS p_value, p < 0.05 AS significant FROM ps"""

@@ -10,7 +10,7 @@ from patchloom.operators import cumulative, ranktests
 from patchloom.plans import change_size, churn, classify, features, textpairs
 from patchloom.plans.neighbours import knn_vote
 from patchloom.session import materialize
-from patchloom.workload.common import describe_sql, mann_whitney_sql, tidy
+from patchloom.workload.common import describe_sql, mann_whitney_sql, tidy, two_sided_sql
 from patchloom.workload.q_aggregates import PER_PR
 from patchloom.workload.q_relational import COS, HEADING, ISSUE, LIFE, lifetimes_of
 from patchloom.workload.registry import ORACLES, query
@@ -53,7 +53,7 @@ def t1(v: Views) -> DataFrame:
     prs = change_size.pr_level(v.change_table())
     tall = cumulative.stack_metrics(prs, ["Group"], change_size.SCOPE_METRICS)
     tested = ranktests.mann_whitney(tall, "Group", "value", "APR", "HPR", ["metric"])
-    return tidy(tested.drop("p_value", "significant"))
+    return tidy(tested)
 
 
 @query(
@@ -109,14 +109,21 @@ def t2(v: Views) -> DataFrame:
 
 @query(
     "t3_dunn_pairs",
-    f"""WITH {GROUPED} SELECT a.grp AS first, b.grp AS second, round((a.r / a.n - b.r / b.n) /
-      sqrt((tot.n * (tot.n + 1) / 12 - ties / (12 * (tot.n - 1))) * (1.0 / a.n + 1.0 / b.n)), 6) AS z_stat FROM s a, s b, tot
-    WHERE (a.grp, b.grp) IN (('HPR', 'APR'), ('HPR', 'Benchmark'), ('APR', 'Benchmark'))""",
+    f"""WITH {GROUPED}, z AS (SELECT a.grp AS first, b.grp AS second, (a.r / a.n - b.r / b.n) /
+      sqrt((tot.n * (tot.n + 1) / 12 - ties / (12 * (tot.n - 1))) * (1.0 / a.n + 1.0 / b.n)) AS z FROM s a, s b, tot
+      WHERE (a.grp, b.grp) IN (('HPR', 'APR'), ('HPR', 'Benchmark'), ('APR', 'Benchmark'))),
+      p AS (SELECT *, {two_sided_sql("z")} AS p FROM z), o AS (SELECT *, row_number() OVER (ORDER BY p, first, second) AS i FROM p),
+      h AS (SELECT *, least(1.0, max(p * (4 - i)) OVER (ORDER BY i)) AS holm FROM o)
+    SELECT g.gate, first, second, round(z, 6) AS z_stat, round(p, 6) AS p_raw, round(holm, 6) AS p_holm
+    FROM h, (VALUES (1.0, 'always'), (0.05, '0.05')) AS g(alpha, gate), kw WHERE alpha = 1.0 OR exp(-kw.h / 2) < alpha""",
     ROWS,
 )
 def t3(v: Views) -> DataFrame:
-    tested = ranktests.dunn_holm(_three_groups(v), "grp", "sum_changes", LABELS, alpha=None)
-    return tidy(tested.select("first", "second", "z_stat"))
+    """All pairs, and the pairs of a test that runs only below 0.05."""
+    rows = _three_groups(v)
+    always = ranktests.dunn_holm(rows, "grp", "sum_changes", LABELS, alpha=None).withColumn("gate", F.lit("always"))
+    gated = ranktests.dunn_holm(rows, "grp", "sum_changes", LABELS, alpha=0.05).withColumn("gate", F.lit("0.05"))
+    return tidy(always.unionByName(gated))
 
 
 @query(
@@ -124,12 +131,13 @@ def t3(v: Views) -> DataFrame:
     f"""WITH {LIFE}, c AS (SELECT count(DISTINCT CASE WHEN is_agent = 0 AND is_removed = 1 THEN func_class END) AS h1, count(DISTINCT CASE WHEN is_agent = 0 THEN func_class END) AS t1,
       count(DISTINCT CASE WHEN is_agent = 1 AND is_removed = 1 THEN func_class END) AS h2, count(DISTINCT CASE WHEN is_agent = 1 THEN func_class END) AS t2 FROM life)
     SELECT h1 AS hits_first, t1 AS trials_first, h2 AS hits_second, t2 AS trials_second,
-      round((h1 / t1 - h2 / t2) / sqrt((h1 + h2) / (t1 + t2) * (1 - (h1 + h2) / (t1 + t2)) * (1 / t1 + 1 / t2)), 6) AS z_stat FROM c""",
+      round(z, 6) AS z_stat, round({two_sided_sql("z")}, 6) AS p_value
+    FROM (SELECT *, (h1 / t1 - h2 / t2) / sqrt((h1 + h2) / (t1 + t2) * (1 - (h1 + h2) / (t1 + t2)) * (1 / t1 + 1 / t2)) AS z FROM c)""",
     DP,
 )
 def t4(v: Views) -> DataFrame:
     tested = ranktests.proportion_test(lifetimes_of(v), "is_agent", 0, 1, F.col("is_removed") == 1, "func_class")
-    return tidy(tested.drop("p_value"))
+    return tidy(tested)
 
 
 @query(
@@ -138,12 +146,13 @@ def t4(v: Views) -> DataFrame:
       c AS (SELECT is_agent, n, avg((sum_changes - mu) ** 2) AS m2, avg((sum_changes - mu) ** 3) AS m3, avg((sum_changes - mu) ** 4) AS m4
         FROM per_pr JOIN m USING (is_agent) GROUP BY ALL)
     SELECT is_agent, n AS count, round(m3 / m2 ** 1.5, 6) AS skewness, round(m4 / m2 ** 2 - 3, 6) AS kurtosis,
-      round(n / 6.0 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4), 6) AS jb_stat FROM c""",
+      round(n / 6.0 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4), 6) AS jb_stat,
+      round(exp(-n / 12.0 * ((m3 / m2 ** 1.5) ** 2 + (m4 / m2 ** 2 - 3) ** 2 / 4)), 6) AS p_value FROM c""",
     ROWS,
 )
 def t5(v: Views) -> DataFrame:
     prs = change_size.per_pr(v.change_table(), ["pr_id", "is_agent"])
-    return tidy(ranktests.jarque_bera(prs, ["is_agent"], "sum_changes").drop("p_value"))
+    return tidy(ranktests.jarque_bera(prs, ["is_agent"], "sum_changes"))
 
 
 # --- features ------------------------------------------------------------------------------
