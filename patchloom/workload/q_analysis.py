@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import times, vectors
 from patchloom.operators import cumulative, ranktests
-from patchloom.plans import change_size, churn, classify, features, textpairs
+from patchloom.plans import attribution, change_size, churn, classify, features, textpairs
 from patchloom.plans.neighbours import knn_vote
 from patchloom.session import materialize
 from patchloom.workload.common import describe_sql, mann_whitney_sql, tidy, two_sided_sql
@@ -399,6 +399,91 @@ def c13(v: Views) -> DataFrame:
     return _attributed(v).groupBy("pr_id").agg(F.count("*").alias("features"), (F.abs(gap) < 1e-9).alias("adds_up"))
 
 
+@query(
+    "c13_exact_attributions",
+    _trained(f"""SELECT pr_id, CAST({len(FEATURE_NAMES)} AS BIGINT) AS features, true AS adds_up, true AS score_of_the_model
+      FROM mx WHERE is_test = 1"""),
+)
+def c13_exact(v: Views) -> DataFrame:
+    """Over the paths of a forest; that their sums are the model's own probabilities is compared for every test row."""
+    model, test = classify.fit_model(_matrix(v), FEATURE_NAMES, "rf")
+    exact = attribution.tree_attributions(attribution.forest_paths(v.spark, model), test, FEATURE_NAMES)
+    gap = F.abs(F.sum("attribution") - (F.max("score") - F.max("base_score")))
+    rows = exact.groupBy("pr_id").agg(F.count("*").alias("features"), (gap < 1e-9).alias("adds_up"), F.max("score").alias("own"))
+    model_scores = classify.scored(model, test).select("pr_id", "score")
+    same = (F.abs(F.col("own") - F.col("score")) < 1e-9).alias("score_of_the_model")
+    return rows.join(model_scores, "pr_id").select("pr_id", "features", "adds_up", same)
+
+
+TWO_WAY = (("pr_title_length", "pr_body_length"), ("pr_body_length", "number_of_files_changed"))
+
+
+def _two_way_paths(train: DataFrame) -> DataFrame:
+    """Two trees that split at the mean of one feature, then at that of another; a leaf is the label's mean."""
+    out = None
+    for number, (first, second) in enumerate(TWO_WAY):
+        cut = train.agg(F.avg(first).alias("a"), F.avg(second).alias("b"), F.count("*").alias("n")).first()
+        sides = train.select((F.col(first) <= F.lit(cut.a)).alias("a"), (F.col(second) <= F.lit(cut.b)).alias("b"), "label")
+        cells = sides.groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("label").alias("value"))
+        whole = cells.withColumn("n_a", F.sum("n").over(Window.partitionBy("a")))  # four cells at most
+
+        def step(feature: str, side: str, share):
+            low = F.when(F.col(side), F.lit(float("-inf"))).otherwise(F.lit(cut[side]))
+            high = F.when(F.col(side), F.lit(cut[side])).otherwise(F.lit(float("inf")))
+            at = F.lit(FEATURE_NAMES.index(feature))
+            return F.struct(at.alias("feature"), low.alias("low"), high.alias("high"), share.alias("share"))
+
+        steps = F.array(step(first, "a", F.col("n_a") / F.lit(cut.n)), step(second, "b", F.col("n") / F.col("n_a")))
+        leaf = (F.col("a").cast("int") * 2 + F.col("b").cast("int")).alias("leaf")
+        value = (F.col("value") / len(TWO_WAY)).alias("value")
+        tree = whole.select(F.lit(number).alias("tree"), leaf, value, F.inline(steps))
+        out = tree if out is None else out.unionByName(tree)
+    return out
+
+
+def _two_way_sql() -> str:
+    parts = []
+    for k, (first, second) in enumerate(TWO_WAY):
+        parts.append(f"""s{k} AS (SELECT {first} <= avg({first}) OVER () AS a, {second} <= avg({second}) OVER () AS b, label FROM mx WHERE is_test = 0),
+      c{k} AS (SELECT a, b, count(*) AS n, avg(label) AS v FROM s{k} GROUP BY ALL),
+      w{k} AS (SELECT pr_id, {first} AS fa, {second} AS fb, {first} <= (SELECT avg({first}) FROM mx WHERE is_test = 0) AS a,
+        {second} <= (SELECT avg({second}) FROM mx WHERE is_test = 0) AS b FROM mx WHERE is_test = 1),
+      e{k} AS (SELECT *, (SELECT avg(label) FROM s{k}) AS v0, coalesce((SELECT avg(label) FROM s{k} WHERE s{k}.a = w{k}.a), 0) AS va,
+        coalesce((SELECT sum(c{k}.v * (SELECT count(*) FROM s{k} h WHERE h.a = c{k}.a)) FROM c{k} WHERE c{k}.b = w{k}.b), 0) / (SELECT count(*) FROM s{k}) AS vb,
+        coalesce((SELECT c{k}.v FROM c{k} WHERE c{k}.a = w{k}.a AND c{k}.b = w{k}.b), 0) AS vab FROM w{k}),
+      p{k} AS (SELECT pr_id, '{first}' AS feature, fa AS feature_value, ((va - v0) + (vab - vb)) / 2 AS phi, v0, vab FROM e{k}
+        UNION ALL SELECT pr_id, '{second}', fb, ((vb - v0) + (vab - va)) / 2, v0, vab FROM e{k})""")
+    every = " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(len(TWO_WAY)))
+    parts.append(f"""p AS ({every}), scores AS (SELECT pr_id, sum(vab) / {2 * len(TWO_WAY)} AS score, sum(v0) / {2 * len(TWO_WAY)} AS base_score FROM p GROUP BY pr_id),
+      parted AS (SELECT pr_id, feature, CAST(any_value(feature_value) AS DOUBLE) AS feature_value, round(sum(phi) / {len(TWO_WAY)}, 6) AS attribution,
+        round(score, 6) AS score, round(base_score, 6) AS base_score FROM p JOIN scores USING (pr_id) GROUP BY pr_id, feature, score, base_score)""")
+    return ", " + ", ".join(parts)
+
+
+def _two_way(v: Views) -> DataFrame:
+    matrix = _matrix(v)
+    rows = attribution.tree_attributions(_two_way_paths(matrix.where(F.col("is_test") == 0)), matrix.where(F.col("is_test") == 1), FEATURE_NAMES)
+    return rows.where(F.col("feature").isin(*{f for pair in TWO_WAY for f in pair}))
+
+
+@query("c13_two_way_trees", _trained(f"{_two_way_sql()} SELECT * FROM parted"))
+def c13_two_way(v: Views) -> DataFrame:
+    return tidy(_two_way(v))
+
+
+CUTOFFS = {"pr_title_length": (None, 7), "pr_body_length": (500, 80)}
+
+
+@query(
+    "c13_cutoff_tables",
+    _trained(f"""{_two_way_sql()}, lim(feature, below, mark) AS (VALUES ('pr_title_length', NULL, 7), ('pr_body_length', 500, 80)),
+      h AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY md5(pr_id || '|42'), pr_id) AS rn FROM parted JOIN lim USING (feature))
+    SELECT pr_id, feature, feature_value, attribution, feature_value > mark AS beyond_mark FROM h WHERE rn <= 2000 AND (below IS NULL OR feature_value < below)"""),
+)
+def c13_cutoffs(v: Views) -> DataFrame:
+    return tidy(attribution.cutoff_tables(_two_way(v), CUTOFFS))
+
+
 @query("c13_attribution_ranking", f"SELECT unnest({list(FEATURE_NAMES)}) AS feature, true AS not_negative")
 def c13_ranking(v: Views) -> DataFrame:
     ranking = classify.attribution_ranking(_attributed(v))
