@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import times, vectors
 from patchloom.operators import cumulative, ranktests
-from patchloom.plans import attribution, change_size, churn, classify, features, textpairs
+from patchloom.plans import attribution, change_size, churn, classify, features, kernel, textpairs
 from patchloom.plans.neighbours import knn_vote
 from patchloom.session import materialize
 from patchloom.workload.common import describe_sql, mann_whitney_sql, tidy, two_sided_sql
@@ -277,6 +277,45 @@ def c06(v: Views) -> DataFrame:
     return _fitted(_matrix(v), "svm")
 
 
+WAVES = 6
+UNIT_DIRECTIONS, UNIT_SHIFTS = kernel.draw_waves(3, WAVES, 0.5)
+WAVE_COLUMNS = ("pr_title_length", "pr_body_length", "number_of_files_changed")
+WAVE_VALUES = ", ".join(f"CAST({c} AS DOUBLE)" for c in WAVE_COLUMNS)
+
+
+@query(
+    "c06_fourier_features",
+    _trained(f""", vs AS (SELECT pr_id, [{WAVE_VALUES}] AS v FROM mx), one AS (SELECT unnest(v) AS u FROM vs),
+      g AS (SELECT 1 / ({len(WAVE_COLUMNS)} * var_pop(u)) AS gamma FROM one),
+      ws AS (SELECT unnest({[list(w) for w in UNIT_DIRECTIONS]}) AS w, unnest({list(UNIT_SHIFTS)}) AS b, unnest(range({WAVES})) AS wave)
+    SELECT pr_id, CAST(wave AS INT) AS wave, round(sqrt(2.0 / {WAVES}) * cos(sqrt(2 * gamma) * list_dot_product(v, w) + b), 6) AS turned FROM vs, g, ws"""),
+)
+def c06_waves(v: Views) -> DataFrame:
+    """The columns that stand for the kernel, with the width that the variance of all values gives."""
+    matrix = _matrix(v)
+    directions, shifts = kernel.draw_waves(len(WAVE_COLUMNS), WAVES, kernel.scale_gamma(matrix, WAVE_COLUMNS))
+    values = F.array(*[F.col(c).cast("double") for c in WAVE_COLUMNS])
+    return tidy(matrix.select("pr_id", F.posexplode(kernel.fourier_features(values, directions, shifts)).alias("wave", "turned")))
+
+
+@query(
+    "c06_kernel_svm",
+    """WITH z AS (SELECT p_partkey, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS x,
+        (p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER () AS y FROM part)
+    SELECT p_partkey AS pr_id, CAST(x * x + y * y > 1.5 AS INT) AS label, true AS score_in_range, true AS auc_above_floor FROM z WHERE p_partkey % 5 = 0""",
+)
+def c06_kernel(v: Views) -> DataFrame:
+    """Parts far from the middle of price and size: no line parts them from the others, so a linear machine misses the floor."""
+    part = v.table("part")
+    sizes = part.agg(F.avg("p_retailprice"), F.stddev("p_retailprice"), F.avg("p_size"), F.stddev("p_size")).first()
+    x, y = (F.col("p_retailprice") - sizes[0]) / sizes[1], (F.col("p_size") - sizes[2]) / sizes[3]
+    rows = part.select(F.col("p_partkey").alias("pr_id"), x.alias("x"), y.alias("y"), (x * x + y * y > 1.5).cast("int").alias("label"))
+    machine = kernel.fit_kernel_machine(rows.where("pr_id % 5 <> 0"), ["x", "y"])
+    scored = materialize(kernel.kernel_scores(machine, rows.where("pr_id % 5 = 0")), "kernel-scores")
+    area = classify.auc(scored).first().auc
+    return scored.select("pr_id", "label", F.col("score").between(0, 1).alias("score_in_range"), F.lit(area > 0.95).alias("auc_above_floor"))
+
+
 FEATURE_NAMES = (
     "pr_title_length", "pr_body_length", "pr_template_total_score", "contains_code_snippets", "number_of_related_issues",
     "number_of_commits", "avg_commit_message_length", "number_of_files_changed", "total_addition", "total_deletion", "added",
