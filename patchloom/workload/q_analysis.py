@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patchloom.functions import times, vectors
 from patchloom.operators import cumulative, ranktests
 from patchloom.plans import attribution, change_size, churn, classify, features, kernel, textpairs
+from patchloom.plans.exact_neighbours import exact_vote
 from patchloom.plans.neighbours import knn_vote
 from patchloom.session import materialize
 from patchloom.workload.common import describe_sql, mann_whitney_sql, tidy, two_sided_sql
@@ -335,6 +336,13 @@ def c07(v: Views) -> DataFrame:
     return tidy(knn_vote(matrix.where(F.col("is_test") == 0), matrix.where(F.col("is_test") == 1), FEATURE_NAMES))
 
 
+@query("c07_exact_neighbours", ORACLES["c07_nearest_neighbours"])
+def c07_exact(v: Views) -> DataFrame:
+    """All labelled rows take part; a test row meets the rings that can hold a nearer one."""
+    matrix = _matrix(v)
+    return tidy(exact_vote(matrix.where(F.col("is_test") == 0), matrix.where(F.col("is_test") == 1), FEATURE_NAMES))
+
+
 RULE = """pd AS (SELECT doc_id AS pr_id, quality AS label, lang, CAST(n_chars > 900 AS INT) AS prediction, n_chars / (n_chars + 900.0) AS score
     FROM labels JOIN documents USING (doc_id))"""
 
