@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import times, vectors
 from patchloom.operators import cumulative, ranktests
-from patchloom.plans import attribution, change_size, churn, classify, features, kernel, textpairs
+from patchloom.plans import attribution, boosting, change_size, churn, classify, features, kernel, textpairs
 from patchloom.plans.exact_neighbours import exact_vote
 from patchloom.plans.neighbours import knn_vote
 from patchloom.session import materialize
@@ -273,6 +273,61 @@ def c05(v: Views) -> DataFrame:
     return deep.unionByName(_fitted(matrix, "gbt_shallow").withColumn("model_name", F.lit("gbt_shallow")))
 
 
+STUMP_EDGES = {"n_chars": [100.0, 200.0, 400.0, 800.0, 1600.0, 3200.0], "toxic": [0.0]}
+STUMP_SPLITS = ", ".join(f"({f}, '{name}', {e})" for f, (name, edges) in enumerate(STUMP_EDGES.items()) for e in edges)
+
+
+@query(
+    "c05_second_order_leaves",
+    f"""WITH tr AS (SELECT quality AS y, CAST(n_chars AS DOUBLE) AS n_chars, CAST(toxic AS DOUBLE) AS toxic FROM labels JOIN documents USING (doc_id)),
+      b AS (SELECT 1 / (1 + (count(*) - sum(y) + 1) / (sum(y) + 1)) AS p FROM tr),
+      gh AS (SELECT p - y AS g, p * (1 - p) AS h, n_chars, toxic FROM tr, b), t AS (SELECT sum(g) AS tg, sum(h) AS th, count(*) AS tn FROM gh),
+      e(f, feature, edge) AS (VALUES {STUMP_SPLITS}),
+      l AS (SELECT f, feature, edge, sum(g) AS g, sum(h) AS h, count(*) AS n FROM gh JOIN e ON CASE f WHEN 0 THEN n_chars ELSE toxic END <= edge GROUP BY ALL),
+      best AS (SELECT *, 0.5 * (g * g / (h + 1) + (tg - g) ** 2 / (th - h + 1) - tg * tg / (th + 1)) AS gain FROM l, t WHERE h >= 1 AND th - h >= 1
+        ORDER BY round(gain, 9) DESC, f, edge LIMIT 1)
+    SELECT feature, CAST(edge AS DOUBLE) AS edge, round(gain, 6) AS gain, 'up to the edge' AS side, n, round(-0.3 * g / (h + 1), 6) AS weight FROM best
+    UNION ALL SELECT feature, edge, round(gain, 6), 'above', tn - n, round(-0.3 * (tg - g) / (th - h + 1), 6) FROM best""",
+)
+def c05_leaves(v: Views) -> DataFrame:
+    """One tree of one split over given edges: its leaf weights are the closed form -rate G / (H + 1)."""
+    rows = v.table("labels").join(v.table("documents"), "doc_id").select(F.col("quality").alias("label"), "n_chars", "toxic")
+    model = boosting.fit_boosted_trees(rows, list(STUMP_EDGES), trees=1, max_depth=1, edges=list(STUMP_EDGES.values()))
+    root = model.trees[0][0]
+    name = model.features[root.feature]
+    sides = [("up to the edge", root.left), ("above", root.right)]
+    leaves = {number: (n, weight) for number, n, weight in boosting.leaf_table(model)}
+    table = [(name, model.edges[root.feature][root.bin], root.gain, side, *leaves[number]) for side, number in sides]
+    return tidy(v.spark.createDataFrame(table, "feature STRING, edge DOUBLE, gain DOUBLE, side STRING, n BIGINT, weight DOUBLE"))
+
+
+FAR_PARTS = """WITH z AS (SELECT p_partkey, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS x,
+        (p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER () AS y FROM part)
+    SELECT p_partkey AS pr_id, CAST(x * x + y * y > 1.5 AS INT) AS label, true AS score_in_range, true AS auc_above_floor FROM z WHERE p_partkey % 5 = 0"""
+
+
+def _far_parts(v: Views) -> DataFrame:
+    """Parts far from the middle of price and size: no line parts them from the others."""
+    part = v.table("part")
+    sizes = part.agg(F.avg("p_retailprice"), F.stddev("p_retailprice"), F.avg("p_size"), F.stddev("p_size")).first()
+    x, y = (F.col("p_retailprice") - sizes[0]) / sizes[1], (F.col("p_size") - sizes[2]) / sizes[3]
+    return part.select(F.col("p_partkey").alias("pr_id"), x.alias("x"), y.alias("y"), (x * x + y * y > 1.5).cast("int").alias("label"))
+
+
+def _above_floor(scored: DataFrame, floor: float) -> DataFrame:
+    scored = materialize(scored, "scores")
+    area = classify.auc(scored).first().auc
+    return scored.select("pr_id", "label", F.col("score").between(0, 1).alias("score_in_range"), F.lit(area > floor).alias("auc_above_floor"))
+
+
+@query("c05_second_order_boosting", FAR_PARTS)
+def c05_second_order(v: Views) -> DataFrame:
+    """A model that learns nothing misses the floor; which rows it scores and their labels are SQL's."""
+    rows = _far_parts(v)
+    model = boosting.fit_boosted_trees(rows.where("pr_id % 5 <> 0"), ["x", "y"])
+    return _above_floor(boosting.boosted_scores(model, rows.where("pr_id % 5 = 0")), 0.95)
+
+
 @query("c06_linear_svm", _trained(SCORED))
 def c06(v: Views) -> DataFrame:
     return _fitted(_matrix(v), "svm")
@@ -299,22 +354,12 @@ def c06_waves(v: Views) -> DataFrame:
     return tidy(matrix.select("pr_id", F.posexplode(kernel.fourier_features(values, directions, shifts)).alias("wave", "turned")))
 
 
-@query(
-    "c06_kernel_svm",
-    """WITH z AS (SELECT p_partkey, (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS x,
-        (p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER () AS y FROM part)
-    SELECT p_partkey AS pr_id, CAST(x * x + y * y > 1.5 AS INT) AS label, true AS score_in_range, true AS auc_above_floor FROM z WHERE p_partkey % 5 = 0""",
-)
+@query("c06_kernel_svm", FAR_PARTS)
 def c06_kernel(v: Views) -> DataFrame:
-    """Parts far from the middle of price and size: no line parts them from the others, so a linear machine misses the floor."""
-    part = v.table("part")
-    sizes = part.agg(F.avg("p_retailprice"), F.stddev("p_retailprice"), F.avg("p_size"), F.stddev("p_size")).first()
-    x, y = (F.col("p_retailprice") - sizes[0]) / sizes[1], (F.col("p_size") - sizes[2]) / sizes[3]
-    rows = part.select(F.col("p_partkey").alias("pr_id"), x.alias("x"), y.alias("y"), (x * x + y * y > 1.5).cast("int").alias("label"))
+    """A linear machine misses the floor."""
+    rows = _far_parts(v)
     machine = kernel.fit_kernel_machine(rows.where("pr_id % 5 <> 0"), ["x", "y"])
-    scored = materialize(kernel.kernel_scores(machine, rows.where("pr_id % 5 = 0")), "kernel-scores")
-    area = classify.auc(scored).first().auc
-    return scored.select("pr_id", "label", F.col("score").between(0, 1).alias("score_in_range"), F.lit(area > 0.95).alias("auc_above_floor"))
+    return _above_floor(kernel.kernel_scores(machine, rows.where("pr_id % 5 = 0")), 0.95)
 
 
 FEATURE_NAMES = (
