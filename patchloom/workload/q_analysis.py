@@ -563,6 +563,15 @@ def c13_two_way(v: Views) -> DataFrame:
     return tidy(_two_way(v))
 
 
+@query(
+    "c13_exact_ranking",
+    _trained(f"""{_two_way_sql()} SELECT feature, round(avg(abs(phi)), 6) AS mean_abs
+      FROM (SELECT pr_id, feature, sum(phi) / {len(TWO_WAY)} AS phi FROM p GROUP BY pr_id, feature) GROUP BY feature"""),
+)
+def c13_exact_ranking(v: Views) -> DataFrame:
+    return tidy(classify.attribution_ranking(_two_way(v)))
+
+
 CUTOFFS = {"pr_title_length": (None, 7), "pr_body_length": (500, 80)}
 
 
