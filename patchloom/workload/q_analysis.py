@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import times, vectors
-from patchloom.operators import cumulative, ranktests
+from patchloom.operators import cumulative, normality, ranktests
 from patchloom.plans import attribution, boosting, change_size, churn, classify, features, kernel, textpairs
 from patchloom.plans.exact_neighbours import exact_vote
 from patchloom.plans.neighbours import knn_vote
@@ -388,6 +388,24 @@ def c07_exact(v: Views) -> DataFrame:
     return tidy(exact_vote(matrix.where(F.col("is_test") == 0), matrix.where(F.col("is_test") == 1), FEATURE_NAMES))
 
 
+NORMAL_SCORES = f"""SELECT lang, CAST(n_chars AS DOUBLE) AS x, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS r, count(*) OVER (PARTITION BY lang) AS n
+    FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL"""
+
+
+@query(
+    "t5_shapiro_wilk",
+    f"""WITH ranked AS ({NORMAL_SCORES}), scored AS (SELECT *, {normality.score_of("r", "n")} AS m FROM ranked),
+      sums AS (SELECT lang, n, sum(m * m) AS mm, coalesce(sum(m * x) FILTER (r > 2 AND r < n - 1), 0) AS inner_sum, max(x) FILTER (r = 1) AS x1,
+        max(x) FILTER (r = 2) AS x2, max(x) FILTER (r = n - 1) AS y2, max(x) FILTER (r = n) AS y1, var_pop(x) * count(*) AS squares FROM scored GROUP BY lang, n),
+      outer_scores AS (SELECT *, {normality.score_of("n", "n")} AS m1, {normality.score_of("(n - 1)", "n")} AS m2 FROM sums),
+      w AS (SELECT *, {normality.statistic_sql()} AS w_stat FROM outer_scores), z AS (SELECT *, {normality.deviate_sql()} AS z FROM w),
+      p AS (SELECT *, {two_sided_sql("z")} / 2 AS tail FROM z)
+    SELECT lang, n, round(w_stat, 6) AS w_stat, round(z, 6) AS z_stat, round(CASE WHEN z >= 0 THEN tail ELSE 1 - tail END, 6) AS p_value FROM p""",
+)
+def t5_shapiro_wilk(v: Views) -> DataFrame:
+    return tidy(normality.shapiro_wilk(v.table("documents"), ["lang"], "n_chars"))
+
+
 RULE = """pd AS (SELECT doc_id AS pr_id, quality AS label, lang, CAST(n_chars > 900 AS INT) AS prediction, n_chars / (n_chars + 900.0) AS score
     FROM labels JOIN documents USING (doc_id))"""
 
