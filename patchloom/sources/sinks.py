@@ -70,13 +70,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return df.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*df.columns)
 
 
-def new_rows_of(unique: DataFrame, existing: DataFrame, keys: Sequence[str] = DETAIL_KEY) -> DataFrame:
-    """Rows, one per key, whose key the table does not hold: existing rows win."""
-    matched = existing.select(*[F.col(k).alias(f"_e_{k}") for k in keys])
-    same_key = [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys]
-    return unique.join(matched, on=same_key, how="left_anti")
-
-
 @dataclass(frozen=True)
 class UpsertCounts:
     incoming: int
@@ -100,33 +93,72 @@ def read_keyed(spark: SparkSession, path: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("bucket_")])
 
 
-def touched_rows(existing: DataFrame, batch: DataFrame, buckets: int) -> DataFrame:
-    """Rows of the table in the buckets that occur in the batch; others are pruned by their folder."""
+def touched_buckets(batch: DataFrame, buckets: int) -> list[int]:
+    """Buckets that occur in the batch: at most ``buckets`` numbers, whatever its size."""
+    return sorted(r[0] for r in batch.select(f"bucket_{buckets}").distinct().collect())
+
+
+def rows_in(existing: DataFrame, numbers: Sequence[int], buckets: int) -> DataFrame:
+    """Rows of the table in these buckets; others are pruned by their folder."""
     column = f"bucket_{buckets}"
     if column not in existing.columns:
         raise ValueError(f"the table is not divided by {column}; give the number of buckets it was written with")
-    # At most ``buckets`` numbers, whatever the size of the batch.
-    numbers = sorted(r[0] for r in batch.select(column).distinct().collect())
-    return existing.where(F.col(column).isin(numbers))
+    return existing.where(F.col(column).isin(list(numbers)))
+
+
+def touched_rows(existing: DataFrame, batch: DataFrame, buckets: int) -> DataFrame:
+    """Rows of the table in the buckets that occur in the batch."""
+    return rows_in(existing, touched_buckets(batch, buckets), buckets)
+
+
+# Parts of a folder in one append: a first key with very many rows is spread over them.
+FOLDER_PARTS = 16
+
+
+def unseen_rows(incoming: DataFrame, existing: DataFrame | None, keys: Sequence[str], buckets: int) -> DataFrame:
+    """The least row of each key that ``existing`` lacks, with its bucket, dealt for ``partitionBy`` of the bucket.
+
+    One shuffle does all of it: rows and the keys of the table meet by bucket and part of the bucket, so that neither
+    the unique rows nor the new ones are shuffled or written a second time."""
+    column = f"bucket_{buckets}"
+    named = [F.col(k) for k in keys]
+    row = F.struct(F.lit(0).alias("_first"), *[F.col(c) for c in incoming.columns if c not in (*keys, column)])
+    rows = _bucketed(incoming, keys[0], buckets).select(column, *named, row.alias("_row"), F.lit(False).alias("_held"))
+    if existing is not None:
+        none = F.lit(None).cast(rows.schema["_row"].dataType)
+        rows = rows.union(existing.select(column, *named, none.alias("_row"), F.lit(True).alias("_held")))
+    part = F.pmod(F.xxhash64(F.lit("part"), *named), F.lit(FOLDER_PARTS)).alias("_part")
+    dealt = rows.select("*", part).repartition(column, "_part")
+    least = dealt.groupBy(column, "_part", *keys).agg(F.min("_row").alias("_row"), F.max("_held").alias("_held"))
+    kinds = {f.name: f.dataType for f in incoming.schema}
+    out = [F.col(c).cast(kinds[c]).alias(c) if c in keys else F.col(f"_row.`{c}`") for c in incoming.columns if c != column]
+    return least.where(~F.col("_held")).select(*out, column)
 
 
 def upsert_append(
     spark: SparkSession, incoming: DataFrame, path: str, keys: Sequence[str] = DETAIL_KEY, buckets: int = BUCKETS
 ) -> int:
-    """Append only rows with unseen keys and return their number, counted before the write.
+    """Append only rows with unseen keys and return their number.
 
     Since existing rows win, nothing already written is rewritten, and a second run with the
     same rows adds none. The table is divided into ``buckets`` folders by a hash of the first
     key; a batch reads only the key columns of the folders it touches. Within a folder rows
-    are spread anew, so a first key with very many rows makes several files.
+    are spread anew, so a first key with very many rows makes several files. Once there is a
+    table, incoming rows are read twice: the first key for the folders, then whole.
     """
-    unique = materialize(_bucketed(first_per_key(incoming, keys, []), keys[0], buckets), "upsert")
     existing = existing_table(spark, path)
-    fresh = unique if existing is None else new_rows_of(unique, touched_rows(existing, unique, buckets), keys)
+    if existing is None:
+        numbers, held, before = None, None, 0
+    else:
+        numbers = touched_buckets(_bucketed(incoming, keys[0], buckets), buckets)
+        held = rows_in(existing, numbers, buckets)
+        before = held.count()
     # No Observation here: a session that has used one cannot score models afterwards.
-    fresh = materialize(fresh, "fresh")
-    fresh.hint("rebalance", f"bucket_{buckets}").write.mode("append").partitionBy(f"bucket_{buckets}").parquet(path)
-    return fresh.count()
+    unseen_rows(incoming, held, keys, buckets).write.mode("append").partitionBy(f"bucket_{buckets}").parquet(path)
+    written = existing_table(spark, path)
+    if written is None:
+        return 0
+    return (written if numbers is None else rows_in(written, numbers, buckets)).count() - before
 
 
 def upsert_counted(

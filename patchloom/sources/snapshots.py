@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchloom.session import materialize
-from patchloom.sources.sinks import BUCKETS, DETAIL_KEY, _bucketed, existing_table, first_per_key, new_rows_of, touched_rows
+from patchloom.sources.sinks import BUCKETS, DETAIL_KEY, _bucketed, existing_table, touched_rows, unseen_rows
 
 
 @dataclass(frozen=True)
@@ -101,28 +101,34 @@ class SnapshotTable:
         Of incoming rows with one key the least stays. ``writer`` and ``batch`` (a number that grows) name the append: a batch
         that the table already holds, or one before it, adds nothing."""
         column = f"bucket_{self.buckets}"
-        unique = materialize(_bucketed(first_per_key(incoming, self.keys, []), self.keys[0], self.buckets), "append")
-        checked = Snapshot()
+        rows, checked, lost = incoming, Snapshot(), None
         while True:
             base = self.current()
             if writer is not None and base.batches.get(writer, -1) >= batch:
+                self._drop(lost)
                 return 0
             folder = f"_data/{uuid.uuid4().hex}"
             known = self.read(Snapshot(base.version, tuple(f for f in base.folders if f not in checked.folders)))
-            fresh = unique if known is None else new_rows_of(unique, touched_rows(known, unique, self.buckets), self.keys)
-            fresh.hint("rebalance", column).write.partitionBy(column).parquet(f"{self.path}/{folder}")
+            held = None if known is None else touched_rows(known, _bucketed(rows, self.keys[0], self.buckets), self.buckets)
+            unseen_rows(rows, held, self.keys, self.buckets).write.partitionBy(column).parquet(f"{self.path}/{folder}")
+            self._drop(lost)
             written = existing_table(self.spark, f"{self.path}/{folder}")
             added = 0 if written is None else written.count()
-            if not added and writer is None:
-                self._files.delete(self._path(folder), True)
-                return 0
+            if not added:
+                self._drop(folder)
+                if writer is None:
+                    return 0
             batches = base.batches | ({writer: batch} if writer is not None else {})
             folders = (*base.folders, folder) if added else base.folders
             if self.publish(Snapshot(base.version + 1, folders, base.rows + added, batches)):
                 return added
-            if not added:
-                continue
-            unique, checked = materialize(written, "append"), base
+            if added:
+                rows, checked, lost = written, base, folder
+            else:
+                lost = None
+
+    def _drop(self, folder: str | None) -> None:
+        if folder is not None:
             self._files.delete(self._path(folder), True)
 
     def leftovers(self) -> list[str]:

@@ -86,3 +86,31 @@ def test_models_score_after_an_append(spark, tmp_path, name):
     model, test = fit_model(matrix, ["x", "y"], name)
     found = scored(model, test)
     assert found.count() == 80 and found.where("prediction = label").count() > 50
+
+
+def test_a_repeated_batch_is_not_run(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    assert table.append(frame(spark, (1, "f", "a")), "load", 0) == 1
+    broken = frame(spark, (2, "f", "b")).withColumn("status", F.raise_error(F.lit("run again")).cast("string"))
+    assert table.append(broken, "load", 0) == 0
+
+
+def test_appends_write_their_rows_once(spark, tmp_path, monkeypatch):
+    """Neither kind of append leaves a second copy of its rows in the scratch folder."""
+    monkeypatch.setattr("patchloom.session.scratch_dir", lambda *_: pytest.fail("a copy in the scratch folder"))
+    table, path = SnapshotTable(spark, str(tmp_path / "t")), str(tmp_path / "plain")
+    for part in ([(1, "f", "b"), (1, "f", "a"), (None, "f", "n")], [(1, "f", "c"), (None, "f", "o"), (2, None, "d")]):
+        table.append(frame(spark, *part))
+        sinks.upsert_append(spark, frame(spark, *part), path)
+    plain = sorted((r.pr_id or 0, r.file or "", r.status) for r in sinks.read_keyed(spark, path).collect())
+    assert plain == [(0, "f", "n"), (1, "f", "a"), (2, "", "d")]
+    assert sorted((r.pr_id or 0, r.file or "", r.status) for r in table.rows().collect()) == plain
+
+
+def test_landed_payloads_are_compressed(spark, tmp_path):
+    from patchloom.workload.q_sources import land
+
+    land(spark.range(5).selectExpr("id AS pr_id", "'s' AS sha", "'{}' AS payload"), str(tmp_path / "landed"))
+    files = [p.name for p in (tmp_path / "landed").glob("part-*")]
+    assert files and all(name.endswith(".json.gz") for name in files)
+    assert spark.read.json(str(tmp_path / "landed")).count() == 5
