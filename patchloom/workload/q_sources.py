@@ -192,6 +192,15 @@ def k4(v: Views) -> DataFrame:
     return remaining(work, existing_table(v.spark, path))
 
 
+# Rows per landed file. Compressed files are not split, so their size bounds what one task reads.
+LANDED_ROWS = 250_000
+
+
+def land(lot: DataFrame, folder: str) -> None:
+    """Payload files as gzip JSON Lines: as plain text they are several times the size of the table made of them."""
+    lot.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", LANDED_ROWS).json(folder)
+
+
 @query(
     "k5_resumable_ingest",
     """SELECT pr_id, sha, filename AS file, min(status) AS status, count(*) > 0 AS seen FROM details_all WHERE patch IS NOT NULL
@@ -205,7 +214,7 @@ def k5(v: Views) -> DataFrame:
     lots = commit_payloads(v)
     for lot in (lots.where(F.col("pr_id") % 2 == 0), lots.where(F.col("pr_id") % 2 == 1), None):
         if lot is not None:
-            lot.write.mode("append").json(landed)
+            land(lot, landed)
         source = payload_stream(v.spark, landed, "pr_id LONG, sha STRING, payload STRING")
         ingest_available(v.spark, source, table, checkpoint, payloads.commit_files)
     kept = read_keyed(v.spark, table)
@@ -223,7 +232,7 @@ def k5_atomic(v: Views) -> DataFrame:
     landed, checkpoint = f"{base}/landed", f"{base}/checkpoint"
     lots = commit_payloads(v)
     for lot in (lots.where(F.col("pr_id") % 2 == 0), lots.where(F.col("pr_id") % 2 == 1)):
-        lot.write.mode("append").json(landed)
+        land(lot, landed)
         source = payload_stream(v.spark, landed, "pr_id LONG, sha STRING, payload STRING")
         ingest_available(v.spark, source, f"{base}/details", checkpoint, payloads.commit_files, atomic=True)
     return SnapshotTable(v.spark, f"{base}/details").rows().select("pr_id", "sha", "file", "status")
@@ -244,7 +253,7 @@ def k5_keyed_state(v: Views) -> DataFrame:
     lots = commit_payloads(v)
     keys = 0
     for lot in (lots.where(F.col("pr_id") % 2 == 0), lots):
-        lot.write.mode("append").json(landed)
+        land(lot, landed)
         source = payload_stream(v.spark, landed, "pr_id LONG, sha STRING, payload STRING")
         keys = ingest_keyed(source, table, checkpoint, payloads.commit_files, state_partitions=8)
     return v.spark.read.parquet(table).select("pr_id", "sha", "file", F.lit(keys).cast("long").alias("keys"))
