@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,30 @@ def build_session(app: str = "patchloom", master: str | None = None, **conf: str
     return prepare(builder.getOrCreate())
 
 
+# What one task takes must not grow with the tables: bytes read from files, bytes of joined shuffle partitions, and the
+# number of partitions that a shuffle starts with before adaptive execution joins small ones.
+TASK_BYTES = {
+    "spark.sql.files.maxPartitionBytes": 16 << 20,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20,
+}
+INITIAL_KEY = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+INITIAL_PARTITIONS = 400
+
+
+def _bytes(text: str) -> int:
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)(?:i?b)?\s*", text.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin what results depend on: timestamps are read and formatted as UTC."""
+    """Pin what results depend on, timestamps as UTC, and bound what one task takes; smaller settings stay."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for name, most in TASK_BYTES.items():
+        if _bytes(spark.conf.get(name)) > most:
+            spark.conf.set(name, str(most))
+    if int(spark.conf.get(INITIAL_KEY, None) or spark.conf.get("spark.sql.shuffle.partitions")) < INITIAL_PARTITIONS:
+        spark.conf.set(INITIAL_KEY, str(INITIAL_PARTITIONS))
     return spark
 
 

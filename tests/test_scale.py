@@ -103,3 +103,16 @@ def test_scratch_folder_follows_the_session(spark, tmp_path):
         context.master = master
         with pytest.raises(ValueError):
             scratch_dir(unset, "x")
+
+
+def test_what_a_task_takes_is_bounded(spark):
+    """Splits of files and joined shuffle partitions stay small in a session brought along; smaller settings stay."""
+    from patchloom.session import INITIAL_KEY, prepare
+
+    files, joined = "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    other = spark.newSession()
+    other.conf.set(files, "128MB")
+    other.conf.set(joined, "1m")
+    prepare(other)
+    assert (other.conf.get(files), other.conf.get(joined)) == (str(16 << 20), "1m")
+    assert int(other.conf.get(INITIAL_KEY)) >= 400
