@@ -113,12 +113,16 @@ def build_features(
     details: DataFrame,
     statuses: Sequence[str] = STATUSES,
 ) -> DataFrame:
-    """``base``: pr_id, pr_title, pr_body. Adds every measure; rows of ``base`` are kept."""
+    """``base``: pr_id, pr_title, pr_body. Adds every measure; rows of ``base`` are kept.
+
+    Measures are dealt anew by pull request before they are joined. Rows that lie by pull request already would else be
+    joined, sorted and counted in the tasks that join the measures, which take a page of memory for each of these steps.
+    """
     own = code_flag(template_features(body_words(title_words(base))))
     scope = scope_counts(details, statuses).drop("number_of_modules_l2_changed")
     joined = own.join(types, on="pr_id", how="left")
     for part in (issue_counts(related), commit_counts(commits), scope):
-        joined = joined.join(part, on="pr_id", how="left")
+        joined = joined.join(part.hint("rebalance", "pr_id"), on="pr_id", how="left")
     return joined
 
 

@@ -10,7 +10,7 @@ from patchloom.operators import cumulative, normality, ranktests
 from patchloom.plans import attribution, boosting, change_size, churn, classify, features, kernel, textpairs
 from patchloom.plans.exact_neighbours import exact_vote
 from patchloom.plans.neighbours import knn_vote
-from patchloom.session import materialize
+from patchloom.session import materialize, release
 from patchloom.workload.common import describe_sql, mann_whitney_sql, tidy, two_sided_sql
 from patchloom.workload.q_aggregates import PER_PR
 from patchloom.workload.q_relational import COS, HEADING, ISSUE, LIFE, lifetimes_of
@@ -235,8 +235,10 @@ C02_MATRIX = ORACLES["c02_labelled_matrix"]
 
 def _matrix(v: Views) -> DataFrame:
     """The labelled feature table with its split, to six digits as its own query gives it."""
-    rows = tidy(features.labelled_matrix(_features(v), _similarity(v), 0.1, CATEGORIES))
-    return materialize(classify.split(rows), "matrix")
+    rows = materialize(tidy(features.labelled_matrix(_features(v), _similarity(v), 0.1, CATEGORIES)), "labelled")
+    matrix = materialize(classify.split(rows), "matrix")
+    release(rows)
+    return matrix
 
 
 def _trained(select: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from types import SimpleNamespace
 
 import pytest
@@ -116,3 +118,29 @@ def test_what_a_task_takes_is_bounded(spark):
     prepare(other)
     assert (other.conf.get(files), other.conf.get(joined)) == (str(16 << 20), "1m")
     assert int(other.conf.get(INITIAL_KEY)) >= 400
+
+
+def test_measures_are_counted_and_joined_in_different_stages(spark):
+    """A step that counts or sorts takes a page of memory per task: rows that lie by pull request must not pass all steps in one task."""
+    from patchloom.plans.features import build_features
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    other.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    base = other.createDataFrame([(1, "a b", "x"), (1, "c", None), (2, None, "y z"), (None, "d", "")], "pr_id LONG, pr_title STRING, pr_body STRING")
+    types = other.createDataFrame([(1, "fix")], "pr_id LONG, task_type STRING")
+    related = other.createDataFrame([(1, 7), (1, None), (3, 8), (None, 9)], "pr_id LONG, issue_id LONG")
+    commits = other.createDataFrame([(1, "s", "m n"), (2, "t", None), (None, "u", "o")], "pr_id LONG, sha STRING, message STRING")
+    files = [(1, "p/q.py", "added", 3, 1, 4), (1, "p/q.py", "modified", 2, 0, 2), (1, "r.py", "removed", 0, 5, 5), (None, "v/w.py", "added", 1, 1, 2)]
+    details = other.createDataFrame(files, "pr_id LONG, filename STRING, status STRING, additions LONG, deletions LONG, changes LONG").repartition("pr_id")
+    out = build_features(base, types, related, commits, details)
+    path = []
+    for lead, name in re.findall(r"^([ :]*[+:]- )(\w+)", out._jdf.queryExecution().executedPlan().toString(), re.M):
+        path = [p for p in path if p[0] < len(lead)] + [(len(lead), name)]
+        above = [p[1] for p in reversed(path)]
+        stage = above[: above.index("Exchange")] if "Exchange" in above else above
+        assert not (name.endswith("Aggregate") and "SortMergeJoin" in stage), stage
+    names = ("pr_id", "pr_title_length", "task_type", "number_of_related_issues", "number_of_commits", "number_of_files_changed", "total_changes")
+    full = ("fix", 1, 1, 2, 11)
+    want = [(1, 2, *full), (1, 1, *full), (2, None, None, None, 1, None, None), (None, 1, None, None, None, None, None)]
+    assert Counter(tuple(r) for r in out.select(*names).collect()) == Counter(want)
