@@ -171,6 +171,9 @@ def attributions(
     walked = rows.select(key, own.alias("own"), F.explode(walks).alias("w")).select(
         key, "own", "w.walk", F.transform(F.col("w.order"), lambda s: s["i"]).alias("order"), F.get(base, at).alias("base")
     )
+    # Walks are dealt before a step becomes a row of its own: few files would else expand, score and sort them in few tasks.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walked = walked.repartition(tasks, key, "walk")
     steps = walked.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names)))).alias("step"))
     # Feature i comes from the row once its place in the order is below the step.
     hybrid = F.transform(

@@ -144,3 +144,17 @@ def test_measures_are_counted_and_joined_in_different_stages(spark):
     full = ("fix", 1, 1, 2, 11)
     want = [(1, 2, *full), (1, 1, *full), (2, None, None, None, 1, None, None), (None, 1, None, None, None, None, None)]
     assert Counter(tuple(r) for r in out.select(*names).collect()) == Counter(want)
+
+
+def test_walks_are_dealt_before_their_steps_become_rows(spark):
+    """Rows of one small file are expanded in many tasks, and the steps of a walk are put together where they were made."""
+    from patchloom.plans import classify
+
+    rows = spark.range(40).select(F.col("id").alias("pr_id"), (F.col("id") % 7).alias("x"), (F.col("id") % 3).alias("y"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    rows = rows.withColumn("is_test", (F.col("pr_id") % 4 == 0).cast("int")).coalesce(1)
+    model, test = classify.fit_model(rows, ["x", "y"], "rf")
+    out = classify.attributions(model, test, rows.where("is_test = 0"), ["x", "y"], permutations=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.rfind("Exchange hashpartitioning") > plan.rfind("partial_collect_list")
+    sums = out.groupBy("pr_id").agg(F.count("*").alias("n"), (F.sum("attribution") - F.max("score") + F.max("base_score")).alias("gap")).collect()
+    assert len(sums) == 10 and all(r.n == 2 and abs(r.gap) < 1e-9 for r in sums)
