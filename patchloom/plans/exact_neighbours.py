@@ -92,7 +92,6 @@ def exact_neighbours(
         raise ValueError("no labelled rows to vote")
     known, centres, table = _in_rings(rows, pivots, rings, part_rows, seed)
     known = materialize(known, "rings")
-    far = asked.select("id", "vec", F.transform(centres, lambda c: F.sqrt(_squared(F.col("vec"), c))).alias("far"))
 
     def reach(ring: Column) -> Column:
         away = F.get(F.col("far"), ring["cell"])
@@ -105,20 +104,28 @@ def exact_neighbours(
             ring["parts"].alias("parts"),
         )
 
-    reached = far.select("id", "vec", F.transform(table, reach).alias("reach"))
+    def reached(rows: DataFrame) -> DataFrame:
+        far = rows.withColumn("far", F.transform(centres, lambda c: F.sqrt(_squared(F.col("vec"), c))))
+        return far.withColumn("reach", F.transform(table, reach)).drop("far")
+
+    # Rows are dealt before their rings are listed: few files would else be bounded in few tasks.
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = reached(asked.select("id", "vec").repartition(tasks, "id"))
     # The k-th distance is at most that of the farthest ring needed to have k rows.
     by_most = F.array_sort(F.transform("reach", lambda r: F.struct(r["most"].alias("most"), r["n"].alias("n"))))
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(math.inf).alias("most"))
     filled = F.aggregate(
         by_most, start, lambda a, r: F.when(a["n"] >= k, a).otherwise(F.struct((a["n"] + r["n"]).alias("n"), r["most"].alias("most")))
     )
-    bounded = reached.withColumn("_f", filled).select(
-        "id", "vec", "reach", F.when(F.col("_f.n") >= k, F.col("_f.most")).otherwise(F.lit(math.inf)).alias("bound")
+    bounded = dealt.withColumn("_f", filled).select(
+        "id", "vec", F.array_min("reach").alias("home"), F.when(F.col("_f.n") >= k, F.col("_f.most")).otherwise(F.lit(math.inf)).alias("bound")
     )
+    # A row's list of all rings takes many times the row: it is neither written nor shuffled, but made anew for the second round.
     bounded = materialize(bounded, "first-bounds")
-    home = _first_k(_met(bounded, known, F.array(F.array_min("reach"))), ["id"], ["d", "near"], k)
+    home = _first_k(_met(bounded, known, F.array("home")), ["id"], ["d", "near"], k)
     kth = home.groupBy("id").agg(F.max("d").alias("d"), F.count("*").alias("n")).where(F.col("n") == k)
-    tight = bounded.join(kth.select("id", F.sqrt("d").alias("seen")), "id", "left").withColumn("bound", F.least("bound", "seen"))
+    seen = bounded.drop("home").join(kth.select("id", F.sqrt("d").alias("seen")), "id", "left")
+    tight = reached(seen.withColumn("bound", F.least("bound", "seen")).repartition(tasks, "id"))
     within = F.filter("reach", lambda r: r["least"] <= F.col("bound") * (1 + ROOM))
     return _first_k(_met(tight, known, within), ["id"], ["d", "near"], k).drop("_rank")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -67,3 +68,21 @@ def test_missing_infinite_repeated_and_empty_rows(spark):
     assert exact_vote(train, test.limit(0), ["a", "b"]).count() == 0
     with pytest.raises(ValueError):
         exact_vote(train.limit(0), test, ["a", "b"])
+
+
+def test_lists_of_rings_are_neither_written_nor_shuffled(spark, monkeypatch):
+    """A row's list of all rings takes many times the row; rows of one small file are dealt before the lists are made."""
+    train, test = rows_of(3, 300, 0, 30), rows_of(4, 80, 1000, 30)
+    written, plain = {}, exact_neighbours.materialize
+
+    def kept(df, label):
+        written[label] = plain(df, label)
+        return written[label]
+
+    monkeypatch.setattr(exact_neighbours, "materialize", kept)
+    out = exact_vote(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(test, SCHEMA).coalesce(1), ["a", "b"])
+    assert not [f.name for f in written["first-bounds"].schema if f.dataType.simpleString().startswith("array<struct")]
+    assert written["first-bounds"].select(F.spark_partition_id(), F.input_file_name()).distinct().count() > 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"(?m)^.*Generate explode\(filter\(.*\n(?:.*Project.*\n)+.*RepartitionByExpression \[id", plan), plan
+    assert {r.pr_id: r.score for r in out.collect()} == pytest.approx(brute(train, test, 5))
