@@ -158,3 +158,14 @@ def test_walks_are_dealt_before_their_steps_become_rows(spark):
     assert plan.rfind("Exchange hashpartitioning") > plan.rfind("partial_collect_list")
     sums = out.groupBy("pr_id").agg(F.count("*").alias("n"), (F.sum("attribution") - F.max("score") + F.max("base_score")).alias("gap")).collect()
     assert len(sums) == 10 and all(r.n == 2 and abs(r.gap) < 1e-9 for r in sums)
+
+
+def test_rows_are_dealt_before_they_vote(spark):
+    """Rows of one small file meet the reference in many tasks; null and repeated keys keep their rows."""
+    from patchloom.plans.neighbours import knn_vote
+
+    rows = spark.range(60).select(F.when(F.col("id") % 20 > 1, F.col("id") % 40).alias("pr_id"), (F.col("id") % 7).alias("x"), (F.col("id") % 7 > 3).cast("int").alias("label"))
+    voted = knn_vote(spark.range(70).select(F.col("id").alias("pr_id"), (F.col("id") % 7).alias("x"), (F.col("id") % 7 > 3).cast("int").alias("label")), rows.coalesce(1), ["x"])
+    assert len(voted.select(F.spark_partition_id().alias("p")).distinct().collect()) == 4
+    want = rows.select("pr_id", "label", F.col("label").cast("double"), "label").collect()
+    assert Counter(map(tuple, voted.collect())) == Counter(map(tuple, want))
