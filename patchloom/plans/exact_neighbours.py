@@ -25,11 +25,11 @@ def _vector(features: Sequence[str]) -> Column:
     return F.array(*[F.col(f"`{c}`").cast("double") for c in features])
 
 
-def _known(vector: Column) -> Column:
+def is_known(vector: Column) -> Column:
     return F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < F.lit(math.inf)))
 
 
-def _squared(a: Column, b: Column) -> Column:
+def squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, t: s + t)
 
 
@@ -37,7 +37,7 @@ def _constant(rows: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), f"ARRAY<{kind}>")
 
 
-def _first_k(rows: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+def first_k(rows: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
     """The first ``k`` rows per group; tasks cut their rows to k per group before the shuffle."""
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return ranked.where(F.col("_rank") <= k)
@@ -48,7 +48,7 @@ def _in_rings(rows: DataFrame, pivots: int, rings: int, part_rows: int, seed: in
     Pivots and rings are of bounded number, by the parameters; a ring of many rows is dealt to parts of about ``part_rows``."""
     chosen = sample_n(rows.where(F.col("_rank") == 1).select("near", "vec"), pivots, ["near"], seed)
     centres = _constant([r.vec for r in chosen.collect()], "ARRAY<DOUBLE>")
-    away = F.transform(centres, lambda c: F.sqrt(_squared(F.col("vec"), c)))
+    away = F.transform(centres, lambda c: F.sqrt(squared(F.col("vec"), c)))
     placed = rows.drop("_rank").withColumn("_away", away).withColumn("away", F.array_min("_away"))
     placed = materialize(placed.withColumn("cell", (F.array_position("_away", F.col("away")) - 1).cast("int")).drop("_away"), "cells")
     shares = [i / rings for i in range(1, rings)] or [1.0]
@@ -71,7 +71,7 @@ def _met(asked: DataFrame, known: DataFrame, ring: Column) -> DataFrame:
     sent = asked.select("id", "vec", "bound", F.explode(ring).alias("r")).select(
         "id", F.col("vec").alias("own"), "bound", F.col("r.ring").alias("ring"), F.explode(F.sequence(F.lit(0), F.col("r.parts") - 1)).alias("part")
     )
-    pairs = sent.join(known, ["ring", "part"]).withColumn("d", _squared(F.col("own"), F.col("vec")))
+    pairs = sent.join(known, ["ring", "part"]).withColumn("d", squared(F.col("own"), F.col("vec")))
     return pairs.where(F.sqrt("d") <= F.col("bound") * (1 + ROOM)).select("id", "near", "y", "d")
 
 
@@ -87,7 +87,7 @@ def exact_neighbours(
     """(id, near, y, d): the ``k`` nearest rows of ``train`` (near, y, vec) per row of ``asked`` (id, vec) by squared distance
     ``d``, then by ``near``; all rows when there are fewer. Of equal vectors only the first ``k`` can matter: others are dropped
     before anything else, so that many equal rows cost nothing. Vectors must be finite."""
-    rows = materialize(_first_k(train, ["vec"], ["near"], k), "distinct-vectors")
+    rows = materialize(first_k(train, ["vec"], ["near"], k), "distinct-vectors")
     if rows.isEmpty():
         raise ValueError("no labelled rows to vote")
     known, centres, table = _in_rings(rows, pivots, rings, part_rows, seed)
@@ -105,7 +105,7 @@ def exact_neighbours(
         )
 
     def reached(rows: DataFrame) -> DataFrame:
-        far = rows.withColumn("far", F.transform(centres, lambda c: F.sqrt(_squared(F.col("vec"), c))))
+        far = rows.withColumn("far", F.transform(centres, lambda c: F.sqrt(squared(F.col("vec"), c))))
         return far.withColumn("reach", F.transform(table, reach)).drop("far")
 
     # Rows are dealt before their rings are listed: few files would else be bounded in few tasks.
@@ -122,12 +122,12 @@ def exact_neighbours(
     )
     # A row's list of all rings takes many times the row: it is neither written nor shuffled, but made anew for the second round.
     bounded = materialize(bounded, "first-bounds")
-    home = _first_k(_met(bounded, known, F.array("home")), ["id"], ["d", "near"], k)
+    home = first_k(_met(bounded, known, F.array("home")), ["id"], ["d", "near"], k)
     kth = home.groupBy("id").agg(F.max("d").alias("d"), F.count("*").alias("n")).where(F.col("n") == k)
     seen = bounded.drop("home").join(kth.select("id", F.sqrt("d").alias("seen")), "id", "left")
     tight = reached(seen.withColumn("bound", F.least("bound", "seen")).repartition(tasks, "id"))
     within = F.filter("reach", lambda r: r["least"] <= F.col("bound") * (1 + ROOM))
-    return _first_k(_met(tight, known, within), ["id"], ["d", "near"], k).drop("_rank")
+    return first_k(_met(tight, known, within), ["id"], ["d", "near"], k).drop("_rank")
 
 
 def exact_vote(
@@ -137,9 +137,9 @@ def exact_vote(
     distances by key. A labelled row with a missing or infinite feature takes no part, a test row with one has a null score.
     Equal test rows are looked up once."""
     vec = _vector(features)
-    known = train.select(F.col(key).alias("near"), F.col(label).cast("double").alias("y"), vec.alias("vec")).where(_known(F.col("vec")))
+    known = train.select(F.col(key).alias("near"), F.col(label).cast("double").alias("y"), vec.alias("vec")).where(is_known(F.col("vec")))
     rows = test.select(F.col(key), F.col(label), vec.alias("_vec"))
-    distinct = rows.where(_known(F.col("_vec"))).groupBy(F.col("_vec").alias("vec")).agg(F.count("*").alias("n"))
+    distinct = rows.where(is_known(F.col("_vec"))).groupBy(F.col("_vec").alias("vec")).agg(F.count("*").alias("n"))
     asked = materialize(distinct.select(F.monotonically_increasing_id().alias("id"), "vec"), "asked")
     votes = exact_neighbours(known, asked, k, **sizes).groupBy("id").agg(F.avg("y").alias("score"))
     by_vector = asked.join(votes, "id").select(F.col("vec").alias("_vec"), "score")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from patchloom.plans import exact_neighbours
 from patchloom.plans.exact_neighbours import exact_vote
+from patchloom.plans.neighbours import knn_vote
 
 SCHEMA = "pr_id LONG, a DOUBLE, b DOUBLE, label INT"
 
@@ -86,3 +87,25 @@ def test_lists_of_rings_are_neither_written_nor_shuffled(spark, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"(?m)^.*Generate explode\(filter\(.*\n(?:.*Project.*\n)+.*RepartitionByExpression \[id", plan), plan
     assert {r.pr_id: r.score for r in out.collect()} == pytest.approx(brute(train, test, 5))
+
+
+def voted(spark, train, test, held, k):
+    out = knn_vote(spark.createDataFrame(train, SCHEMA).repartition(3), spark.createDataFrame(test, SCHEMA), ["a", "b"], k=k, max_reference=held)
+    return sorted(((r.pr_id or 0, r.label, None if r.score is None else round(r.score, 9), r.prediction) for r in out.collect()), key=repr)
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_all_labelled_rows_vote_beyond_what_a_task_holds(spark, k):
+    train, test = rows_of(5, 240, 0, 40), rows_of(6, 60, 1000, 50)
+    want = sorted(((key, label, round(s, 9), int(s > 0.5)) for (key, s), label in zip(brute(train, test, k).items(), [r[3] for r in test])), key=repr)
+    assert voted(spark, train, test, 20, k) == want
+    assert voted(spark, train, test, 240, k) == want
+
+
+@pytest.mark.parametrize("whole", [0, 2, 30])
+def test_odd_rows_vote_alike_held_or_not(spark, whole):
+    """Null, missing, infinite and repeated values and rows; few or no labelled rows with a distance."""
+    odd = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, 3.0]
+    train = [(i, odd[i % 4], odd[i % 7], i % 3 % 2) for i in range(28)] + [(100 + i, float(i % 5), float(i % 3), i % 2) for i in range(whole)]
+    test = [(i % 40 or None, a, b, i % 2) for i, (a, b) in enumerate([(a, b) for a in odd for b in odd] * 2)]
+    assert voted(spark, train, test, 3, 5) == voted(spark, train, test, 1000, 5)
