@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,11 +74,31 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/patchloom/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the time of a block; a streaming query takes them over when it starts."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def shuffles_freed(spark: SparkSession):
+    """Writes within the block leave no shuffle files: what they wrote is read again, their shuffles are not."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the rows to the shared scratch folder and read them back: jobs that read them
     many times start from files, also after an executor is lost."""
     path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.parquet(path)
     table.scratch_path = path
     return table

@@ -7,11 +7,11 @@ because its keys are already in the table.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patchloom.session import settings
 from patchloom.sources.sinks import DETAIL_KEY, upsert_append
 from patchloom.sources.snapshots import SnapshotTable
 
@@ -45,20 +45,6 @@ def ingest_available(
     query.awaitTermination()
 
 
-@contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Session settings for the time of a block; a streaming query takes them over when it starts."""
-    names = {name.replace("__", "."): value for name, value in values.items()}
-    before = {name: spark.conf.get(name, None) for name in names}
-    try:
-        for name, value in names.items():
-            spark.conf.set(name, value)
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
-
-
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -86,6 +72,8 @@ def ingest_keyed(
         spark,
         spark__sql__streaming__stateStore__providerClass=ROCKSDB,
         spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true",
+        spark__sql__streaming__stateStore__compression__codec="zstd",
+        spark__sql__classic__shuffleDependency__fileCleanup__enabled="true",
         spark__sql__shuffle__partitions=str(state_partitions),
     ):
         query = (
@@ -93,6 +81,7 @@ def ingest_keyed(
             .dropDuplicates(list(keys))
             .writeStream.format("parquet")
             .option("path", output)
+            .option("compression", "zstd")
             .option("checkpointLocation", checkpoint)
             .outputMode("append")
             .trigger(availableNow=True)

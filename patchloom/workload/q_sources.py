@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchloom.session import scratch_dir
+from patchloom.session import scratch_dir, shuffles_freed
 from patchloom.sources import payloads
 from patchloom.sources.catalog import Catalog
 from patchloom.sources.readers import read_table, read_whole_text
@@ -73,7 +73,7 @@ def s5(v: Views) -> DataFrame:
 
 def commit_payloads(v: Views) -> DataFrame:
     """Commit payloads as an API returns them, one per file row; without a patch the file list is empty."""
-    rows = v.all_details()
+    rows = v.all_details(narrow=True)
     author = F.struct(
         F.concat(F.lit("dev"), F.col("pr_id") % 20).alias("name"),
         F.concat(F.lit("dev"), F.col("pr_id") % 20, F.lit("@mail.example")).alias("email"),
@@ -198,7 +198,8 @@ LANDED_ROWS = 250_000
 
 def land(lot: DataFrame, folder: str) -> None:
     """Payload files as gzip JSON Lines: as plain text they are several times the size of the table made of them."""
-    lot.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", LANDED_ROWS).json(folder)
+    with shuffles_freed(lot.sparkSession):
+        lot.write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", LANDED_ROWS).json(folder)
 
 
 @query(

@@ -102,19 +102,20 @@ class Views:
     def human_pr(self) -> DataFrame:
         return self.all_prs().where(F.col("agent") == "Human").select(*HUMAN_PR_COLUMNS)
 
-    def all_details(self) -> DataFrame:
-        return self._once("all_details", self._all_details)
+    def all_details(self, narrow: bool = False) -> DataFrame:
+        """File rows, which lie by pull request where tables are too large for a broadcast. With ``narrow`` the parts are
+        joined last: their texts are not shuffled beside the rows, which then lie by part."""
+        return self._once(f"all_details {narrow}", lambda: self._all_details(narrow))
 
-    def _all_details(self) -> DataFrame:
+    def _all_details(self, narrow: bool) -> DataFrame:
         owner = self.table("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
         part = self.table("part").select("p_partkey", "p_name", "p_brand", "p_type")
-        rows = (
-            self.spread(
-                "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"
-            )
-            .join(part, F.col("l_partkey") == F.col("p_partkey"))
-            .join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
+        rows = self.spread(
+            "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"
         )
+        joins = [(part, F.col("l_partkey") == F.col("p_partkey")), (owner, F.col("l_orderkey") == F.col("o_orderkey"))]
+        for table, same in reversed(joins) if narrow else joins:
+            rows = rows.join(table, same)
         kind = F.col("p_partkey") % 9
         base = F.replace("p_name", F.lit(" "), F.lit("_"))
         ext = F.try_element_at(
@@ -180,13 +181,13 @@ class Views:
         lines = F.concat_ws("\n", head, F.lit("--- a/file"), F.lit("+++ b/file"), body, F.lit(" context"), F.lit("++i;"))
         return F.when(F.col("p_partkey") % 13 != 6, lines)
 
-    def details(self) -> DataFrame:
-        df = self.all_details()
+    def details(self, narrow: bool = False) -> DataFrame:
+        df = self.all_details(narrow)
         return df.where(F.col("agent").isNull() | (F.col("agent") != "Human")).select(*DETAIL_COLUMNS)
 
-    def human_details(self) -> DataFrame:
+    def human_details(self, narrow: bool = False) -> DataFrame:
         named = [F.col(c).alias("file") if c == "filename" else F.col(c) for c in DETAIL_COLUMNS]
-        return self.all_details().where(F.col("agent") == "Human").select(*named)
+        return self.all_details(narrow).where(F.col("agent") == "Human").select(*named)
 
     def change_table(self) -> DataFrame:
         from patchloom.plans.change_size import change_table

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +68,48 @@ def test_the_table_is_not_read(spark, tmp_path):
 
 def test_nothing_landed(spark, tmp_path):
     assert run(spark, tmp_path) is None
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def left_of(spark, before):
+    """Files of later shuffles that are still there after some seconds; they are removed in the background."""
+    until = time.time() + 10
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.2)
+    return left
+
+
+def test_batches_and_landed_lots_leave_no_shuffle_files(spark, tmp_path):
+    from patchloom.workload.q_sources import land as land_lot
+
+    land(spark, tmp_path, *[(i, "a", "x") for i in range(50)])
+    before = shuffle_files(spark)
+    assert run(spark, tmp_path) == 50
+    assert not left_of(spark, before)
+    land_lot(spark.range(100).repartition(3), f"{tmp_path}/lot")
+    assert not left_of(spark, before)
+    assert spark.read.json(f"{tmp_path}/lot").count() == 100
+
+
+def test_parts_joined_last_give_the_same_rows(spark, tmp_path):
+    """Texts of parts are not shuffled beside the file rows; null and repeated keys give what they gave."""
+    from patchloom.workload.views import TABLES, Views
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    items = [(o, p, 1, n, 5.0 * n, 10.0, 0.07, 0.1, "ANR"[n % 3], "F", None) for n, (o, p) in enumerate([(1, 1), (1, 2), (2, 2), (None, 1), (3, None), (9, 1), (1, 1)])]
+    orders = [(1, 3, "F", 1.0, None, "3-MEDIUM"), (2, None, "O", 1.0, None, None), (2, 13, "O", 1.0, None, "1-URGENT"), (None, 1, "F", 1.0, None, "5-LOW"), (3, 4, "F", 1.0, None, "2-HIGH")]
+    parts = [(1, "a b", "B#1", "T", 1, 1.0), (2, None, "B#2", "U", 1, 1.0), (2, "c d", None, "U", 1, 1.0), (None, "e", "B", "V", 1, 1.0)]
+    for name, rows in (("lineitem", items), ("orders", orders), ("part", parts)):
+        other.createDataFrame(rows, TABLES[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    views = Views(other, str(tmp_path))
+    narrow = views.all_details(narrow=True)
+    assert Counter(map(tuple, narrow.collect())) == Counter(map(tuple, views.all_details().collect()))
+    assert narrow.count() > 5
+    plan = narrow._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join Inner" in line]
+    assert "p_partkey" in plan[joins[0]] and "o_orderkey" in plan[joins[1]]
