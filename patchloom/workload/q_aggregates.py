@@ -251,12 +251,11 @@ def a18(v: Views) -> DataFrame:
 )
 def a19(v: Views) -> DataFrame:
     rows = (
-        v.all_details()
+        v.all_details(narrow=True)
         .where(F.col("patch").isNotNull())
         .select("sha", change_size.is_agent(F.col("agent")).alias("is_agent"), "patch")
-        .distinct()
     )
-    return join_texts(rows, ["sha", "is_agent"], {"patch": "patch"}, ["patch"], "\n")
+    return join_texts(rows, ["sha", "is_agent"], {"patch": "patch"}, ["patch"], "\n", distinct=True)
 
 
 @query(

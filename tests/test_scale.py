@@ -61,6 +61,37 @@ def test_joined_texts_are_contiguous_chunks(spark):
     assert weighed.agg(F.max("rows")).first()[0] == 2
 
 
+def exchanges(df):
+    return re.findall(r"(?m)^[ :+-]*(?:Reused)?Exchange (\w+)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_texts_of_keys_below_the_limit_are_shuffled_once(spark, monkeypatch):
+    """Only keys that may be cut are ranged; repeated rows are dropped where the texts of a key are joined."""
+    from patchloom.operators import textjoin
+
+    rows = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), F.concat(F.lit("t"), F.col("id") % 300).alias("t")
+    )
+    plain, ranged = textjoin._chunked, []
+
+    def chunked(df, *more):
+        ranged.append(df.select("k").distinct().count())
+        return plain(df, *more)
+
+    monkeypatch.setattr(textjoin, "_chunked", chunked)
+    whole = join_texts(rows, ["k"], {"t": "t"}, ["t"], " ", distinct=True)
+    assert exchanges(whole) == ["hashpartitioning"] and not ranged
+    want = {k: " ".join(sorted(set(t))) for k, t in rows.toPandas().groupby("k")["t"]}
+    assert {r.k: r.t for r in whole.collect()} == want
+    assert {r.k: r.rows for r in whole.collect()} == {k: len(t.split()) for k, t in want.items()}
+    cut = join_texts(rows.unionByName(rows), ["k"], {"t": "t"}, ["t"], " ", max_chars=400, distinct=True).collect()
+    assert ranged == [1] and max(r.part for r in cut) > 0
+    got = Counter()
+    for r in sorted(cut, key=lambda r: (r.k, r.part)):
+        got[r.k] = f"{got[r.k]} {r.t}" if got[r.k] else r.t
+    assert got == want
+
+
 def test_joined_lists_keep_null_keys_and_order(spark):
     rows = spark.createDataFrame([(None, 2, ["c"]), (None, 1, ["a", "b"]), ("x", 1, []), ("x", 2, None), ("x", 3, ["d", "d"])], "k STRING, o INT, xs ARRAY<STRING>")
     got = {r.k: r.xs for r in join_lists(rows.where("xs IS NOT NULL"), ["k"], ["xs"], ["o"]).collect()}
