@@ -67,6 +67,8 @@ def _ranked(
     )
     if only_kept:
         cuts = cuts.where(F.col("_before") < F.col("_quota"))
+    if strata == ["_all"]:
+        cuts = F.broadcast(cuts)  # one row per prefix: the rows to be ranked are found without a shuffle of all
     inside = Window.partitionBy(*strata, "_p").orderBy("_h", *key)
     return rows.join(cuts, on=[*strata, "_p"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside))
 

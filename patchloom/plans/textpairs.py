@@ -78,9 +78,13 @@ def _patched(details: DataFrame, columns: list[str], tag: int) -> DataFrame:
     return details.where(F.col("patch").isNotNull()).select(*columns).distinct().withColumn("is_agent", F.lit(tag))
 
 
-def corpus_rows(corpus: DataFrame, columns: list[str]) -> DataFrame:
+def _corpus(corpus: DataFrame, columns: list[str]) -> DataFrame:
     named = corpus.select(F.col("hash").alias("sha"), "message", F.col("diff").alias("patch"))
-    return named.select(*columns).distinct().withColumn("is_agent", F.lit(2))
+    return named.select(*columns)
+
+
+def corpus_rows(corpus: DataFrame, columns: list[str]) -> DataFrame:
+    return _corpus(corpus, columns).distinct().withColumn("is_agent", F.lit(2))
 
 
 def patches_for_generation(
@@ -97,8 +101,9 @@ def patches_for_generation(
         sampling.sample_fraction(_patched(d, cols, tag), fraction, key, seed=seed)
         for d, tag in ((details, 1), (human_details, 0))
     ]
-    rows = sampled[0].unionByName(sampled[1]).unionByName(corpus_rows(corpus, cols))
-    return join_texts(rows, ["sha", "is_agent"], {"patch": "patch"}, ["patch"], "\n", max_chars).drop("rows")
+    # Whole texts of the corpus are shuffled once: repeated rows are dropped where the texts of a commit are joined.
+    rows = sampled[0].unionByName(sampled[1]).unionByName(_corpus(corpus, cols).withColumn("is_agent", F.lit(2)))
+    return join_texts(rows, ["sha", "is_agent"], {"patch": "patch"}, ["patch"], "\n", max_chars, distinct=True).drop("rows")
 
 
 def fully_patched(details: DataFrame) -> DataFrame:

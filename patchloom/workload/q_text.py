@@ -661,7 +661,7 @@ def _share(tag: int) -> str:
     ("details_all", "corpus"),
 )
 def m09(v: Views) -> DataFrame:
-    return textpairs.patches_for_generation(v.details(), v.human_details(), v.corpus())
+    return textpairs.patches_for_generation(v.details(narrow=True), v.human_details(narrow=True), v.corpus())
 
 
 @query(

@@ -200,3 +200,27 @@ def test_rows_are_dealt_before_they_vote(spark):
     assert len(voted.select(F.spark_partition_id().alias("p")).distinct().collect()) == 4
     want = rows.select("pr_id", "label", F.col("label").cast("double"), "label").collect()
     assert Counter(map(tuple, voted.collect())) == Counter(map(tuple, want))
+
+
+def test_rows_of_a_sample_are_found_without_a_shuffle_of_all(spark, monkeypatch):
+    """Rows meet the cuts per hash prefix where they lie, and whole texts of a corpus are shuffled by their key alone."""
+    from patchloom.operators import sampling, textjoin
+    from patchloom.plans import textpairs
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    ids = other.range(400).select(F.concat(F.lit("s"), F.col("id") % 150).alias("sha"), F.concat(F.lit("p"), F.col("id") % 200).alias("patch"))
+    picked = sampling.sample_fraction(ids, 0.05, ["sha", "patch"])
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert picked.count() == 20
+
+    written, plain = [], textjoin.materialize
+    monkeypatch.setattr(textjoin, "materialize", lambda df, label: written.append(df) or plain(df, label))
+    corpus = other.createDataFrame([("h", "m", "+x y"), ("h", "n", "+x y"), ("h", "m", "+a"), (None, "m", "+z"), ("i", "m", None)], "hash STRING, message STRING, diff STRING")
+    out = textpairs.patches_for_generation(ids, ids.where("false"), corpus)
+    kept = [r for r in out.collect() if r.is_agent == 2]
+    assert {(r.sha, r.part, r.patch) for r in kept} == {("h", 0, "+a\n+x y"), ("i", 0, None)} and len(kept) == 2
+    assert sum(len(r.patch.split("\n")) for r in out.where("is_agent = 1").collect()) == round(0.05 * ids.distinct().count())
+    assert len(written) == 1
+    assert not re.search(r"Exchange hashpartitioning\(hash#", written[0]._jdf.queryExecution().executedPlan().toString())
