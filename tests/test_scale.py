@@ -224,3 +224,26 @@ def test_rows_of_a_sample_are_found_without_a_shuffle_of_all(spark, monkeypatch)
     assert sum(len(r.patch.split("\n")) for r in out.where("is_agent = 1").collect()) == round(0.05 * ids.distinct().count())
     assert len(written) == 1
     assert not re.search(r"Exchange hashpartitioning\(hash#", written[0]._jdf.queryExecution().executedPlan().toString())
+
+
+def test_lists_of_keys_below_the_limit_are_shuffled_once(spark, tmp_path):
+    """Items travel once, not also as the columns they are ordered by; their order is that of file name, then status."""
+    from patchloom.workload import all_queries
+    from patchloom.workload.views import TABLES, Views
+
+    rows = spark.range(300).select(F.when(F.col("id") % 3 > 0, F.col("id") % 20).alias("k"), "id", F.array(F.struct((F.col("id") % 7).alias("a"), "id")).alias("xs"))
+    lists = join_lists(rows, ["k"], ["xs"], ["id"])
+    assert exchanges(lists) == ["hashpartitioning"]
+    cut = join_lists(rows, ["k"], ["xs"], ["id"], max_items=30)
+    assert cut.where("k IS NULL").count() > 1 and cut.where("k IS NOT NULL AND part > 0").count() == 0
+    whole = {r.k: [x.id for x in r.xs] for r in lists.collect()}
+    assert {k: whole[k] for k in (None, 4)} == {None: list(range(0, 300, 3)), 4: [i for i in range(4, 300, 20) if i % 3]}
+
+    names = ["a", "a b", "a!", "a,b", "", None, "B"]
+    items = [(5, p, 1, 1, 5.0, 10.0, 0.07, 0.1, flag, "F", None) for p in range(len(names)) for flag in "RAN"]
+    for name, made in (("lineitem", items), ("orders", [(5, 3, "F", 1.0, None, "5-LOW")]), ("part", [(p, n, "B#1", "T", 1, 1.0) for p, n in enumerate(names)])):
+        spark.createDataFrame(made, TABLES[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = all_queries()["a20_file_lists_per_pr"](spark, str(tmp_path)).collect()
+    kept = [(r.filename, r.status) for r in Views(spark, str(tmp_path)).all_details().collect()]
+    ordered = sorted(kept, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert [(r.pr_id, r.part, r["items"]) for r in got] == [(5, 0, ";".join(",".join(x for x in r if x is not None) for r in ordered))]
