@@ -109,3 +109,15 @@ def test_odd_rows_vote_alike_held_or_not(spark, whole):
     train = [(i, odd[i % 4], odd[i % 7], i % 3 % 2) for i in range(28)] + [(100 + i, float(i % 5), float(i % 3), i % 2) for i in range(whole)]
     test = [(i % 40 or None, a, b, i % 2) for i, (a, b) in enumerate([(a, b) for a in odd for b in odd] * 2)]
     assert voted(spark, train, test, 3, 5) == voted(spark, train, test, 1000, 5)
+
+
+def test_compared_metrics_do_not_depend_on_what_a_task_holds(spark):
+    """The row of the vote in the table of models is that of all labelled rows."""
+    from patchloom.plans import classify
+
+    train, test = spark.createDataFrame(rows_of(7, 200, 0, 30), SCHEMA), spark.createDataFrame(rows_of(8, 80, 1000, 30), SCHEMA)
+    names = ("model_name", "accuracy", "precision", "recall", "f1", "auc")
+    held, spread = (classify.evaluation(knn_vote(train, test, ["a", "b"], max_reference=most), "knn").select(*names).first() for most in (200, 20))
+    assert held.model_name == spread.model_name and list(spread)[1:] == pytest.approx(list(held)[1:])
+    right = [int(score > 0.5) == label for score, label in zip(brute(rows_of(7, 200, 0, 30), rows_of(8, 80, 1000, 30), 5).values(), [r[3] for r in rows_of(8, 80, 1000, 30)])]
+    assert spread.accuracy == pytest.approx(sum(right) / 80)
